@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import token_counts, url_filter
 
 QUERIES = {
+    "op4_token_counts": token_counts.op4_token_counts,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 
