@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import token_counts, url_filter
+from . import language_id, nearest, sentencepieces, token_counts, token_files, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op3_token_files": token_files.op3_token_files,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op6_sentencepiece": sentencepieces.op6_sentencepiece,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_nearest": nearest.op10_nearest,
 }
 
 ORACLE_SQL = {
