@@ -29,7 +29,6 @@ _SPACES = regex.compile(rf"[{_WS}]+")
 _CUT = regex.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
 #: White space other than plain spaces and newlines, or next to another white space or an end: cut with ``_CUT``.
 _UNUSUAL = regex.compile(r"[\t\x0b-\r\x85\xa0  -     　]|  | \n|\n[ \n]|^ | $")
-_ODD = regex.compile(rf".[{_WS}]|^[{_WS}].*[{_WS}]|'", regex.DOTALL)
 _CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Distinct pieces a worker remembers; the memory is emptied when full.
 CACHE = 150_000
@@ -94,9 +93,16 @@ class PrefixCounter:
 
     def _units(self, units: list[str]) -> list[bytes]:
         """Steps of the counts from character to character, for strings that no pre-token leaves."""
-        split = [_PRETOKEN.findall(u) for u in units]
+        split, odd = [], []
+        for i, u in enumerate(units):
+            tail = u[1:]
+            if tail.isalpha() and (u[0] == " " or u[0].isalpha()):
+                split.append((u,))
+                continue
+            split.append(_PRETOKEN.findall(u))
+            if "'" in u or tail and tail.split() != [tail]:
+                odd.append(i)
         need = {p for s in split for p in s}
-        odd = [i for i, u in enumerate(units) if _ODD.search(u)]
         for i in odd:
             for run in _SPACES.findall(units[i]):
                 need.update(run[:m] for m in range(1, len(run) + 1)) if len(run) <= 64 else need.update((run, run[:-1], run[-1:]))
@@ -216,8 +222,8 @@ def prefix_token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             tables: list[bytes] = []
-            for k in range(0, len(texts), 250):
-                tables += c.tables(texts[k : k + 250])
+            for k in range(0, len(texts), 1000):
+                tables += c.tables(texts[k : k + 1000])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
                  pa.array([int(np.frombuffer(t, "<i2").sum(dtype=np.int64)) for t in tables], pa.int64()),
