@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, nearest, sentencepieces, token_counts, token_files, url_filter
+from . import language_id, nearest, sentencepieces, substring_dedup, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_token_files": token_files.op3_token_files,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_sentencepiece": sentencepieces.op6_sentencepiece,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_nearest": nearest.op10_nearest,
