@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import tempfile
 import uuid
 
@@ -25,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lodestone/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession):
+    """Within it, an action's shuffle files go when the action ends; what is written stays."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that its lineage ends there.
 
@@ -33,10 +47,16 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with freeing_shuffles(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep what a Python worker holds at once small: long texts make the default 10,000 rows too many."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def first_half(known: dict, most: int) -> dict:
+    """``known``, or its older half once it has more than ``most`` entries: frequent words come early."""
+    return dict(itertools.islice(known.items(), most // 2)) if len(known) > most else known

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import materialize, read_table, small_batches
+from .common import freeing_shuffles, materialize, read_table, small_batches
 from .words import Words, word_blocks
 
 WINDOW = 13
@@ -86,7 +86,8 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"lodestone_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
+        with freeing_shuffles(self.spark):
+            rows.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
         return name
 
     def add(self, found: DataFrame) -> list[DataFrame]:
