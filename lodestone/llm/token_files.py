@@ -12,8 +12,10 @@ Shards stand in ascending document order: (part, shard).
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir, small_batches
+from .common import first_half, read_table, shared_dir, small_batches
 
 MAGIC = b"DAC1"
 #: Bits of a bitmap for each entry of its rank directory.
@@ -32,8 +34,8 @@ RANK_BITS = 512
 #: A shard is closed when it has so many ids; a longer document has a shard of its own.
 SHARD_IDS = 1 << 20
 END_ID = 2
-#: Distinct words a worker remembers; the memory is emptied when full.
-CACHE = 400_000
+#: Distinct words a worker remembers.
+CACHE = 800_000
 
 
 def write_codes(ids: np.ndarray) -> bytes:
@@ -104,6 +106,21 @@ class Codes:
         return int(self.slice(i, i + 1)[0])
 
 
+
+def _byte_chars() -> list[str]:
+    """The printable stand-ins that byte-level vocabularies write for the 256 bytes."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+BYTE_CHARS = _byte_chars()
+#: Letters and what follows them, which the splitting pattern always parts (an apostrophe may bind letters).
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+#: Texts with these are not lower-cased here: letters beyond the Latin blocks, and what may be a special string.
+_BEYOND = re.compile(r"[^\x00-\u024f]|<\|")
+
+
 class WordTokenizer:
     """The library's ids of whole texts, with the ids of each distinct word kept.
 
@@ -115,23 +132,53 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.cores: dict[str, bytes] = {"": b""}
+        forms = ["the", "été", "straße", "o", "inexplicably", "!?.", "(", "{~"]
+        self._ask_model(forms, self.cores)
+        #: Whether lower-casing and parting letters from marks is what this tokenizer does itself.
+        self.plain = all(self.library.encode(x, add_special_tokens=False).ids == [*array("I", self.cores[f]), *array("I", self.cores[g])]
+                         for f in forms[:5] for g in ["", *forms[5:]] for x in (f + g, f.upper().replace("SS", "ß") + g))
         probe = "x. Yz <|endoftext|> !a"
         if self.library.encode(probe, add_special_tokens=False).ids != [i for w in probe.split() for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError("this tokenizer keeps white space")
         self.words: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE:
-            self.words = {"": b""}
-        words = self.words
-        new = list({w for s in split for w in s if w not in words})
+    def _ask(self, new: list[str], known: dict[str, bytes]) -> None:
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
             for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([words[w] for w in s]) for s in split]
+                known[w] = array("I", e.ids).tobytes()
+
+    def _ask_model(self, new: list[str], known: dict[str, bytes]) -> None:
+        """The same for strings that are one pre-token in the form the model sees, without the steps before it."""
+        ask = self.model.tokenize
+        known.update([(w, array("I", [t.id for t in ask(w if w.isascii() else "".join(map(BYTE_CHARS.__getitem__, w.encode())))]).tobytes()) for w in new])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = []
+        for t in texts:
+            if self.plain and not _BEYOND.search(t):
+                t = t.lower()
+            split.append(t.replace("\n", " ").split(" "))
+        self.words, self.cores = first_half(self.words, CACHE), first_half(self.cores, CACHE // 2)
+        words, cores = self.words, self.cores
+        new = set().union(*split).difference(words)
+        parts: list = []
+        odd = list(new)
+        if self.plain:
+            plain = {w for w in new if w.isascii() and w.isalpha() and w.islower()}
+            parts = [(w, _PLAIN.fullmatch(w)) for w in new - plain]
+            parts, odd = [(w, m[1], m[2]) for w, m in parts if m], [w for w, m in parts if not m]
+        else:
+            plain = set()
+        need = plain.union([c for _, c, _ in parts], [c for _, _, c in parts]).difference(cores)
+        self._ask_model(list(need), cores)
+        self._ask(odd, words)
+        words.update([(w, cores[w]) for w in plain])
+        words.update([(w, cores[a] + cores[b]) for w, a, b in parts])
+        return [b"".join(map(words.__getitem__, s)) for s in split]
 
 
 @lru_cache(maxsize=2)
