@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, nearest, sentencepieces, substring_dedup, token_counts, token_files, url_filter
+from . import decontaminate, language_id, near_dedup, nearest, sentencepieces, substring_dedup, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_sentencepiece": sentencepieces.op6_sentencepiece,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_nearest": nearest.op10_nearest,
