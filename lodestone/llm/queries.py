@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, near_dedup, nearest, sentencepieces, substring_dedup, token_counts, token_files, url_filter
+from . import decontaminate, html_text, language_id, near_dedup, nearest, sentencepieces, substring_dedup, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_html_text": html_text.op2_html_text,
     "op3_token_files": token_files.op3_token_files,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
