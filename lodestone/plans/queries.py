@@ -420,8 +420,8 @@ ORACLE_SQL = {
       buckets AS (SELECT doc_id, ('0x' || md5(word)[1:8])::UBIGINT % 64 AS b, count(*)::DOUBLE AS n FROM words GROUP BY ALL),
       norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm, map_from_entries(list((b, n))) AS m FROM buckets GROUP BY doc_id)
       SELECT doc_id, list_transform(range(64), lambda k: round(coalesce(m[k::UBIGINT], 0) / norm, 6) + 0.0) AS embedding FROM norms""",
-    "debounce": "SELECT user_id AS client, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) >= 60 * 60 * 1000000 AS due FROM events GROUP BY user_id",
-    "client_expiry": "SELECT user_id AS client, epoch_us(max(ts)) AS last_seen, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 3600 * 1000000 AS expired FROM events GROUP BY user_id",
+    "debounce": "SELECT user_id AS client, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) >= 3600000000::BIGINT AS due FROM events GROUP BY user_id",
+    "client_expiry": "SELECT user_id AS client, epoch_us(max(ts)) AS last_seen, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 3600000000::BIGINT AS expired FROM events GROUP BY user_id",
     "interval_overlap": f"""WITH RECURSIVE {CHUNKS}, spans AS (SELECT file_path, unnest(range(0, (length(content) + 299) // 300)) AS ord, length(content) AS n FROM docs WHERE length(content) > 0)
       SELECT c.file_path, c.chunk_index, count(*) AS overlaps, min(s.ord) AS first FROM chunks c JOIN spans s ON c.file_path = s.file_path AND s.ord * 300 < c.end_char AND c.start_char < least(s.ord * 300 + 300, s.n) GROUP BY ALL""",
     "conversation_context": f"""WITH turns AS (SELECT conv_id::VARCHAR AS file_path, turn AS chunk_index, text AS content, turn AS start_line, turn AS end_line FROM conversations)
