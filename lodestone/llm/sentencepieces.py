@@ -13,44 +13,74 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read_table, small_batches
+from .common import first_half, read_table, small_batches
 from .lattice import Lattice, agenda_encode, backtrack
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Distinct words a worker remembers; the memory is emptied when full.
-CACHE = 400_000
+#: Distinct words a worker remembers.
+CACHE = 500_000
 MODEL = "piece_bpe_32k.model"
 
 
-class PieceCodec:
-    """Encoder and decoder for one model file with identity normalisation and a dummy prefix."""
+def _kinds(model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts of the pieces, which are not ordinary text, and the ids of the 256 bytes."""
+    n = model.vocab_size()
+    text = [model.id_to_piece(i) for i in range(n)]
+    odd = np.array([model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)])
+    byte_id = np.zeros(256, np.int32)
+    for i in np.flatnonzero(odd).tolist():
+        if model.is_byte(i):
+            byte_id[int(text[i][3:5], 16)] = i
+    return text, odd, byte_id
+
+
+class Decoder:
+    """Texts of ids."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.vocab_size()
-        if model.encode("  a  b", out_type=str) != [MARK * 2, MARK + "a", MARK, MARK + "b"] or model.normalize("ﬁ  A") != f"{MARK}ﬁ{MARK} A":
+        text, odd, byte_id = _kinds(model)
+        surface = [t.replace(MARK, " ").encode() for t in text]
+        for i in np.flatnonzero(odd).tolist():
+            surface[i] = b"" if model.is_control(i) else " \u2047 ".encode()
+        for b, i in enumerate(byte_id.tolist()):
+            surface[i] = bytes([b])
+        self.surface = np.array(surface, object)
+        self.marked = np.array([t.startswith(MARK) for t in text]) & ~odd
+        self.control = np.array([model.is_control(i) for i in range(len(text))])
+
+    def decode(self, ids: np.ndarray, stops: np.ndarray) -> list[str]:
+        """Texts of consecutive runs of ``ids`` that end before ``stops``."""
+        parts, out, start = self.surface[ids].tolist(), [], 0
+        for stop in stops.tolist():
+            data, first = b"".join(parts[start:stop]), start
+            while first < stop and self.control[ids[first]]:
+                first += 1
+            if first < stop and self.marked[ids[first]]:
+                data = data[1:]
+            out.append(data.decode("utf-8", "replace"))
+            start = stop
+        return out
+
+
+class Encoder:
+    """Ids of texts, for one model file with identity normalisation and a dummy prefix."""
+
+    def __init__(self, path: str):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.encode("  a  b", out_type=str) != [MARK * 2, MARK + "a", MARK, MARK + "b"] or model.normalize("\ufb01  A") != f"{MARK}\ufb01{MARK * 2}A":
             raise ValueError("only models with identity normalisation and a dummy prefix are supported")
-        text = [model.id_to_piece(i) for i in range(n)]
-        odd = np.array([model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)])
-        self.byte_id = np.zeros(256, np.int32)
-        self.surface = [t.replace(MARK, " ").encode() for t in text]
-        for i in np.flatnonzero(odd):
-            if model.is_byte(int(i)):
-                self.byte_id[int(text[i][3:5], 16)] = i
-                self.surface[i] = bytes([int(text[i][3:5], 16)])
-            else:
-                self.surface[i] = b"" if model.is_control(int(i)) else " ⁇ ".encode()
-        self.marked = [t.startswith(MARK) and not o for t, o in zip(text, odd, strict=True)]
-        self.control = [model.is_control(i) for i in range(n)]
-        normal = [i for i in range(n) if not odd[i]]
+        text, odd, self.byte_id = _kinds(model)
+        normal = [i for i in range(len(text)) if not odd[i]]
         number = {text[i]: k for k, i in enumerate(normal)}
         self.ids = np.array([*normal, -1], np.int32)
         score = {k: -model.get_score(i) for k, i in enumerate(normal)}
@@ -89,20 +119,23 @@ class PieceCodec:
                 out.append(int(self.ids[p]))
         return np.array(out, "<i4").tobytes()
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        """Ids of units, which are known by what follows their first mark."""
         by: dict[int, list[str]] = {}
-        for u in units:
-            if MARK * 2 in u:
-                self.words[u] = self._bytes_of(agenda_encode([self.base.get(c, self.lattice.unknown) for c in u], self.merged), u)
-            elif len(u) > 64:
+        for w in words:
+            if MARK in w:
+                u = MARK + w
+                self.words[w] = self._bytes_of(agenda_encode([self.base.get(c, self.lattice.unknown) for c in u], self.merged), u)
+            elif len(w) > 63:
+                u = MARK + w
                 last, size = self.lattice.solve([list(map(ord, u))])[0]
-                self.words[u] = self._bytes_of(backtrack(last, size), u)
+                self.words[w] = self._bytes_of(backtrack(last, size), u)
             else:
-                by.setdefault(len(u), []).append(u)
+                by.setdefault(len(w) + 1, []).append(w)
         for length, some in by.items():
             for k in range(0, len(some), 8192):
                 part = some[k : k + 8192]
-                mat = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), length).astype(np.int64)
+                mat = np.frombuffer((MARK + MARK.join(part)).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), length).astype(np.int64)
                 last = self.lattice.last_pieces(mat)
                 size = self.lattice._size
                 rows, end, column = np.arange(len(part)), np.full(len(part), length), length
@@ -116,33 +149,25 @@ class PieceCodec:
                     end = np.where(on, end - size[rows, e], 0)
                 ids = self.ids[path].astype("<i4").tobytes()
                 strange = (path == self.lattice.unknown).any(1)
-                for r, u in enumerate(part):
-                    start = (r + 1) * length - used[r]
-                    self.words[u] = self._bytes_of(path[r, length - used[r] :].tolist(), u) if strange[r] else ids[4 * start : 4 * (r + 1) * length]
+                starts = (4 * (np.arange(1, len(part) + 1) * length - used)).tolist()
+                stops = range(4 * length, 4 * length * (len(part) + 1), 4 * length)
+                self.words.update(zip(part, [ids[a:b] for a, b in zip(starts, stops, strict=True)], strict=True))
+                for r in np.flatnonzero(strange).tolist():
+                    self.words[part[r]] = self._bytes_of(path[r, length - used[r] :].tolist(), MARK + part[r])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = []
         for t in texts:
             if not t:
-                split.append([])
+                split.append(())
             elif MARK in t or "  " in t or t[0] == " " or t[-1] == " ":
-                split.append(_UNITS.findall(MARK + t.replace(" ", MARK)))
+                split.append([u[1:] for u in _UNITS.findall(MARK + t.replace(" ", MARK))])
             else:
-                split.append([MARK + w for w in t.split(" ")])
-        if len(self.words) > CACHE:
-            self.words.clear()
-        words = self.words
-        self._learn(list({u for s in split for u in s if u not in words}))
-        return [b"".join([words[u] for u in s]) for s in split]
-
-    def decode(self, ids: list[int]) -> str:
-        surface = self.surface
-        data = b"".join([surface[i] for i in ids])
-        first = next((i for i in ids if not self.control[i]), None)
-        if first is not None and self.marked[first]:
-            data = data[1:]
-        return data.decode("utf-8", "replace")
+                split.append(t.split(" "))
+        self.words = words = first_half(self.words, CACHE)
+        self._learn(list(set().union(*split).difference(words)))
+        return [b"".join(map(words.__getitem__, s)) for s in split]
 
 
 class _Without(dict):
@@ -157,58 +182,54 @@ class _Without(dict):
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) for every row. A null text counts as empty and gives an empty array.
+    """(id, ids array<int>, ids_crc32) for every row. A null text counts as empty and gives an empty array.
 
-    Repeated rows give repeated rows; other columns are ignored. ``path`` is a model file every worker has.
+    ``ids_crc32`` is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers. Repeated rows
+    give repeated rows; other columns are ignored. ``path`` is a model file every worker has.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = encoder(path)
         for b in batches:
             coded = c.encode([t or "" for t in b.column(1).to_pylist()])
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([zlib.crc32(x) for x in coded], pa.int64())], ["id", "ids", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-            .mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col))
+            .mapInArrow(run, f"id {kind}, ids array<int>, ids_crc32 long").withColumnRenamed("id", id_col))
 
 
-def decode_pieces(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, text) for every row of ids. A null array gives null; ids outside the model fail the task."""
+def decode_pieces(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """``rows`` with a column more: the text of its ids. A null array gives null; ids that the model does not
+    have fail the task."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        d = decoder(path)
         for b in batches:
-            texts = [None if x is None else c.decode(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["id", "ids", "text"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    return (rows.select(rows[id_col].alias("id"), rows[ids_col].alias("ids"))
-            .mapInArrow(run, f"id {kind}, ids array<int>, text string").withColumnRenamed("id", id_col))
-
-
-def ids_crc32(ids: Column) -> Column:
-    """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def crc(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: zlib.crc32(np.asarray(v, "<u4").tobytes()))
+            lists = b.column(ids_col)
+            stops = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            texts = pa.array(d.decode(lists.flatten().to_numpy(zero_copy_only=False), stops), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, pc.if_else(lists.is_valid(), texts, None)], [*b.schema.names, text_col])
 
-    return F.pandas_udf(crc, "long")(ids)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids again, and returns digests of both."""
     path = public_tokenizers.path(MODEL)
     decoded = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents"), path), path)
-    ids: Column = F.col("ids")
-    return decoded.select("doc_id", F.size(ids).cast("long").alias("n_ids"), ids_crc32(ids).alias("ids_crc32"),
-                          F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("text_sha256"))
