@@ -31,32 +31,37 @@ def identifiers(query: Column) -> Column:
 def significant_words(query: Column) -> Column:
     """Distinct lower-case words of more than two characters that the stop list does not have."""
     words = F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS)))
 
 
-def _whole_word(text: Column, word: Column) -> Column:
-    return F.regexp_like(text, F.concat(F.lit(r"(?U)\b"), word, F.lit(r"\b")))
+def words_of(text: Column) -> Column:
+    """The whole words of a text; taken once, it serves any number of queries."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
 
 
-def identifier_matches(names: Column, text: Column, case_sensitive: bool = True) -> Column:
-    """How many of the identifiers stand in the text as whole words."""
+def identifier_matches(names: Column, text_words: Column, case_sensitive: bool = True) -> Column:
+    """How many of the identifiers are among the words of a text (``words_of``)."""
     if not case_sensitive:
-        names, text = F.transform(names, F.lower), F.lower(text)
-    return F.size(F.filter(names, lambda n: _whole_word(text, n)))
+        names, text_words = F.transform(names, F.lower), F.transform(text_words, F.lower)
+    return F.size(F.array_intersect(names, text_words))
 
 
-def has_exact_match(names: Column, text: Column, case_sensitive: bool = True) -> Column:
-    return identifier_matches(names, text, case_sensitive) > 0
+def has_exact_match(names: Column, text_words: Column, case_sensitive: bool = True) -> Column:
+    return identifier_matches(names, text_words, case_sensitive) > 0
 
 
-def has_significant_word(words: Column, text: Column) -> Column:
-    return F.exists(words, lambda w: _whole_word(F.lower(text), w))
+def has_significant_word(words: Column, lower_text_words: Column) -> Column:
+    """Whether any significant word is among the words of the lower-cased text."""
+    return F.arrays_overlap(words, lower_text_words)
 
 
-def boost(names: Column, words: Column, text: Column, base: float = BASE_BOOST) -> Column:
+def boost(names: Column, words: Column, text: Column, base: float = BASE_BOOST, text_words: Column | None = None, lower_text_words: Column | None = None) -> Column:
     """Factor for a text: ``base`` for one identifier and half of it more for each further one; without
-    identifiers in the query a little for any significant word; else one."""
-    n = identifier_matches(names, text)
+    identifiers in the query a little for any significant word; else one.
+
+    The words of the text, and of it lower-cased, can be given where they are columns already.
+    """
+    n = identifier_matches(names, words_of(text) if text_words is None else text_words)
+    lower = words_of(F.lower(text)) if lower_text_words is None else lower_text_words
     named = F.when(n == 0, 1.0).otherwise(base * (1 + (n - 1) * 0.5))
-    return F.when(F.size(names) > 0, named).when(has_significant_word(words, text), WORD_BOOST).otherwise(1.0)
+    return F.when(F.size(names) > 0, named).when(has_significant_word(words, lower), WORD_BOOST).otherwise(1.0)

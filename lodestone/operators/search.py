@@ -102,7 +102,7 @@ def boost_hits(hits: DataFrame, query: Column, n: int, strict_limit: bool = True
     """
     names = ident.identifiers(query)
     named = F.size(names) > 0
-    matches = F.when(named, ident.identifier_matches(names, F.col("content"))).otherwise(0)
+    matches = F.when(named, ident.identifier_matches(names, ident.words_of(F.col("content")))).otherwise(0)
     factor = F.when(named, ident.boost(names, ident.significant_words(query), F.col("content"))).otherwise(1.0)
     hits = hits.withColumns({"original_similarity": F.when(named, F.col("similarity")), "boosted": matches > 0, "similarity": F.col("similarity") * factor})
     w = Window.partitionBy("query_id").orderBy(F.desc(F.when(named, F.col("similarity")).otherwise(F.lit(0.0))), "rank")

@@ -170,9 +170,11 @@ def significant_words(spark, sf_dir):
 
 def boost_score(spark, sf_dir):
     q = asked(spark).select("query_id", ident.identifiers(F.col("query")).alias("names"), ident.significant_words(F.col("query")).alias("words"))
-    pairs = coded(spark, sf_dir).crossJoin(F.broadcast(q))  # a stated set of five queries
-    return pairs.select("doc_id", "query_id", ident.identifier_matches(F.col("names"), F.col("content")).cast("long").alias("matches"),
-                        ident.has_significant_word(F.col("words"), F.col("content")).alias("has_word"), ident.boost(F.col("names"), F.col("words"), F.col("content")).alias("boost"))
+    d = coded(spark, sf_dir).select("doc_id", F.array_distinct(ident.words_of(F.col("content"))).alias("own"), F.array_distinct(ident.words_of(F.lower("content"))).alias("lower"))
+    pairs = d.crossJoin(F.broadcast(q))  # a stated set of five queries
+    own, lower = F.col("own"), F.col("lower")
+    return pairs.select("doc_id", "query_id", ident.identifier_matches(F.col("names"), own).cast("long").alias("matches"), ident.has_significant_word(F.col("words"), lower).alias("has_word"),
+                        ident.boost(F.col("names"), F.col("words"), F.lit(""), text_words=own, lower_text_words=lower).alias("boost"))
 
 
 def boosted_search(spark, sf_dir):

@@ -34,7 +34,7 @@ def test_boost_grows_with_matches(spark):
     assert [factor(t) for t in ("nothing", "readFile()", "readFile WriteFile", "readFile WriteFile MAX_SIZE", "readFiles")] == [1.0, 3.0, 4.5, 6.0, 1.0]
     plain = lambda text: one(spark, ident.boost(ident.identifiers(F.col("q")), ident.significant_words(F.col("q")), F.col("t")), q="parse token", t=text)[0]
     assert [plain("a Token here"), plain("tokens")] == [1.2, 1.0]
-    assert one(spark, ident.has_exact_match(ident.identifiers(F.col("q")), F.col("t"), case_sensitive=False), q=q, t="READFILE")[0]
+    assert one(spark, ident.has_exact_match(ident.identifiers(F.col("q")), ident.words_of(F.col("t")), case_sensitive=False), q=q, t="READFILE")[0]
 
 
 def test_context_and_display(spark):
