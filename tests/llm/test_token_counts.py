@@ -9,9 +9,7 @@ from lodestone.llm import token_counts as tc
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.fixture(scope="module")
-def library():
-    return Tokenizer.from_file(PATH)
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 def brute(library, text):
@@ -27,15 +25,14 @@ CASES = ["", " ", "a", "it's we'll they've I'd 'r 're '", "foo\n\n  bar\t baz \n
 
 
 @pytest.mark.parametrize("text", CASES)
-def test_every_prefix(library, text):
-    assert counts(tc.counter(PATH).tables([text])[0]) == brute(library, text)
+def test_every_prefix(text):
+    assert counts(tc.counter(PATH).tables([text])[0]) == brute(LIBRARY, text)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("ab cd'rsetlv\n\t é.1 日<| TheIN") , max_size=40))
 def test_random_texts(text):
-    library = Tokenizer.from_file(PATH)
-    assert counts(tc.counter(PATH).tables([text])[0]) == brute(library, text)
+    assert counts(tc.counter(PATH).tables([text])[0]) == brute(LIBRARY, text)
 
 
 def test_budget():

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 from lodestone.llm import token_files as tf
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=100, deadline=None)
@@ -25,16 +26,14 @@ def test_codes(values, data):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40) | st.text(st.sampled_from("ab 'sreTHE.\n\t́é!<|endoftext>"), max_size=40))
 def test_words_equal_whole_text(text):
-    library = Tokenizer.from_file(PATH)
     for t in (text, text + "<|endoftext|> x"):
-        assert np.frombuffer(tf.tokenizer(PATH).encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(tf.tokenizer(PATH).encode([t])[0], "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
 def brute(rows):
-    library = Tokenizer.from_file(PATH)
     out, start = [], 0
     for i, t in rows:
-        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*LIBRARY.encode(t or "", add_special_tokens=False).ids, 2]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
