@@ -6,14 +6,16 @@ queries and hands on the nearest of its batch, so a search is one pass over the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import identifiers as ident
+from ..functions.text import rerank_context
 from ..sources.filters import in_paths, of_types
 
 RESULTS = 5
@@ -94,6 +96,28 @@ def rerank(hits: DataFrame, score: Column, top_k: int) -> DataFrame:
     return hits.withColumn("similarity", score).withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= top_k).drop("rank").withColumnRenamed("new_rank", "rank")
 
 
+def rerank_with(hits: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], top_k: int) -> DataFrame:
+    """Rerank by a model: ``load`` makes, once a task, a function from (query, context) pairs to scores.
+
+    The context is the file, class, function and code of a hit. If the model answers nothing for a batch, its
+    hits keep their order: their score is ``1 - distance``.
+    """
+    names = hits.columns
+    optional = lambda c: F.col(c) if c in names else F.lit(None).cast("string")
+    context = rerank_context(optional("file_path"), optional("class_name"), optional("function_name"), F.col("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = load()
+        for b in batches:
+            scores = score(list(zip(b.column("query").to_pylist(), b.column("context_").to_pylist(), strict=True))) if b.num_rows else []
+            values = pa.array(scores, pa.float64()) if len(scores) == b.num_rows else pa.array([1 - d for d in b.column("distance").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), values], [*names, "score_"])
+
+    schema = T.StructType([*hits.schema.fields, T.StructField("score_", T.DoubleType())])
+    scored = hits.withColumn("context_", context).mapInArrow(run, schema)
+    return rerank(scored, F.col("score_"), top_k).drop("score_")
+
+
 def boost_hits(hits: DataFrame, query: Column, n: int, strict_limit: bool = True) -> DataFrame:
     """Lift ``similarity`` by the query's identifiers in ``content``, sort again, and keep ``n`` a query.
 

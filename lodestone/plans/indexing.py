@@ -29,6 +29,8 @@ class Index:
 
     def __init__(self, spark: SparkSession, store_root: str, root: str, embed: Callable[[DataFrame], DataFrame] | None = None,
                  chunk_size: int = chunking.CHUNK_SIZE, exclude_tests: bool = False, additional_ignored=(), model_name: str = "hash"):
+        if not files.is_folder(root):
+            raise ValueError(f"{root} is not a folder")
         self.spark, self.root = spark, root
         self.store = Store(spark, f"{store_root.rstrip('/')}/{collection_of(root)}")
         self.embed = embed or hash_embedded

@@ -29,6 +29,11 @@ def _listed(system: arrow_fs.FileSystem, folder: str) -> list[arrow_fs.FileInfo]
     return system.get_file_info(arrow_fs.FileSelector(folder, allow_not_found=True))
 
 
+def is_folder(root: str) -> bool:
+    system, base = _open(root)
+    return system.get_file_info(base).type == arrow_fs.FileType.Directory
+
+
 def _pruned(name: str, patterns) -> bool:
     return any(fnmatch.fnmatchcase(name, p) for p in patterns)
 
