@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import itertools
 import tempfile
 import uuid
@@ -49,7 +51,17 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     with freeing_shuffles(spark):
         writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing will read them again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -60,3 +72,28 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 def first_half(known: dict, most: int) -> dict:
     """``known``, or its older half once it has more than ``most`` entries: frequent words come early."""
     return dict(itertools.islice(known.items(), most // 2)) if len(known) > most else known
+
+
+_HELD: dict[tuple[str, str], object] = {}
+
+
+def held(name: str, path: str, load):
+    """What ``load(path)`` makes, kept in this Python worker for its next tasks until another kind is asked for.
+
+    Workers are reused from stage to stage, and what one operator remembers must not stand beside what the
+    next one needs.
+    """
+    key = (name, path)
+    if key not in _HELD:
+        give_up()
+        _HELD[key] = load(path)
+    return _HELD[key]
+
+
+def give_up() -> None:
+    """Let go of whatever earlier tasks left in this worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)

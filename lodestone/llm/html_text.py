@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches
+from .common import give_up, materialize, read_table, small_batches
 from .url_filter import url_host
 
 #: Winners up to this many hosts are broadcast (about 100 bytes each); more are joined by shuffling.
@@ -223,6 +223,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches:
             rows = [(h, *v) for h, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for v in _votes(s)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["host", "path", "vote"])
@@ -247,6 +248,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches:
             texts = []
             for source, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):

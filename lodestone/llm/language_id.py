@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches
+from .common import give_up, materialize, read_table, small_batches
 
 UNKNOWN = "und"
 ORDERS = (3, 4)
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, train: Column, train_docs: int = TRAIN_DOCS, share: flo
         chosen = chosen | ((F.col("lang") == name) & (draw < min(1.0, train_docs / n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for name in set(langs):
@@ -158,6 +159,7 @@ def identify(docs: DataFrame, model: BitmaskFilter) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         m = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -190,6 +192,7 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         m = shared.value
         for b in batches:
             keep = np.array([bool(x) for x in b.column("has_letter_").to_pylist()])

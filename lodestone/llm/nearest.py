@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches
+from .common import give_up, materialize, read_table, small_batches
 
 K = 10
 #: Vectors the tree is fitted on, about, chosen by a hash of their id; and its most leaves.
@@ -150,6 +150,7 @@ def _exact(leaved: DataFrame, query_ids: list[int], q: np.ndarray, k: int) -> Da
     top, ids_, shared = _block_top(k), np.array(query_ids), q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches:
             ids, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
             at = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
@@ -164,6 +165,7 @@ def _visit(leaved: DataFrame, queries: DataFrame, tree_b, visits: int, leaf_size
     spark = leaved.sparkSession
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches:
             orders = tree_b.value.order(_matrix(b.column(1)), visits) if b.num_rows else []
             rows = np.repeat(np.arange(b.num_rows), [len(o) for o in orders])
@@ -215,6 +217,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     tree_b = spark.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches:
             leaf = tree_b.value.assign(_matrix(b.column(1))) if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], ["vec_id", "embedding", "leaf"])

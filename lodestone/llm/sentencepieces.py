@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_half, read_table, small_batches
+from .common import first_half, held, read_table, small_batches
 from .lattice import Lattice, agenda_encode, backtrack
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Distinct words a worker remembers.
-CACHE = 500_000
+CACHE = 400_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -181,35 +180,38 @@ class _Without(dict):
         return default if found is None or found[1] == self.piece else found
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held("encoder", path, Encoder)
 
 
-@lru_cache(maxsize=2)
 def decoder(path: str) -> Decoder:
-    return Decoder(path)
+    return held("decoder", path, Decoder)
 
 
-def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(id, ids array<int>, ids_crc32) for every row. A null text counts as empty and gives an empty array.
 
-    ``ids_crc32`` is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers. Repeated rows
+    ``ids_crc32`` is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers. With ``decode``
+    there is a column ``decoded`` too, the text that the ids stand for, made in the same pass. Repeated rows
     give repeated rows; other columns are ignored. ``path`` is a model file every worker has.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = encoder(path)
+        back = Decoder(path) if decode else None
         for b in batches:
             coded = c.encode([t or "" for t in b.column(1).to_pylist()])
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([zlib.crc32(x) for x in coded], pa.int64())], ["id", "ids", "ids_crc32"])
+            flat = np.frombuffer(b"".join(coded), "<i4")
+            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([zlib.crc32(x) for x in coded], pa.int64())]
+            if back:
+                columns.append(pa.array(back.decode(flat, offsets[1:]), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "ids_crc32", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-            .mapInArrow(run, f"id {kind}, ids array<int>, ids_crc32 long").withColumnRenamed("id", id_col))
+    schema = f"id {kind}, ids array<int>, ids_crc32 long" + ", decoded string" * decode
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode_pieces(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -231,5 +233,5 @@ def decode_pieces(rows: DataFrame, path: str, ids_col: str = "ids", text_col: st
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids again, and returns digests of both."""
     path = public_tokenizers.path(MODEL)
-    decoded = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents"), path), path)
+    decoded = encode_pieces(read_table(spark, sf_dir, "documents"), path, decode=True)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.sha2("decoded", 256).alias("text_sha256"))

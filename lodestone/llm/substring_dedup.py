@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import freeing_shuffles, materialize, read_table, small_batches
+from .common import discard, freeing_shuffles, give_up, materialize, read_table, small_batches
 from .words import Words, word_blocks
 
 WINDOW = 13
@@ -65,6 +65,7 @@ def fingerprints(keyed: DataFrame) -> DataFrame:
     """(fp, t1, t2): the fingerprints of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches:
             t1, t2 = b.column(1).to_numpy(), b.column(2).to_numpy()
             for a, _, w in word_blocks(b.column(0)):
@@ -83,9 +84,11 @@ class FingerprintIndex:
         self.spark, self.fan_out = spark, fan_out
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # (level, table), oldest first
+        self.written: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"lodestone_run_{uuid.uuid4().hex}"
+        self.written.append(name)
         with freeing_shuffles(self.spark):
             rows.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
         return name
@@ -102,6 +105,12 @@ class FingerprintIndex:
         self._compact()
         return shared
 
+    def drop(self) -> None:
+        """Give up the index, merged runs included."""
+        for name in self.written:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs, self.written = [], []
+
     def _compact(self) -> None:
         """Merge the runs of a level once there are ``fan_out``; the merged ones stay for readers under way."""
         level = 0
@@ -155,11 +164,13 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     known = shared[0]
     for s in shared[1:]:
         known = known.unionByName(s)
-    known = materialize(known)
-    near = materialize(fingerprints(keyed.where("doc_id is not null")).join(known.distinct(), "fp").groupBy("t1", "t2").agg(F.collect_set("fp").alias("fps")))
+    known = materialize(known.distinct())
+    index.drop()
+    near = materialize(fingerprints(keyed.where("doc_id is not null")).join(known, "fp").groupBy("t1", "t2").agg(F.collect_set("fp").alias("fps")))
     texts = materialize(keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id")))
 
     def windows(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches_:
             first, t1, t2 = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
             for a, z, w in word_blocks(b.column(0)):
@@ -178,10 +189,12 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     candidates = (keyed.join(sources, ["t1", "t2"]).where("doc_id = first_id").select("text", "first_id", "t1", "t2", "fps")
                   .mapInArrow(windows, "h long, v int, id long, t1 long, t2 long"))
     candidates = materialize(candidates)
-    firsts = candidates.groupBy("h", "v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "v", "low")
+    firsts = materialize(candidates.groupBy("h", "v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "v", "low"))
     lost = (candidates.join(firsts, ["h", "v"]).where("low < id")
             .groupBy("t1", "t2").agg(F.collect_set(F.struct("h", "v")).alias("lost")))
-    return materialize(texts.join(lost, ["t1", "t2"], "left"))
+    found = materialize(texts.join(lost, ["t1", "t2"], "left"))
+    discard(known, near, texts, candidates, firsts)
+    return found
 
 
 def _judged(docs: DataFrame, batches: int, schema: str, make) -> DataFrame:
@@ -191,6 +204,7 @@ def _judged(docs: DataFrame, batches: int, schema: str, make) -> DataFrame:
     small_batches(spark, 200)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches_:
             out = []
             for a, z, w in word_blocks(b.column("text_")):

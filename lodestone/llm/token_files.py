@@ -17,7 +17,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_half, read_table, shared_dir, small_batches
+from .common import first_half, give_up, held, read_table, shared_dir, small_batches
 
 MAGIC = b"DAC1"
 #: Bits of a bitmap for each entry of its rank directory.
@@ -181,9 +180,8 @@ class WordTokenizer:
         return [b"".join(map(words.__getitem__, s)) for s in split]
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return held("words", path, WordTokenizer)
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -241,6 +239,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in batches:
             for k in range(b.num_rows):
                 part, start = b.column(0)[k].as_py(), b.column(1)[k].as_py()

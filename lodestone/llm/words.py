@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ class Words:
     each text (one more at the end)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data = data
+        self.data, self.offsets = data, offsets
         inside = ~_SPACE[data]
         after = np.zeros(len(data) + 1, bool)
         after[1:] = inside
@@ -70,10 +71,9 @@ class Words:
 
     def text(self, i: int, keep: np.ndarray) -> bytes:
         """Kept words of text ``i``, joined by one space."""
-        data = self.data
-        a, b = self.first[i], self.first[i + 1]
-        some = np.flatnonzero(keep[a:b]) + a
-        return b" ".join([data[s:e].tobytes() for s, e in zip(self.start[some].tolist(), self.end[some].tolist(), strict=True)])
+        words = self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().split()  # at the same bytes
+        keep = keep[self.first[i] : self.first[i + 1]]
+        return b" ".join(words if keep.all() else itertools.compress(words, keep.tolist()))
 
 
 def word_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, Words]]:

@@ -44,6 +44,7 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for r in sp.decode_pieces(sp.encode_pieces(docs, PATH), PATH).join(docs, "doc_id").collect():
         assert list(r.ids) == LIBRARY.encode(r.text) and r.decoded == r.text
+    assert all(r.decoded == r.text for r in sp.encode_pieces(docs, PATH, decode=True).join(docs, "doc_id").collect())
 
 
 def test_rows(spark):
