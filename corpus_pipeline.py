@@ -37,8 +37,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_ids, ids, text): the ids of each text, and the text they decode to."""
     path = public_tokenizers.path(sentencepieces.MODEL)
-    coded = sentencepieces.decode_pieces(sentencepieces.encode_pieces(docs, path), path, text_col="text")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "text")
+    coded = sentencepieces.encode_pieces(docs, path, decode=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [
