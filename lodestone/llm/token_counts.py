@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, small_batches
+from .common import first_half, held, read_table, small_batches
 from .lattice import Lattice, counts_matrix, prefix_counts
 
 LIMIT = 512
@@ -30,8 +29,8 @@ _CUT = regex.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
 #: White space other than plain spaces and newlines, or next to another white space or an end: cut with ``_CUT``.
 _UNUSUAL = regex.compile(r"[\t\x0b-\r\x85\xa0  -     　]|  | \n|\n[ \n]|^ | $")
 _CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
-#: Distinct pieces a worker remembers; the memory is emptied when full.
-CACHE = 150_000
+#: Distinct pre-tokens a worker remembers, and twice as many pieces of text between spaces.
+CACHE = 300_000
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -67,8 +66,7 @@ class PrefixCounter:
 
     def _learn(self, pretokens: set[str]) -> None:
         """Steps of the counts at every character of each pre-token not yet known."""
-        if len(self.pre) > CACHE:
-            self.pre.clear()
+        self.pre = first_half(self.pre, CACHE)
         new = [p for p in pretokens if p not in self.pre]
         data = [p.encode() for p in new]
         by: dict[int, list[int]] = {}
@@ -150,8 +148,7 @@ class PrefixCounter:
     def tables(self, texts: list[str]) -> list[bytes]:
         """For each text the differences of its prefix counts, two bytes a character."""
         split, need_bare, need_spaced = [], set(), set()
-        if len(self.spaced) + len(self.bare) > 3 * CACHE:
-            self.spaced.clear(), self.bare.clear()
+        self.spaced, self.bare = first_half(self.spaced, 2 * CACHE), first_half(self.bare, CACHE)
         for text in texts:
             jobs = []
             if text:
@@ -192,9 +189,8 @@ class PrefixCounter:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return held("counter", path, PrefixCounter)
 
 
 def tokens_in_prefix(table: bytes, n_chars: int) -> int:
