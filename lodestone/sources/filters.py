@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# These lists decide which files belong to an index.
+# These lists decide which files belong to an index (the library's own folder stands among the ignored).
 SOURCE_SUFFIXES = (
     ".py .js .ts .jsx .tsx .java .c .cpp .h .hpp .cs .go .rs .rb .php .swift .kt .scala .clj .lua .r .m .mm .pl .pm .sh .bash .zsh "
     ".html .htm .css .scss .sass .less .vue .svelte .json .yaml .yml .toml .xml .ini .cfg .conf .md .rst .txt "
@@ -17,7 +17,7 @@ SOURCE_SUFFIXES = (
 ).split()
 SOURCE_NAMES = ("makefile", "dockerfile", "vagrantfile", "gemfile", "rakefile")
 IGNORED = (
-    "node_modules .git __pycache__ .venv venv .egg-info dist build .code-rag .idea .vscode *.pyc *.pyo *.egg *.whl .DS_Store Thumbs.db "
+    "node_modules .git __pycache__ .venv venv .egg-info dist build .lodestone .idea .vscode *.pyc *.pyo *.egg *.whl .DS_Store Thumbs.db "
     "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock Pipfile.lock Cargo.lock go.sum Gemfile.lock *.min.js *.min.css *.map *.log"
 ).split()
 TEST_FILES = (
