@@ -6,14 +6,14 @@ are compared by a word-level edit distance in a band, and linked if it is at mos
 Groups are the connected components of the links.
 
 Identical texts are one text from the start. A bucket of texts with one sketch is not paired off: the few of
-a small bucket are, a larger one sends each text to its smallest; those that do not link to it go on to
-another round among themselves.
+a small bucket are, a larger one sends each text to its smallest. Then blocks of its texts meet: pairs that
+are not in one component yet and that neither their lengths nor their words' counts keep apart are compared,
+the likeliest first.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +30,13 @@ SIMILARITY = 0.8
 SKETCHES = 32
 #: Buckets of up to so many texts are compared pair by pair.
 SMALL = 8
-#: Rounds in which texts of a large bucket that did not link to its smallest look for another, from the second on
-#: among those of like length.
-ROUNDS = 4
+#: Texts of a larger bucket meet in blocks of about so many.
+BLOCK = 2048
+#: Counts of a text's words by hash, so many of a byte each.
+BINS = 256
+#: A text of a large bucket is first compared with this many that it has most words in common with; all others
+#: follow, but for those that are in one component by then.
+LIKELIEST = 8
 
 
 def _occurrence(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -290,12 +294,71 @@ def _pairs(members: DataFrame) -> DataFrame:
     return few.unionByName(star).distinct()
 
 
-def _by_length(members: DataFrame, similarity: float) -> DataFrame:
-    """Buckets parted by length, without loss: texts whose lengths are within ``similarity`` of one another are
-    in one of two ways of cutting the lengths, shifted by half, together."""
-    step = F.log(F.col("n_words")) / -(2 * math.log(similarity))
-    bands = F.explode(F.array(F.struct(F.lit(0).alias("way"), F.floor(step).alias("band")), F.struct(F.lit(1).alias("way"), F.floor(step + 0.5).alias("band"))))
-    return members.select("id", "n_words", "bucket", bands.alias("b")).select("id", "n_words", F.xxhash64("bucket", "b.way", "b.band").alias("bucket"))
+def word_bags(words: Words) -> np.ndarray:
+    """Counts of each text's words by hash, up to 255 (one row a text)."""
+    n = len(words.count)
+    at = words.owner() * BINS + (words.hashes() >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
+def possible_pairs(n_words: np.ndarray, label: np.ndarray, block: np.ndarray, bags: np.ndarray, similarity: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with different labels and, if there are several blocks, of different ones, whose word counts
+    allow a link; with ``most``, of each row only so many, the closest ones."""
+    order = np.argsort(n_words, kind="stable")
+    n, label, block, bags = n_words[order], label[order], block[order], bags[order].astype(np.int16)
+    limit = ((1 - similarity) * n + 1e-9).astype(np.int64)
+    total = bags.sum(1, dtype=np.int64)
+    stop = np.searchsorted(n - limit, n, "right")  # no edit distance is below the difference of the lengths
+    across = len(n) > 0 and bool((block != block[0]).any())
+    left, right = [], []
+    for i in range(len(n)):
+        some = label[i + 1 : stop[i]] != label[i]
+        if across:
+            some &= block[i + 1 : stop[i]] != block[i]
+        j = i + 1 + np.flatnonzero(some)
+        if not len(j):
+            continue
+        more = np.maximum(bags[j] - bags[i], 0).sum(1, dtype=np.int64)
+        least = np.maximum(more, more - total[j] + total[i])
+        ok = least <= limit[j]
+        j, least = j[ok], least[ok]
+        if most is not None and len(j) > most:
+            j = j[np.argpartition(least, most)[:most]]
+        left.append(np.full(len(j), i))
+        right.append(j)
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
+def _meeting(large: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """Pairs (a, b) of each bucket of ``large`` that can be linked and have different ``labels``, see
+    ``possible_pairs``. A bucket's blocks meet each with each, so no task has more than two of them."""
+    at = materialize(large.join(labels, "id", "left").select("id", "n_words", "bucket", "n", F.coalesce("label", "id").alias("label")))
+    mixed = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    at = materialize(at.join(mixed, "bucket").join(bags, "id").select("id", "n_words", "bucket", "label", "bag", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
+    # Buckets of one block share groups: a group has its price.
+    groups = max(1, at.count() // (4 * BLOCK))
+    met = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    met = met.select("id", "n_words", "label", "block", "bag", cell.alias("cell"), F.when(F.col("blocks") == 1, F.pmod("bucket", F.lit(groups))).otherwise(cell).alias("part"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        give_up()
+        ids, n, label, block, cells = (rows[c].to_numpy() for c in ("id", "n_words", "label", "block", "cell"))
+        bag = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
+        order = np.argsort(cells, kind="stable")
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+            i, j = possible_pairs(n[k], label[k], block[k], bag[k], similarity, most)
+            a.append(ids[k[i]])
+            b.append(ids[k[j]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return met.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
@@ -316,34 +379,32 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, sketches: int =
             for start, _, w in word_blocks(b.column(1)):
                 who, found = order_minhash(w, sketches)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * sketches), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who + start)), lists, pa.array(w.count[who])], ["id", "sketches", "n_words"])
+                bags = pa.array([x.tobytes() for x in word_bags(w)[who]], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who + start)), lists, pa.array(w.count[who]), bags], ["id", "sketches", "n_words", "bag"])
 
     small_batches(spark)
     rows = materialize(keyed.select("doc_id", "t1", "t2"))
     first = materialize(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id")))
     # From here on a text is known by its first hash.
-    sketched = materialize(keyed.where("doc_id is not null").select("t1", "text").mapInArrow(sketch, "id long, sketches array<long>, n_words long")
-                           .groupBy("id").agg(F.min("sketches").alias("sketches"), F.min("n_words").alias("n_words")))
+    sketched = materialize(keyed.where("doc_id is not null").select("t1", "text").mapInArrow(sketch, "id long, sketches array<long>, n_words long, bag binary")
+                           .groupBy("id").agg(F.min("sketches").alias("sketches"), F.min("n_words").alias("n_words"), F.min("bag").alias("bag")))
     members = _with_centres(sketched.select("id", "n_words", F.explode("sketches").alias("bucket")))
-    discard(sketched)
     pairs = materialize(_pairs(members))
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = first.where("first_id is not null").join(involved, F.col("t1") == F.col("id")).select("id", "first_id")
     texts = materialize(keyed.join(ids, (F.col("t1") == F.col("id")) & (F.col("doc_id") == F.col("first_id"))).select("id", "text").dropDuplicates(["id"]))
     judged = materialize(_linked(pairs, texts, similarity))
-    links, large = judged.where("linked").select("a", "b"), members
-    for turn in range(1, ROUNDS):
-        # Of large buckets: the texts that did not link to the centre, among themselves.
-        failed = judged.where("not linked").select(F.col("a").alias("centre"), F.col("b").alias("id"))
-        left = large.where((F.col("n") > SMALL) & (F.col("id") != F.col("centre"))).join(failed, ["centre", "id"]).select("id", "n_words", "bucket")
-        large = _with_centres(_by_length(left, similarity) if turn == 1 else left)
-        pairs = materialize(_pairs(large))
-        if pairs.isEmpty():
+    links, large = judged.where("linked").select("a", "b"), members.where(F.col("n") > SMALL)
+    for most in (LIKELIEST, None):
+        if large.isEmpty():
             break
-        judged = materialize(_linked(pairs, texts, similarity))
-        links = links.unionByName(judged.where("linked").select("a", "b"))
+        found = _meeting(large, materialize(components(links)), sketched.select("id", "bag"), similarity, most)
+        pairs = materialize(found.join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+        more = materialize(_linked(pairs, texts, similarity))
+        links = links.unionByName(more.where("linked").select("a", "b"))
+        judged = judged.unionByName(more)
     labels = materialize(components(links))
-    discard(members, texts)
+    discard(sketched, members, texts)
     classes = first.join(labels, F.col("t1") == F.col("id"), "left").select("t1", "t2", "first_id", F.coalesce("label", "t1").alias("label"))
     lowest = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
     classes = classes.join(lowest, "label").select("t1", "t2", F.when(F.col("first_id").isNotNull(), F.col("class_id")).alias("class_id"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from lodestone.llm import near_dedup as nd
+from lodestone.llm.words import Words
 
 
 def distance(a, b):
@@ -102,3 +103,33 @@ def test_large_group_and_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 4, 6, 7, 9, 1000)] + [(True, 0)]
     assert nd.near_groups(df.limit(0)).count() == 0
+
+
+def test_copies_of_one_original_that_are_not_copies_of_one_another(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(50, base)]
+    for i in range(1, 31):
+        w = list(base)
+        for k in rng.sample(range(60, 150), 25):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, w))
+    assert all(distance(w, base) <= 30 for _, w in rows)
+    assert sum(distance(w, rows[1][1]) > 30 for _, w in rows[2:]) > 25
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {r.class_id for r in nd.near_groups(df).collect()} == {1}
+
+
+def test_possible_pairs_lose_no_link(monkeypatch):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(30):
+        base = [str(rng.randrange(40)) for _ in range(rng.randrange(10, 50))]
+        texts += [base, [w if rng.random() > 0.15 else "z" for w in base], base[rng.randrange(9) :]]
+    words = Words(np.frombuffer(b"".join(" ".join(t).encode() for t in texts), np.uint8), np.cumsum([0] + [len(" ".join(t)) for t in texts]))
+    n, label, bags = words.count, np.arange(len(texts)) // 2, nd.word_bags(words)
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)}
+    for block in (np.zeros(len(n), int), np.arange(len(n)) % 2):
+        found = {(max(p), min(p)) for p in zip(*(x.tolist() for x in nd.possible_pairs(n, label, block, bags, 0.8, None)), strict=True)}
+        true = {(i, j) for i, j in near if label[i] != label[j] and (not block.any() or block[i] != block[j])}
+        assert len(true) > 10 and true <= found and len(found) < len(n) * (len(n) - 1) / 4
