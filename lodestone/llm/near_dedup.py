@@ -1,8 +1,8 @@
 """Near-duplicate groups with order MinHash and banded alignment.
 
-Each text's five-word runs, labelled with how often they occurred before in it, are hashed once for every
-sketch; the two smallest are kept in the order in which they stand in the text. Texts with a sketch in common
-are compared by a word-level edit distance in a band, and linked if it is at most a fifth of the longer text.
+Each text's three-word runs, labelled with how often they occurred before in it, are hashed once for every
+sketch; the two smallest are kept in the order in which they stand in the text. Short texts have sketches of
+single words besides, as few of their runs outlive an edit. Texts with a sketch in common are compared by a word-level edit distance in a band, and linked if it is at most a fifth of the longer text.
 Groups are the connected components of the links.
 
 Identical texts are one text from the start. A bucket of texts with one sketch is not paired off: the few of
@@ -24,10 +24,15 @@ from pyspark.sql import functions as F
 from .common import discard, give_up, materialize, read_table, small_batches
 from .words import Words, mix, word_blocks
 
+#: Words of the runs that alignments are tried through, and the fewest of a text that has sketches.
 GRAM = 5
 SIMILARITY = 0.8
+#: Words of the runs that are sketched: short ones, so that texts with every fifth word substituted still share many.
+RUN = 3
 #: Sketches of a text, each of the two smallest hashes.
-SKETCHES = 32
+SKETCHES = 40
+#: Texts of up to so many words have so many sketches of single words too.
+SHORT, SHORT_SKETCHES = 25, 12
 #: Buckets of up to so many texts are compared pair by pair.
 SMALL = 8
 #: Texts of a larger bucket meet in blocks of about so many.
@@ -51,11 +56,13 @@ def _occurrence(owner: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_minhash(words: Words, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the texts with at least five words, and their sketches (one row a text)."""
-    room = words.room(GRAM)
-    gram = words.runs(words.hashes(), GRAM)[room]
-    owner = words.owner()[room]
+def order_minhash(words: Words, sketches: int = SKETCHES, run: int = RUN, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the texts with at least five words (and at most ``longest``), and their sketches (one row a text)."""
+    takes_part = (words.count >= GRAM) & (words.count <= longest if longest is not None else True)
+    owner = words.owner()
+    room = words.room(run) & takes_part[owner]
+    gram = words.runs(words.hashes(), run)[room]
+    owner = owner[room]
     if not len(owner):
         return np.empty(0, np.int64), np.empty((0, sketches), np.int64)
     gram = mix(gram + _occurrence(owner, gram).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -81,6 +88,21 @@ def order_minhash(words: Words, sketches: int = SKETCHES) -> tuple[np.ndarray, n
     return owner[first], out
 
 
+def all_sketches(words: Words, sketches: int = SKETCHES) -> tuple[np.ndarray, pa.ListArray]:
+    """Numbers of the texts with at least five words, and the list of each one's sketches, those of single words
+    of the short ones included."""
+    who, found = order_minhash(words, sketches)
+    short, more = order_minhash(words, SHORT_SKETCHES, 1, SHORT)
+    at = np.searchsorted(who, short)
+    size = np.full(len(who), sketches)
+    size[at] += SHORT_SKETCHES
+    first = np.append(0, np.cumsum(size))
+    flat = np.empty(first[-1], np.int64)
+    flat[first[:-1, None] + np.arange(sketches)] = found
+    flat[first[at][:, None] + sketches + np.arange(SHORT_SKETCHES)] = more
+    return who, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
+
+
 def anchored_bound(a: np.ndarray, b: np.ndarray) -> int:
     """The cost of one alignment, so no less than the edit distance: through the longest ascending chain of runs
     of five words that stand once in each, with what lies between them replaced."""
@@ -377,8 +399,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, sketches: int =
         give_up()
         for b in batches:
             for start, _, w in word_blocks(b.column(1)):
-                who, found = order_minhash(w, sketches)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * sketches), pa.array(found.ravel()))
+                who, lists = all_sketches(w, sketches)
                 bags = pa.array([x.tobytes() for x in word_bags(w)[who]], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who + start)), lists, pa.array(w.count[who]), bags], ["id", "sketches", "n_words", "bag"])
 
