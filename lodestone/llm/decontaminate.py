@@ -4,7 +4,8 @@ Words of documents and of benchmark items are hashed. Fixed masks pick some of t
 that a substituted word under a gap does not change the hash. The hashes of all masks at all places are
 joined, and around each hit the two texts are compared word by word: an overlap is a window of 13 words,
 or the whole of a shorter item, with at most two, or a fifth, substituted. The masks are chosen such that
-every window of 13 words with up to two substitutions has a hit.
+every window of 13 words with up to two substitutions has a hit. A shorter item is cut into one run more than it
+may have substitutions, so that one of them is left whole, and found by these.
 """
 
 from __future__ import annotations
@@ -34,37 +35,58 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _places(rows: DataFrame, masks, *keep: str) -> DataFrame:
-    """One row for each place of each mask: ``keep``, place, seed."""
-    at = rows.where(F.size("words") >= span(masks)).select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - span(masks))).alias("place"))
+def runs(n: int) -> list[tuple[int, int]]:
+    """Place and length of the runs that a short item of ``n`` words is cut into, one more than may be substituted."""
+    parts = n // 5 + 1
+    return [(n * k // parts, n * (k + 1) // parts - n * k // parts) for k in range(parts)]
+
+
+def _seed(name: int, mask, at: Column) -> Column:
     # Plain element access keeps this inside generated code.
-    seeds = [F.xxhash64(F.lit(i), *(F.get("words", F.col("place") + k) for k in m)) for i, m in enumerate(masks)]
-    return at.select(*keep, "place", F.explode(F.array(*seeds)).alias("seed"))
+    return F.xxhash64(F.lit(name), *(F.get("words", at + k) for k in mask))
+
+
+def _places(rows: DataFrame, masks: dict, *keep: str) -> DataFrame:
+    """One row for each place of each mask (by name): ``keep``, place, seed."""
+    spans = {name: m[-1] + 1 for name, m in masks.items()}
+    least = min(spans.values())
+    at = rows.where(F.size("words") >= least).select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("place"))
+    seeds = [_seed(i, m, F.col("place")) if spans[i] == least else F.when(F.col("place") + spans[i] <= F.size("words"), _seed(i, m, F.col("place"))) for i, m in masks.items()]
+    found = at.select(*keep, "place", F.explode(F.array(*seeds)).alias("seed"))
+    return found if max(spans.values()) == least else found.where("seed is not null")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, matched, length): overlapping windows around seed hits.
 
-    Words are lower-cased runs of letters and digits. Items of fewer words than the masks span, documents
-    likewise, and nulls have no overlaps. Rows of one doc_id, or one item_id, are judged each. One row for each
+    Words are lower-cased runs of letters and digits. Items without words and nulls have no overlaps. Rows of one doc_id, or one item_id, are judged each. One row for each
     document, item and diagonal: its best window, of equals the first.
     """
     d = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= span(masks)).distinct()
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     items = materialize(items.withColumn("item", F.xxhash64("item_id", "words")).withColumnRenamed("words", "item_words"))
-    seeds = materialize(_places(items.withColumnRenamed("item_words", "words"), masks, "item").select("item", F.col("place").alias("item_place"), "seed").distinct())
+    full = dict(enumerate(masks))
+    seeds = _places(items.where(F.size("item_words") >= window).withColumnRenamed("item_words", "words"), full, "item").select("item", F.col("place").alias("item_place"), F.lit(span(masks)).alias("reach"), "seed")
+    lengths = [r.n for r in items.where(F.size("item_words") < window).select(F.size("item_words").alias("n")).distinct().collect()]  # fewer than window
+    wanted = full
+    if lengths:
+        cut = [F.when(F.size("words") == n, F.array(*(F.struct(F.lit(at).alias("item_place"), F.lit(k).alias("reach"), _seed(-k, range(k), F.lit(at)).alias("seed")) for at, k in runs(n)))) for n in lengths]
+        short = items.where(F.size("item_words") < window).withColumnRenamed("item_words", "words").select("item", F.explode(F.coalesce(*cut)).alias("s"))
+        seeds = seeds.unionByName(short.select("item", "s.item_place", "s.reach", "s.seed"))
+        wanted = full | {-k: tuple(range(k)) for n in lengths for _, k in runs(n)}
+    seeds = materialize(seeds.distinct())
     small = seeds.count() <= BROADCAST_HASHES
     near = F.broadcast if small else (lambda x: x)
-    hits = _places(d, masks, "doc_id", "words").join(near(seeds), "seed") if small else None
+    hits = _places(d, wanted, "doc_id", "words").join(near(seeds), "seed") if small else None
     if hits is None:  # only hashes and places travel; texts are met again by id
         d = materialize(d.withColumn("row", F.xxhash64("doc_id", "words")))
-        found = _places(d, masks, "row").join(seeds, "seed").select("row", "item", "item_place", "place").distinct()
+        found = _places(d, wanted, "row").join(seeds, "seed").select("row", "item", "item_place", "reach", "place").distinct()
         hits = found.join(d.distinct(), "row")
-    hits = hits.select("doc_id", "words", "item", "place", "item_place").join(near(items), "item")
+    hits = hits.select("doc_id", "words", "item", "place", "item_place", "reach").join(near(items), "item")
     size = F.least(F.lit(window), F.size("item_words"))
     allowed = F.when(F.size("item_words") >= window, F.lit(substitutions)).otherwise(F.floor(F.size("item_words") / 5).cast("int"))
     shift = F.col("place") - F.col("item_place")
-    low = F.greatest(F.lit(0), -shift, F.col("item_place") - size + span(masks))
+    low = F.greatest(F.lit(0), -shift, F.col("item_place") - size + F.col("reach"))
     high = F.least(F.col("item_place"), F.size("item_words") - size, F.size("words") - shift - size)
     hits = hits.select("doc_id", "item_id", "words", "item_words", shift.alias("shift"), size.alias("length"), allowed.alias("allowed"), low.alias("low"), high.alias("high")).where("low <= high")
     matched = lambda a: F.aggregate(F.sequence(F.lit(0), F.col("length") - 1), F.lit(0), lambda n, k: n + F.when(F.get("item_words", a + k) == F.get("words", a + k + F.col("shift")), 1).otherwise(0))

@@ -81,3 +81,22 @@ def test_large_benchmark_is_shuffled(spark, monkeypatch):
     some = sorted(map(tuple, dc.overlaps(d, b).collect()), key=repr)
     monkeypatch.setattr(dc, "BROADCAST_HASHES", 0)
     assert sorted(map(tuple, dc.overlaps(d, b).collect()), key=repr) == some
+
+
+def test_short_items(spark):
+    items, docs, true = [], [], {}
+    for n in range(1, 16):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        allowed = 2 if n >= 13 else n // 5
+        for m in range(min(n, allowed + 1) + 1):
+            for gone in itertools.combinations(range(n), m):
+                some = ["zz" if k in gone else w for k, w in enumerate(words)]
+                # as long as the item, and with words around it
+                for t in (some, ["a", *some, "b", "c"]):
+                    # two windows of 13 words in longer items
+                    ok = m <= allowed or any(sum(s <= k < s + 13 for k in gone) <= 2 for s in range(n - 12))
+                    true[len(docs)] = [n] if ok else []
+                    docs.append((len(docs), " ".join(t)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: list(r.item_ids) for r in dc.contamination(d, b).collect()} == true
