@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot if it has more than one of so many parts of the rows: there are fewer hot keys than that.
+HOT_PARTS = 1_000
+_SCRATCH: set[str] = set()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +25,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder the cluster shares.
+    """A new folder name below the folder the cluster shares, in one folder for each application.
 
     The base is ``spark.checkpoint.dir``; where that is unset, a cluster uses the warehouse folder and a
-    local session a temporary one.
+    local session a temporary one. The application's folder is deleted when the driver's Python ends, as
+    results that were not read by then can still need it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         local = spark.conf.get("spark.master", "local").split("[")[0] == "local"
         base = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/lodestone/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    own = f"{base.rstrip('/')}/lodestone/{sc.applicationId}"
+    if own not in _SCRATCH:
+        _SCRATCH.add(own)
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+def _remove(jvm, conf, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 @contextlib.contextmanager
@@ -60,15 +80,57 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote, once nothing will read them again."""
     for df in tables:
         sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(sc._jvm, sc._jsc.hadoopConfiguration(), df.scratch_path)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, so that what a task works on at once is small. Spark bounds the bytes
+    of a batch, and nothing in the session's settings need be changed."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep what a Python worker holds at once small: long texts make the default 10,000 rows too many."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to clash with no column of ``df``."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key, although a few keys may hold most of ``big``.
+
+    Rows of hot keys, of which there are fewer than ``HOT_PARTS`` whatever the size, meet their rows of ``small``
+    by a broadcast; all others are shuffled, and none of their keys is large. ``big`` is read several times and
+    should be a written table; ``how`` is inner or left. Null keys meet nothing. ``hot`` has the hot keys where
+    they are known.
+    """
+    if hot is None:
+        hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")).where(F.col("hot_rows") > hot_from(big.count())).dropna(subset=keys)
+    hot = materialize(hot.select(*keys))
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    few = F.broadcast(materialize(small.join(F.broadcast(hot), keys, "left_semi")))
+    held = big.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
+    rest = big.join(F.broadcast(hot), keys, "left_anti").join(small, keys, how)
+    return held.unionByName(rest)
+
+
+def hot_from(rows: int) -> int:
+    """A key with more rows is hot, in a table of so many."""
+    return max(1_000, rows // HOT_PARTS)
+
+
 def first_half(known: dict, most: int) -> dict:
     """``known``, or its older half once it has more than ``most`` entries: frequent words come early."""
     return dict(itertools.islice(known.items(), most // 2)) if len(known) > most else known

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_up, materialize, read_table, small_batches
+from .common import discard, give_up, materialize, pieces, read_table, unused
 
 UNKNOWN = "und"
 ORDERS = (3, 4)
@@ -114,7 +114,6 @@ def fit(docs: DataFrame, train: Column, train_docs: int = TRAIN_DOCS, share: flo
     gets the n-grams of a share of at least ``share``, which are at most ``1 / share`` a language.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -126,7 +125,7 @@ def fit(docs: DataFrame, train: Column, train_docs: int = TRAIN_DOCS, share: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
-        for b in batches:
+        for b in pieces(batches):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for name in set(langs):
                 own = [t for t, l in zip(texts, langs, strict=True) if l == name]
@@ -144,6 +143,7 @@ def fit(docs: DataFrame, train: Column, train_docs: int = TRAIN_DOCS, share: flo
     grams: dict[str, list[int]] = {name: [] for name in sorted(sizes)}
     for r in counts.where(frequent).select("lang", "gram").toLocalIterator():
         grams[r.lang].append(r.gram)
+    discard(counts)
     return BitmaskFilter(list(grams), {k: np.array(v, np.int64).view(np.uint64) for k, v in grams.items()})
 
 
@@ -154,14 +154,13 @@ def identify(docs: DataFrame, model: BitmaskFilter) -> DataFrame:
     text where nothing was learned. Equal shares go to the name that sorts first. The score is the winner's
     corrected share of known n-grams. Repeated rows give repeated rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS bytes for every eight languages
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
         m = shared.value
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(1).to_pylist()
             known = [i for i, ok in enumerate(b.column(2).to_pylist()) if ok] if m.languages else []
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -188,18 +187,18 @@ def keep_known_languages(docs: DataFrame) -> DataFrame:
     best language. The model is fitted on rows that are not held out; all columns stay as they are.
     """
     model = fit(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id")))
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    (letter,) = unused(docs, "has_letter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
         m = shared.value
-        for b in batches:
-            keep = np.array([bool(x) for x in b.column("has_letter_").to_pylist()])
+        for b in pieces(batches):
+            keep = np.array([bool(x) for x in b.column(letter).to_pylist()])
             some = np.flatnonzero(keep)
             if len(some):
                 texts = b.column("text").to_pylist()
                 keep[some] = m.shares([texts[i] for i in some]).max(1) >= REJECT_BELOW if m.languages else False
-            yield b.drop_columns(["has_letter_"]).filter(pa.array(keep, pa.bool_()))
+            yield b.drop_columns([letter]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("has_letter_", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+    return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_half, held, read_table, small_batches
+from .common import first_half, held, pieces, read_table
 from .lattice import Lattice, agenda_encode, backtrack
 
 MARK = "▁"
@@ -195,12 +195,11 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     there is a column ``decoded`` too, the text that the ids stand for, made in the same pass. Repeated rows
     give repeated rows; other columns are ignored. ``path`` is a model file every worker has.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = encoder(path)
         back = Decoder(path) if decode else None
-        for b in batches:
+        for b in pieces(batches):
             coded = c.encode([t or "" for t in b.column(1).to_pylist()])
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
             flat = np.frombuffer(b"".join(coded), "<i4")
@@ -217,11 +216,10 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def decode_pieces(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with a column more: the text of its ids. A null array gives null; ids that the model does not
     have fail the task."""
-    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = decoder(path)
-        for b in batches:
+        for b in pieces(batches):
             lists = b.column(ids_col)
             stops = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             texts = pa.array(d.decode(lists.flatten().to_numpy(zero_copy_only=False), stops), pa.string())

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import first_half, held, read_table, small_batches
+from .common import first_half, held, pieces, read_table
 from .lattice import Lattice, counts_matrix, prefix_counts
 
 LIMIT = 512
@@ -211,15 +211,12 @@ def prefix_token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text
     text counts as empty: no bytes, no tokens, an empty table. The table has two bytes a character:
     the change of the token count there. Repeated rows give repeated rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
+        for b in pieces(batches, 1_000):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            tables: list[bytes] = []
-            for k in range(0, len(texts), 1000):
-                tables += c.tables(texts[k : k + 1000])
+            tables = c.tables(texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
                  pa.array([int(np.frombuffer(t, "<i2").sum(dtype=np.int64)) for t in tables], pa.int64()),

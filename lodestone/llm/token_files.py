@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_half, give_up, held, read_table, shared_dir, small_batches
+from .common import first_half, give_up, held, pieces, read_table, shared_dir
 
 MAGIC = b"DAC1"
 #: Bits of a bitmap for each entry of its rank directory.
@@ -190,7 +190,6 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, id_
     Documents are dealt by ranges of their id and, where one id has many rows, of a hash of the text; equal
     ids stand in order of that hash and the text. A null id comes first. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text")
@@ -208,7 +207,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, id_
                  pa.array([ids], pa.list_(kind_of)), pa.array([starts.tobytes()], pa.binary()), pa.array([codes], pa.binary())],
                 ["part", "shard", "start", "n_ids", "doc_ids", "starts", "codes"])
 
-        for b in batches:
+        for b in pieces(batches):
             kind_of = b.column(0).type
             for i, d in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist()), strict=True):
                 ids.append(i)
@@ -236,7 +235,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for part, n in sums:
         base[part], total = total, total + n
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
