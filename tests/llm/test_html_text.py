@@ -1,5 +1,8 @@
 import html
+import random
 import re
+import tracemalloc
+from collections import defaultdict
 
 from lodestone.llm import html_text as ht
 
@@ -21,8 +24,7 @@ def test_pages(spark):
 
 
 def text(source):
-    page = ht.Page(source)
-    return page.text(page.best())
+    return ht.Page(source).main_text(None)
 
 
 def test_layouts():
@@ -50,3 +52,58 @@ def test_host_vote(spark):
     assert by[100] == "One line." and by[101] == "" and by[102].startswith(("Words", "One line.\nWords"))
     assert by[103] == "x" * 100_000
     assert ht.main_text(df.limit(0)).count() == 0
+
+
+LONG = " ".join(("Some running text of the article that is long enough to count, with several clauses in it. " * 3).split())
+ARTICLE = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+NAV, FOOT = "<nav><a href=x>One</a><a>Two</a></nav>", "<footer>Copyright someone 2020 and all that</footer>"
+TRUE = f"Title\n{LONG}\n{LONG}"
+
+
+def test_articles_in_marked_elements():
+    assert text(f'<body><form id="aspnetForm">{NAV}<article>{ARTICLE}</article>{FOOT}</form>') == TRUE
+    assert text(f'<body><form id="aspnetForm">{NAV}<div>{ARTICLE}</div><input><button>Go</button>{FOOT}</form>') == TRUE
+    assert text(f'{NAV}<article><p>Standfirst</p><div class="share-price-story"><p>{LONG}</p><p>{LONG}</p></div></article>{FOOT}') == f"Standfirst\n{LONG}\n{LONG}"
+    assert text(f'<body>{NAV}<main class="related-work">{ARTICLE}</main>{FOOT}') == TRUE
+    assert text(f'<div class="layout has-sidebar">{NAV}<div class=x>{ARTICLE}</div><div class="sidebar"><p>{LONG}</p></div></div>{FOOT}') == TRUE
+    assert text(f'<div class="post with-comments">{ARTICLE}<div class="comments"><p>{LONG * 9}</p></div></div>{FOOT}') == TRUE
+    assert text(f"<body><nav><a href=x>aa</a><div class=x>{ARTICLE}</div>") == TRUE  # never closed
+    assert text(f'<div class="widget-text"><p>{LONG}</p><p>{LONG}</p></div><div class="widget"><p>{LONG}</p></div>') == f"{LONG}\n{LONG}"
+    # without an article there is no text, and an article is not displaced by longer furniture or comments
+    assert text(f"<body>{NAV}{FOOT}<div class=cookie>{LONG}</div>") == ""
+    assert text(f'<article><p>short one</p></article><div class="comments"><article class="comment"><p>{LONG * 5}</p></article></div>') == "short one"
+    page = ht.Page(f"<article class=part-1><p>{LONG}</p></article>x<article class=part-2><p>{LONG}</p></article>")
+    assert page.main_text(page.paths[1]) == f"{LONG}\n{LONG}"  # both are on the host's path
+
+
+def test_memory_does_not_grow_with_nesting():
+    for source in ("<div>" * 50_000 + LONG, "<div>" * 50_000 + "</p>" * 50_000 + LONG, "<p>" + "<div>" * 50_000 + "</b>" * 50_000 + LONG, "<form>" * 50_000 + "<h1>x</h1>" + LONG):
+        tracemalloc.start()
+        page = ht.Page(source)
+        page.votes()
+        assert page.main_text(None).endswith(LONG)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+
+
+def test_vote_equals_plain_version(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        host = f"h{i % 4}.example.com"
+        body = f"<div class=story-{i}><p>{LONG * rng.randrange(1, 4)}</div><div class=box><p>{LONG * rng.randrange(0, 4)}</div><center>{LONG * rng.randrange(3)}</center>"
+        rows.append((i, f"https://{host}/{i}", f"<body><div id=wrap{i % 2}>{body}</div>" if i % 5 else body))
+    votes = defaultdict(lambda: defaultdict(float))
+    for _, url, source in rows:
+        for path, depth, v in ht.Page(source).votes():
+            votes[url.split("/")[2]][depth, path] += v
+    winners = {h: max((round(v, 6), *k) for k, v in some.items())[2] for h, some in votes.items()}
+    got = ht.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()
+    assert {r.page_id: r.text for r in got} == {i: ht.Page(s).main_text(winners[u.split("/")[2]]) for i, u, s in rows}
+
+
+def test_many_hosts_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ht, "BROADCAST_HOSTS", 1)
+    rows = [(i, f"https://{'hot' if i % 3 else i}.example.com/", f"<article>{ARTICLE}</article>") for i in range(3_000)]
+    got = ht.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 3_000 and {r.text for r in got} == {TRUE}
