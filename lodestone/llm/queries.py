@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }

@@ -11,6 +11,7 @@ bits of two independent hashes, and each window's first document decides what la
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import discard, freeing_shuffles, give_up, materialize, read_table, small_batches
+from .common import discard, freeing_shuffles, give_up, materialize, pieces, read_table, shared_dir, unused
 from .words import Words, word_blocks
 
 WINDOW = 13
 GRAM = 5
 #: Runs of one level that are merged into one of the next.
-FAN_OUT = 4
-BATCHES = 2
+FAN_OUT = 2
+#: Batches a table is taken in: the last one meets the merged run of those before it.
+BATCHES = 3
+MANIFEST = "manifest.json"
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -78,21 +81,47 @@ def fingerprints(keyed: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, least, most), bucketed alike so that runs join without a shuffle."""
+    """Sorted immutable runs of (fp, least, most), bucketed alike so that runs join without a shuffle.
 
-    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
-        self.spark, self.fan_out = spark, fan_out
+    The runs and a manifest that lists them are in ``folder``. An index that stands there is opened again, in
+    another session too; ``drop`` gives it up. Without a folder it is one of the application's own. One writer
+    at a time: the manifest is replaced as a whole once the new runs are written.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_out: int = FAN_OUT):
+        self.spark, self.fan_out, self.folder = spark, fan_out, folder or shared_dir(spark)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[int, str]] = []  # (level, table), oldest first
         self.written: list[str] = []
+        fs, path = self._path(MANIFEST)
+        if fs.exists(path):
+            kept = json.loads("".join(r.value for r in spark.read.text(path.toString()).collect()))
+            self.buckets, self.runs = kept["buckets"], [(level, name) for level, name in kept["runs"]]
+            for _, name in self.runs:
+                self.written.append(name)
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (fp BIGINT, least BIGINT, most BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+
+    def _path(self, name: str):
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
 
     def _write(self, rows: DataFrame) -> str:
         name = f"lodestone_run_{uuid.uuid4().hex}"
         self.written.append(name)
         with freeing_shuffles(self.spark):
-            rows.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
+            rows.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
+    def _list(self) -> None:
+        fs, fresh = self._path(MANIFEST + ".new")
+        out = fs.create(fresh, True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs}).encode()))
+        out.close()
+        _, path = self._path(MANIFEST)
+        fs.delete(path, False)
+        fs.rename(fresh, path)
+
     def add(self, found: DataFrame) -> list[DataFrame]:
         """Take in a batch's (fp, t1); returns tables of the fps that are now known in different texts."""
         run = self._write(found.groupBy("fp").agg(F.min("t1").alias("least"), F.max("t1").alias("most")))
@@ -103,6 +132,7 @@ class FingerprintIndex:
             shared.append(new.join(old.hint("merge"), "fp").where("least(least, old_least) < greatest(most, old_most)").select("fp"))
         self.runs.append((0, run))
         self._compact()
+        self._list()
         return shared
 
     def drop(self) -> None:
@@ -110,6 +140,8 @@ class FingerprintIndex:
         for name in self.written:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.runs, self.written = [], []
+        fs, path = self._path("")
+        fs.delete(path, True)
 
     def _compact(self) -> None:
         """Merge the runs of a level once there are ``fan_out``; the merged ones stay for readers under way."""
@@ -152,26 +184,36 @@ def _pairs(h: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """What each text of ``docs`` loses, see ``_lost``; the fingerprints are taken in by ``batches``."""
+    keyed = _keyed(docs)
+    index = FingerprintIndex(docs.sparkSession)
+    try:
+        known = _known([s for part in _batches(keyed, batches) for s in index.add(fingerprints(part).select("fp", "t1"))])
+    finally:
+        index.drop()
+    return _lost(keyed, known)
+
+
+def _known(shared: list[DataFrame]) -> DataFrame:
+    known = shared[0]
+    for s in shared[1:]:
+        known = known.unionByName(s)
+    return materialize(known.distinct())
+
+
+def _lost(keyed: DataFrame, known: DataFrame) -> DataFrame:
     """One row for each text: (t1, t2, first_id, lost).
 
     ``first_id`` is the smallest id with that text; ``lost`` holds the hashes of those of its windows that
     also start in a document with a smaller id (null: none). Copies of a text lose what it has, all of it.
+    ``known`` has the fingerprints that different texts share, and is deleted.
     """
-    spark = docs.sparkSession
-    keyed = _keyed(docs)
-    index = FingerprintIndex(spark)
-    shared = [s for part in _batches(keyed, batches) for s in index.add(fingerprints(part).select("fp", "t1"))]
-    known = shared[0]
-    for s in shared[1:]:
-        known = known.unionByName(s)
-    known = materialize(known.distinct())
-    index.drop()
     near = materialize(fingerprints(keyed.where("doc_id is not null")).join(known, "fp").groupBy("t1", "t2").agg(F.collect_set("fp").alias("fps")))
     texts = materialize(keyed.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id")))
 
     def windows(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
-        for b in batches_:
+        for b in pieces(batches_, 200):
             first, t1, t2 = b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
             for a, z, w in word_blocks(b.column(0)):
                 h, v, gram = _window_hashes(w)
@@ -183,7 +225,6 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 row = w.owner()[at] + a
                 yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(v[at]), pa.array(first[row]), pa.array(t1[row]), pa.array(t2[row])], ["h", "v", "id", "t1", "t2"])
 
-    small_batches(spark, 200)
     # One row of each text: that of the smallest id (equal rows give equal windows).
     sources = near.join(texts, ["t1", "t2"]).where("first_id is not null")
     candidates = (keyed.join(sources, ["t1", "t2"]).where("doc_id = first_id").select("text", "first_id", "t1", "t2", "fps")
@@ -197,22 +238,20 @@ def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return found
 
 
-def _judged(docs: DataFrame, batches: int, schema: str, make) -> DataFrame:
-    """``make(batch, row, words, keep)`` over every row with what its text loses."""
-    spark = docs.sparkSession
-    found = repeated_windows(docs, batches)
-    small_batches(spark, 200)
+def _judged(docs: DataFrame, found: DataFrame, schema: str, make) -> DataFrame:
+    """``make(batch, row, words, keep)`` over every row of ``docs`` with what its text loses by ``found``."""
+    own_id, text, t1, t2, first_id, lost_ = unused(docs, "own_id", "words_of", "t1", "t2", "first_id", "lost")
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
-        for b in batches_:
+        for b in pieces(batches_, 200):
             out = []
-            for a, z, w in word_blocks(b.column("text_")):
+            for a, z, w in word_blocks(b.column(text)):
                 h, v, room = None, None, None
                 keep = np.ones(len(w.start), bool)
                 for i in range(a, z):
                     s, e = w.first[i - a], w.first[i - a + 1]
-                    own, first, lost = b.column("id_")[i].as_py(), b.column("first_id_")[i].as_py(), b.column("lost_")[i]
+                    own, first, lost = b.column(own_id)[i].as_py(), b.column(first_id)[i].as_py(), b.column(lost_)[i]
                     if own is None or first is None or e - s < WINDOW:
                         continue
                     if own > first:
@@ -231,11 +270,19 @@ def _judged(docs: DataFrame, batches: int, schema: str, make) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema)
-    keyed = docs.withColumns({"id_": F.col("doc_id").cast("long"), "text_": F.coalesce(F.col("text"), F.lit(""))})
-    keyed = keyed.withColumns({"t1_": F.xxhash64("text_"), "t2_": F.xxhash64(F.lit("second"), F.col("text_"))})
-    found = found.toDF("t1_", "t2_", "first_id_", "lost_")
-    return keyed.join(found, ["t1_", "t2_"], "left").mapInArrow(run, schema)
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else docs.sparkSession.createDataFrame([], schema).schema)
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("long"), text: F.coalesce(F.col("text"), F.lit(""))})
+    keyed = keyed.withColumns({t1: F.xxhash64(text), t2: F.xxhash64(F.lit("second"), F.col(text))})
+    return keyed.join(found.toDF(t1, t2, first_id, lost_), [t1, t2], "left").mapInArrow(run, schema)
+
+
+def _digests(docs: DataFrame, found: DataFrame) -> DataFrame:
+    def make(b, i, w, k, keep):
+        s, e = w.first[k], w.first[k + 1]
+        return {"doc_id": b.column("doc_id")[i].as_py(), "n_words": int(e - s), "n_removed": int(e - s - keep[s:e].sum()), "kept_sha256": hashlib.sha256(w.text(k, keep)).hexdigest()}
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _judged(docs.select("doc_id", "text"), found, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string", make)
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -244,22 +291,29 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     Words are runs of bytes other than space and tab to carriage return. A word goes if a window of 13
     words that covers it also starts in a document with a smaller id; windows are judged on the texts as they
     came in. A null text has no words. A null id is neither smaller nor larger than another: its row keeps
-    all its words and takes none from others. Rows with one id are one document. Other columns are ignored.
+    all its words and takes none from others. Rows with one id are one document; ids must be whole numbers, or
+    strings of them. An empty table gives no rows; other columns are ignored.
     """
+    return _digests(docs, repeated_windows(docs, batches))
 
-    def make(b, i, w, k, keep):
-        s, e = w.first[k], w.first[k + 1]
-        return {"doc_id": b.column("doc_id")[i].as_py(), "n_words": int(e - s), "n_removed": int(e - s - keep[s:e].sum()), "kept_sha256": hashlib.sha256(w.text(k, keep)).hexdigest()}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _judged(docs.select("doc_id", "text"), batches, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string", make)
+def remove_repeats_of_batch(batch: DataFrame, history: DataFrame, index: FingerprintIndex) -> DataFrame:
+    """The same for the rows of ``batch`` alone, next to ``history``, whose fingerprints ``index`` holds already.
+
+    The batch is added to the index, and history's texts are read only for windows round fingerprints that the batch
+    shares. Words that history would lose to smaller ids of the batch are not looked for.
+    """
+    known = _known(index.add(fingerprints(_keyed(batch).where(F.col("doc_id").isNotNull())).select("fp", "t1")))
+    both = history.select("doc_id", "text").unionByName(batch.select("doc_id", "text"))
+    return _digests(batch, _lost(_keyed(both), known))
 
 
 def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, n_chars) with the repeated words out of ``text``.
+    """``docs`` (doc_id, text, lang, source, n_chars) with the repeated words out of ``text``; see
+    ``remove_repeats`` for nulls, repeated ids and ties.
 
     A text that loses nothing stays as it is, others become their kept words joined by one space, and
-    ``n_chars`` follows. A document that loses all its words stays, with an empty text.
+    ``n_chars`` follows. A document that loses all its words stays, with an empty text. Other columns stay.
     """
 
     columns = docs.columns
@@ -272,8 +326,21 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             row["n_chars"] = len(row["text"])
         return row
 
-    return _judged(docs, batches, docs.schema, make)
+    return _judged(docs, repeated_windows(docs, batches), docs.schema, make)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every document; see ``remove_repeats``."""
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM d)),
+firsts AS (SELECT win, min(doc_id) AS low FROM windows GROUP BY win),
+hits AS (SELECT doc_id, p FROM windows JOIN firsts USING (win) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM hits, range(13) r(k)),
+lost AS (SELECT doc_id, list(p) AS places FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, words, CASE WHEN places IS NULL THEN words ELSE (SELECT list(w ORDER BY i) FROM (SELECT unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i) WHERE NOT list_contains(places, i)) END AS left_ FROM d LEFT JOIN lost USING (doc_id))
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(len(left_), 0) AS n_removed, sha256(coalesce(array_to_string(left_, ' '), '')) AS kept_sha256 FROM kept
+"""

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import duckdb
+
 from lodestone.llm import substring_dedup as sd
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,3 +63,37 @@ def test_odd_rows(spark):
     kept = sd.without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows)
     assert {r.doc_id: r.text for r in kept.collect()}[1] == "x " + p + "\ny"
+
+
+def test_query_merges_runs(spark, monkeypatch):
+    levels = []
+    own = sd.FingerprintIndex.add
+    monkeypatch.setattr(sd.FingerprintIndex, "add", lambda index, found: (own(index, found), levels.append([level for level, _ in index.runs]))[0])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert got(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert levels == [[0], [1], [1, 0]]
+
+
+def test_index_is_reopened(spark, tmp_path):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old, new = docs.where("doc_id < 140"), docs.where("doc_id >= 140")
+    empty = docs.limit(0)
+    folder = str(tmp_path / "index")
+    sd.remove_repeats_of_batch(old, empty, sd.FingerprintIndex(spark, folder)).count()
+    first = sd.FingerprintIndex(spark, folder)
+    for _, name in first.runs:
+        spark.sql(f"DROP TABLE {name}")  # as in another session, whose catalog does not have it
+    index = sd.FingerprintIndex(spark, folder)
+    assert index.runs == first.runs and len(index.runs) == 1
+    found = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sd.remove_repeats_of_batch(new, old, index).collect()), key=repr)
+    assert found == [r for r in brute(rows) if r[0] >= 140] and any(r[2] for r in found)
+    index.drop()
+
+
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    cur = con.execute(sd.ORACLE)
+    assert [c[0] for c in cur.description] == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert sorted(map(tuple, cur.fetchall()), key=repr) == sorted((tuple(r) for r in sd.op5_substring_dedup(spark, "/root/testdata/sf0.01").collect()), key=repr)
