@@ -91,10 +91,6 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as it takes to clash with no column of ``df``."""
     have = {c.lower() for c in df.columns}
