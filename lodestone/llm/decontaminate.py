@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, unused
 
 WINDOW = 13
 #: Substitutions in a full window; shorter items may have a fifth of their words substituted.
@@ -81,7 +81,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = W
     if hits is None:  # only hashes and places travel; texts are met again by id
         d = materialize(d.withColumn("row", F.xxhash64("doc_id", "words")))
         found = _places(d, wanted, "row").join(seeds, "seed").select("row", "item", "item_place", "reach", "place").distinct()
-        hits = found.join(d.distinct(), "row")
+        hits = found.join(d.dropDuplicates(["row"]), "row")
     hits = hits.select("doc_id", "words", "item", "place", "item_place", "reach").join(near(items), "item")
     size = F.least(F.lit(window), F.size("item_words"))
     allowed = F.when(F.size("item_words") >= window, F.lit(substitutions)).otherwise(F.floor(F.size("item_words") / 5).cast("int"))
@@ -110,10 +110,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id no overlap names, with all columns."""
-    found = materialize(overlaps(docs, benchmark).select(F.col("doc_id").alias("hit_id_")).distinct())
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id_")), "left_anti")
+    """The rows of ``docs`` whose id no overlap names, with all columns.
+
+    Rows of one id, null among them, stay or go together; null texts and those without words stay.
+    """
+    (hit,) = unused(docs, "hit_id")
+    found = materialize(overlaps(docs, benchmark).select(F.col("doc_id").alias(hit)).distinct())
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, contaminated, n_items, item_ids) of every document; see ``contamination``."""
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: The same without seeds: all places where a document and an item have a word in common, by diagonals.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, len(w) AS dn, unnest(w) AS word, unnest(range(len(w))) AS dp FROM d),
+bw AS (SELECT item_id, len(w) AS bn, unnest(w) AS word, unnest(range(len(w))) AS bp FROM b),
+met AS (SELECT doc_id, item_id, dp - bp AS shift, bp, bn, dn FROM dw JOIN bw USING (word)),
+counted AS (SELECT *, least(13, bn) AS size, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY bp RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM met),
+found AS (SELECT DISTINCT doc_id, item_id FROM counted WHERE n >= size - CASE WHEN bn >= 13 THEN 2 ELSE bn // 5 END AND least(bn, dn - shift) - greatest(0, -shift) >= size),
+lists AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids FROM found GROUP BY doc_id)
+SELECT d.doc_id, item_ids IS NOT NULL AS contaminated, coalesce(len(item_ids), 0) AS n_items, coalesce(item_ids, []) AS item_ids FROM d LEFT JOIN lists USING (doc_id)
+"""

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_substring_dedup": substring_dedup.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }

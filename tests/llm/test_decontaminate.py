@@ -1,6 +1,7 @@
 import itertools
 import re
 
+import duckdb
 import regex
 
 from lodestone.llm import decontaminate as dc
@@ -18,9 +19,9 @@ def brute(docs, items):
     for i, t in docs:
         d, found = coded(t), set()
         for item, g in things:
-            if len(g) < dc.span() or len(d) < dc.span():
-                continue
             size = min(13, len(g))
+            if not size or len(d) < size:
+                continue
             allowed = 2 if len(g) >= 13 else len(g) // 5
             for shift in range(-len(g) + size, len(d) - size + 1):
                 low, high = max(0, -shift), min(len(g), len(d) - shift)
@@ -100,3 +101,14 @@ def test_short_items(spark):
                     docs.append((len(docs), " ".join(t)))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {r.doc_id: list(r.item_ids) for r in dc.contamination(d, b).collect()} == true
+
+
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.01/{name}.parquet'")
+    cur = con.execute(dc.ORACLE)
+    assert [c[0] for c in cur.description] == ["doc_id", "contaminated", "n_items", "item_ids"]
+    true = sorted((i, c, n, list(x)) for i, c, n, x in cur.fetchall())
+    assert true == sorted((r.doc_id, r.contaminated, r.n_items, list(r.item_ids)) for r in dc.op8_decontaminate(spark, "/root/testdata/sf0.01").collect())
+    assert any(r[1] for r in true)
