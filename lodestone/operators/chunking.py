@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import unused
 from ..functions.text import chunk_id
 
 CHUNK_SIZE = 1024
@@ -83,30 +84,57 @@ def with_neighbours(chunks: DataFrame) -> DataFrame:
     })
 
 
-def definitions(text: str, language: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, name, kind) of functions and classes in order of appearance; kind is function or class."""
+def definitions(text: str, language: str) -> list[tuple[int, int, int, str, str]]:
+    """(start, end of the signature, end, name, kind) of functions and classes in order of appearance; kind is
+    function or class."""
     if language == "python":
         return _python_definitions(text)
     return _brace_definitions(text) if language in _BRACES else []
 
 
-def _python_definitions(text: str) -> list[tuple[int, int, str, str]]:
-    starts = [0]
-    for line in text.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
-    found = []
+def _line_starts(text: str) -> list[int]:
+    """Where lines begin, as Python's parser counts them, and the end of the text."""
+    return [0, *(m.end() for m in re.finditer("\r\n|\r|\n", text)), len(text)]
+
+
+def _first_line(node: ast.stmt) -> int:
+    return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", ()))])
+
+
+def _python_definitions(text: str) -> list[tuple[int, int, int, str, str]]:
+    """The signature goes up to the body, and has the docstring if there is one."""
+    starts, found = _line_starts(text), []
     for node in ast.walk(ast.parse(text)):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-            first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            found.append((starts[first - 1], starts[min(node.end_lineno, len(starts) - 1)], node.name, "class" if isinstance(node, ast.ClassDef) else "function"))
+            first = node.body[0]
+            doc = isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)
+            body = first.end_lineno if doc else max(_first_line(first) - 1, node.lineno)
+            found.append((starts[_first_line(node) - 1], starts[body], starts[node.end_lineno], node.name, "class" if isinstance(node, ast.ClassDef) else "function"))
     return sorted(found)
 
 
-def _brace_definitions(text: str) -> list[tuple[int, int, str, str]]:
-    """By matching braces outside strings and comments; what stands before an opening brace names it."""
+def _python_marks(text: str, size: int) -> set[int]:
+    """Starts and ends of statements; those within a statement only where it is longer than ``size``."""
+    starts, marks, todo = _line_starts(text), set(), list(ast.parse(text).body)
+    while todo:
+        node = todo.pop()
+        s, e = starts[_first_line(node) - 1], starts[node.end_lineno]
+        marks |= {s, e}
+        if e - s > size:
+            inner = [x for field in ("body", "orelse", "finalbody", "handlers", "cases") for x in getattr(node, field, ())]
+            todo += [x for x in inner if isinstance(x, ast.stmt)]
+            todo += [x for block in inner if not isinstance(block, ast.stmt) for x in block.body]
+    return marks
+
+
+_BRACE_TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{};]""", re.DOTALL)
+
+
+def _brace_definitions(text: str) -> list[tuple[int, int, int, str, str]]:
+    """By matching braces outside strings and comments; what stands before an opening brace names it and is its
+    signature."""
     found, stack, begin = [], [], 0
-    token = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{};]""", re.DOTALL)
-    for m in token.finditer(text):
+    for m in _BRACE_TOKEN.finditer(text):
         if m[0] == "{":
             head = text[begin : m.start()].strip()
             head = head.rsplit("\n\n", 1)[-1]
@@ -115,50 +143,96 @@ def _brace_definitions(text: str) -> list[tuple[int, int, str, str]]:
             kind, name = ("class", named[1] or named[2]) if named else ("function", None)
             if not named and (f := _FUNCTION.search(head)):
                 name = next((g for g in f.groups() if g), None)
-            stack.append((start, name if name not in _NOT_NAMES else None, kind))
+            stack.append((start, m.end(), name if name not in _NOT_NAMES else None, kind))
             begin = m.end()
         elif m[0] == "}":
             if stack:
-                start, name, kind = stack.pop()
+                start, head_end, name, kind = stack.pop()
                 if name:
-                    found.append((start, m.end(), name, kind))
+                    found.append((start, head_end, m.end(), name, kind))
             begin = m.end()
         elif m[0] == ";" or m[0].startswith(("//", "/*")):
             begin = m.end()
     return sorted(found)
 
 
-def syntax_cuts(text: str, language: str, size: int = CHUNK_SIZE) -> list[tuple[int, int]]:
-    """(start, end) of chunks that tile the text and end where a definition starts or ends, where it can be.
-
-    Neighbouring pieces are packed up to ``size``; a piece that is larger is cut by lines.
+def _brace_marks(text: str, size: int) -> set[int]:
+    """Ends of statements and blocks, those within a block only where it is longer than ``size``."""
+    found, stack = [], []
+    for m in _BRACE_TOKEN.finditer(text):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif m[0] == "}" and stack:
+            found.append((stack.pop(), m.end(), len(stack)))
+        elif m[0] == ";":
+            found.append((m.start(), m.end(), len(stack)))
+    short: list[tuple[int, int]] = []  # blocks that stay whole
+    for s, e, _ in sorted(found, key=lambda f: (f[0], -f[1])):
+        if e - s <= size and text[s] == "{" and not (short and e <= short[-1][1]):
+            short.append((s, e))
+    marks, k = set(), 0
+    for _, e, _ in sorted(found, key=lambda f: f[1]):
+        while k < len(short) and short[k][1] < e:
+            k += 1
+        if k == len(short) or not short[k][0] < e < short[k][1]:
+            marks.add(e + 1 if text[e : e + 1] == "\n" else e)
+    return marks
+
+
+#: What stands round the signature that a continuation repeats, and the least room for the rest.
+CONTINUED = "# [continued from above]\n{}\n    # ...\n"
+LEAST_ROOM = 200
+#: Lines of a signature that are repeated at most.
+SIGNATURE_LINES = 21
+
+
+def signature_of(text: str, found: list[tuple[int, int, int, str, str]], at: int, size: int) -> str:
+    """The signature of the innermost definition that goes on at ``at``; empty if there is none, or no room for it."""
+    inside = [d for d in found if d[1] <= at < d[2] and d[0] < at]
+    if not inside:
+        return ""
+    start, stop, *_ = max(inside)
+    lines = text[start:stop].split("\n")
+    signature = "\n".join(lines[:SIGNATURE_LINES])
+    return signature if size - len(signature) >= LEAST_ROOM else ""
+
+
+def syntax_cuts(text: str, language: str, size: int = CHUNK_SIZE, found: list[tuple[int, int, int, str, str]] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of chunks that tile the text and end where a definition or statement does, where they can.
+
+    Neighbouring pieces are packed up to ``size``, less the signature that a continuation repeats; a piece that
+    is larger is cut by lines.
     """
-    marks = {0, len(text)}
-    for s, e, _, _ in definitions(text, language):
-        marks |= {s, e}
+    found = definitions(text, language) if found is None else found
+    marks = {0, len(text)} | (_python_marks(text, size) if language == "python" else _brace_marks(text, size) if language in _BRACES else set())
+    for d in found:
+        marks |= {d[0], d[2]}
     marks = sorted(m for m in marks if 0 <= m <= len(text))
-    cuts, at = [], 0
+    cuts, at, room = [], 0, size
     for a, b in zip(marks, marks[1:], strict=False):
-        if b - at <= size:
+        if b - at <= room:
             continue
         if a > at:
             cuts.append((at, a))
-            at = a
-        if b - at > size:
-            pieces = line_cuts(text[at:b], size)
-            cuts += [(at + s, at + e) for s, e in pieces[:-1]]
-            at += pieces[-1][0]
+            at, room = a, size - len(signature_of(text, found, a, size))
+        while b - at > room:
+            s, e = line_cuts(text[at : min(b, at + room + 1)], room)[0]
+            cuts.append((at + s, at + e))
+            at += e
+            room = size - len(signature_of(text, found, at, size))
     if len(text) > at:
         cuts.append((at, len(text)))
     return cuts
 
 
 def header_end(text: str) -> int:
-    """Where the leading run of imports and the like ends: zero if there is none."""
-    at = end = 0
-    for line in text.splitlines(keepends=True):
-        at += len(line)
-        if _HEADER.match(line):
+    """Where the leading run of imports and the like ends: zero if there is none. What stands before it counts to
+    it, and so do lines within its brackets."""
+    at = end = depth = 0
+    for line in text.split("\n"):
+        at = min(at + len(line) + 1, len(text))
+        if _HEADER.match(line) or depth > 0:
+            depth = max(0, depth + sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}"))
             end = at
         elif line.strip() and not line.lstrip().startswith(("#", "//", "/*", "*", '"')) and end:
             break
@@ -166,26 +240,30 @@ def header_end(text: str) -> int:
 
 
 def chunk_file(text: str, path: str, size: int = CHUNK_SIZE) -> list[dict]:
-    """Chunks of one file with their symbols; a file that cannot be parsed is cut by lines."""
+    """Chunks of one file with their symbols; a file that cannot be parsed is cut by lines.
+
+    Offsets tile the text. The content of a chunk that goes on with a definition begins with the definition's
+    signature under a mark (``has_signature_context``).
+    """
     dot = path.rfind(".")
     language = LANGUAGES.get(path[dot:].lower(), "") if dot > path.rfind("/") else ""
     try:
         found = definitions(text, language) if language else []
-        cuts = syntax_cuts(text, language, size) if language else line_cuts(text, size)
-    except (SyntaxError, ValueError, RecursionError):
+        cuts = syntax_cuts(text, language, size, found) if language else line_cuts(text, size)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         found, cuts = [], line_cuts(text, size)
     header, line, out = header_end(text) if language else 0, 1, []
     for k, (s, e) in enumerate(cuts):
-        inside = [d for d in found if d[0] < e and d[1] > s]
-        functions, classes = [d[2] for d in inside if d[3] == "function"], [d[2] for d in inside if d[3] == "class"]
-        last = line + text.count("\n", s, e)
+        inside = [d for d in found if d[0] < e and d[2] > s]
+        functions, classes = [d[3] for d in inside if d[4] == "function"], [d[3] for d in inside if d[4] == "class"]
+        last, signature = line + text.count("\n", s, e), signature_of(text, found, s, size)
         out.append({
-            "id": f"{path}:chunk_{k}", "content": text[s:e], "file_path": path, "chunk_index": k, "total_chunks": len(cuts), "start_line": line, "end_line": last, "start_char": s, "end_char": e,
+            "id": f"{path}:chunk_{k}", "content": (CONTINUED.format(signature) if signature else "") + text[s:e], "file_path": path, "chunk_index": k, "total_chunks": len(cuts), "start_line": line, "end_line": last, "start_char": s, "end_char": e,
             "prev_id": k - 1 if k else -1, "next_id": k + 1 if k + 1 < len(cuts) else -1,
             "function_name": functions[0] if functions else None, "class_name": classes[0] if classes else None,
             "symbol_type": "method" if functions and classes else "function" if functions else "class" if classes else None,
             "has_file_header": s < header or None, "is_continuation": any(d[0] < s for d in inside) or None,
-            "has_signature_context": None,
+            "has_signature_context": bool(signature) or None,
         })
         line = last
     return out
@@ -215,9 +293,10 @@ def overlapping(spans: DataFrame, others: DataFrame, key: str, width: int = CHUN
     cross product; a pair is kept in the first bin both touch.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / width)))
-    left, right = spans.withColumn("bin_", bins("start", "end")), others.withColumn("bin_", bins("other_start", "other_end"))
+    (place,) = unused(spans.join(others, key), "bin")
+    left, right = spans.withColumn(place, bins("start", "end")), others.withColumn(place, bins("other_start", "other_end"))
     first = F.floor(F.greatest("start", "other_start") / width)
-    return left.join(right, [key, "bin_"]).where("start < other_end and other_start < end").where(F.col("bin_") == first).drop("bin_")
+    return left.join(right, [key, place]).where("start < other_end and other_start < end").where(F.col(place) == first).drop(place)
 
 
 def expanded(chunks: DataFrame) -> DataFrame:

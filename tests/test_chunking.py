@@ -40,7 +40,7 @@ def test_lines_end_at_newlines():
 
 
 def test_python_symbols():
-    found = {(n, k): PYTHON[s:e] for s, e, n, k in chunking.definitions(PYTHON, "python")}
+    found = {(n, k): PYTHON[s:e] for s, _, e, n, k in chunking.definitions(PYTHON, "python")}
     assert set(found) == {("alone", "function"), ("Holder", "class"), ("method", "function"), ("other", "function")}
     assert found["Holder", "class"].startswith("@decorated\nclass Holder")
     for size in (40, 90, 1024):
@@ -73,3 +73,39 @@ def test_overlapping_pairs_once(spark):
     b = spark.createDataFrame([("f", 100, 2501), ("f", 2600, 2700), ("g", 10, 20), ("f", 0, 1)], "k string, other_start int, other_end int")
     got = sorted((r.start, r.other_start) for r in chunking.overlapping(a, b, "k", 1000).collect())
     assert got == [(0, 0), (0, 100), (2500, 100)]
+
+
+def test_continuations_carry_the_signature():
+    body = "".join(f"    x{i} = compute({i}, 'some text that takes room')\n" for i in range(60))
+    text = f"import os\n\n\n@cached\ndef long(a, b):\n    \"\"\"What it does.\"\"\"\n{body}    return a\n\n\ndef short():\n    return 1\n"
+    rows = chunking.chunk_file(text, "a.py", 600)
+    assert "".join(text[r["start_char"] : r["end_char"]] for r in rows) == text
+    later = [r for r in rows if r["is_continuation"]]
+    assert len(later) > 3 and all(r["has_signature_context"] and r["content"].startswith('# [continued from above]\n@cached\ndef long(a, b):\n    """What it does."""\n') for r in later)
+    assert all(r["content"].endswith(text[r["start_char"] : r["end_char"]]) and len(r["content"]) <= 600 + 40 for r in rows)
+    java = "class Big {\n  int sum(int n) {\n" + "    n += 1; // }\n" * 80 + "    return n;\n  }\n}\n"
+    rows = chunking.chunk_file(java, "Big.java", 400)
+    assert "".join(java[r["start_char"] : r["end_char"]] for r in rows) == java
+    assert all("int sum(int n) {\n    # ..." in r["content"] for r in rows[2:-1]) and not rows[0]["has_signature_context"]
+    # no room for it
+    assert not any(r["has_signature_context"] for r in chunking.chunk_file(text, "a.py", 210))
+
+
+def test_statements_stay_whole():
+    text = "".join(f"if a{i}:\n    call(\n        {i},\n    )\nelse:\n    other({i})\n" for i in range(20))
+    rows = chunking.chunk_file(text, "a.py", 150)
+    assert all(r["content"].startswith("if a") and r["content"].endswith(")\n") for r in rows)
+    go = "package main\n\nimport (\n\t\"fmt\"\n\t\"os\"\n)\n\nfunc main() {\n}\n"
+    assert chunking.header_end(go) == go.index(")\n") + 2
+    assert chunking.header_end("#!/bin/x\nx = 1\nimport os\nimport re\ny = 2\nimport z\n") == len("#!/bin/x\nx = 1\nimport os\nimport re\n")
+
+
+def test_form_feeds_are_no_lines():
+    text = "def a():\n    return 1\n\f\ndef b():\n    return 2\n"
+    assert [text[s:e] for s, _, e, *_ in chunking.definitions(text, "python")] == ["def a():\n    return 1\n", "def b():\n    return 2\n"]
+
+
+def test_clashing_names(spark):
+    a = spark.createDataFrame([("f", 0, 10, 7)], "k string, start int, end int, bin int")
+    b = spark.createDataFrame([("f", 5, 20, 8)], "k string, other_start int, other_end int, bin_ int")
+    assert [(r.bin, r.bin_) for r in chunking.overlapping(a, b, "k").collect()] == [(7, 8)]
