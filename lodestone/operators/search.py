@@ -1,27 +1,34 @@
 """Vector search and what ranks, filters and lifts its results.
 
 Vectors are compared in blocks: each task multiplies its rows with the matrix of a stated, bounded set of
-queries and hands on the nearest of its batch, so a search is one pass over the chunks and a small sort.
+queries and hands on the nearest of its batch, so a search is one pass over the chunks and a small sort. More
+queries are searched in turns, each written before the next is sent.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import identifiers as ident
+from ..functions.columns import unused
 from ..functions.text import rerank_context
 from ..sources.filters import in_paths, of_types
+from ..sources.scratch import materialize
 
 RESULTS = 5
 TOOL_CAP = 20
 #: Queries that are sent to every task at once; more are searched in turns of so many.
 QUERIES_AT_ONCE = 20_000
+#: Distances a task holds at once.
+PRODUCT = 4_000_000
 
 
 def fetch_size(n: int, filtered: bool = False, rerank_multiplier: int = 1) -> int:
@@ -32,54 +39,76 @@ def fetch_size(n: int, filtered: bool = False, rerank_multiplier: int = 1) -> in
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` chunks of smallest cosine distance to each query.
 
-    Distances are exact, in double precision; ties go to the smaller id. Null and zero vectors take no
-    part. With fewer chunks than ``k`` all are returned. ``queries`` has query_id and the vector column.
+    Distances are exact, in double precision to 12 decimals; ties go to the smaller id. Vectors that are null,
+    zero, or hold null or non-finite numbers take no part, nor do chunks whose vector has another length than the
+    query's. With fewer chunks than ``k`` all are returned. ``queries`` has query_id and the vector column.
     """
     spark = chunks.sparkSession
     kind, query_kind = chunks.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
-    n = queries.count()
-    turns = max(1, -(-n // QUERIES_AT_ONCE))
+    asked = queries.where(F.col(vector_col).isNotNull()).select("query_id", F.col(vector_col).alias("v"))
+    turns = max(1, -(-asked.count() // QUERIES_AT_ONCE))
     found = None
     for turn in range(turns):
-        some = queries if turns == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
-        asked = some.where(F.col(vector_col).isNotNull()).select("query_id", F.col(vector_col).alias("v")).toArrow()
-        part = _nearest(rows, spark.sparkContext.broadcast((asked["query_id"].combine_chunks(), _unit(_matrix(asked["v"])))), k, kind, query_kind)
+        some = asked if turns == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn)
+        shared = spark.sparkContext.broadcast(_by_length(some.toArrow()))
+        part = _ranked(_nearest(rows, shared, k, kind, query_kind), k)
+        if turns > 1:
+            part = materialize(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
+    return found.select("query_id", "rank", F.col("id").alias(id_col), "distance")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "distance")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-def _matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+def _by_length(asked: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """Names and unit vectors of queries, for each length of vectors."""
+    names, vectors = asked["query_id"].combine_chunks(), asked["v"].combine_chunks()
+    if not len(names):
+        return {}
+    length = pc.list_value_length(vectors).to_numpy()
+    picked = {int(n): pa.array(np.flatnonzero(length == n)) for n in np.unique(length) if n}
+    return {n: (names.take(at), _unit(_matrix(vectors.take(at)))) for n, at in picked.items()}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
-        return x / np.sqrt((x * x).sum(1, keepdims=True)) if x.size else x
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _nearest(rows: DataFrame, shared, k: int, kind: str, query_kind: str) -> DataFrame:
+    def top(names: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+        near = np.round(1 - q @ x.T, 12)
+        near[~np.isfinite(near)] = np.inf
+        place = np.empty(len(ids), np.int64)
+        place[np.argsort(np.array(ids.to_pylist()), kind="stable")] = np.arange(len(ids))
+        most = min(k, len(ids))
+        asked, at, far = [], [], []
+        for i, d in enumerate(near):
+            some = np.flatnonzero((d <= np.partition(d, most - 1)[most - 1]) & (d < np.inf))  # with all ties
+            some = some[np.lexsort((place[some], d[some]))][:k]
+            asked.append(np.full(len(some), i))
+            at.append(some)
+            far.append(d[some])
+        return pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(asked))), ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(far))], ["query_id", "id", "distance"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
         for b in batches:
-            if not b.num_rows or not len(names):
-                continue
-            near = 1 - q @ _unit(_matrix(b.column(1))).T
-            near[np.isnan(near)] = np.inf
-            ids = b.column(0)
-            place = np.empty(b.num_rows, np.int64)
-            place[np.argsort(np.array(ids.to_pylist()), kind="stable")] = np.arange(b.num_rows)
-            most = min(k, b.num_rows)
-            asked, at, far = [], [], []
-            for i, d in enumerate(near):
-                some = np.flatnonzero((d <= np.partition(d, most - 1)[most - 1]) & (d < np.inf))  # with all ties
-                some = some[np.lexsort((place[some], d[some]))][:k]
-                asked.append(np.full(len(some), i))
-                at.append(some)
-                far.append(d[some])
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(asked))), ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(far))], ["query_id", "id", "distance"])
+            length = pc.list_value_length(b.column(1)).to_numpy()
+            for n, (names, q) in shared.value.items():
+                at = np.flatnonzero(length == n)
+                step = max(1, PRODUCT // len(names))
+                for s in range(0, len(at), step):
+                    own = pa.array(at[s : s + step])
+                    yield top(names, q, b.column(0).take(own), _unit(_matrix(b.column(1).take(own))))
 
     return rows.mapInArrow(run, f"query_id {query_kind}, id {kind}, distance double")
 
@@ -99,23 +128,29 @@ def rerank(hits: DataFrame, score: Column, top_k: int) -> DataFrame:
 def rerank_with(hits: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], top_k: int) -> DataFrame:
     """Rerank by a model: ``load`` makes, once a task, a function from (query, context) pairs to scores.
 
-    The context is the file, class, function and code of a hit. If the model answers nothing for a batch, its
-    hits keep their order: their score is ``1 - distance``.
+    The context is the file, class, function and code of a hit. If the model answers nothing for a batch, or fails,
+    its hits keep their order: their score is ``1 - distance``.
     """
-    names = hits.columns
+    names, (shown, made) = hits.columns, unused(hits, "context", "score")
     optional = lambda c: F.col(c) if c in names else F.lit(None).cast("string")
     context = rerank_context(optional("file_path"), optional("class_name"), optional("function_name"), F.col("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = load()
+        try:
+            score = load()
+        except Exception:  # noqa: BLE001
+            score = lambda pairs: []
         for b in batches:
-            scores = score(list(zip(b.column("query").to_pylist(), b.column("context_").to_pylist(), strict=True))) if b.num_rows else []
+            scores: list[float] = []
+            if b.num_rows:
+                with contextlib.suppress(Exception):  # a search without its reranker is better than none
+                    scores = score(list(zip(b.column("query").to_pylist(), b.column(shown).to_pylist(), strict=True)))
             values = pa.array(scores, pa.float64()) if len(scores) == b.num_rows else pa.array([1 - d for d in b.column("distance").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), values], [*names, "score_"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), values], [*names, made])
 
-    schema = T.StructType([*hits.schema.fields, T.StructField("score_", T.DoubleType())])
-    scored = hits.withColumn("context_", context).mapInArrow(run, schema)
-    return rerank(scored, F.col("score_"), top_k).drop("score_")
+    schema = T.StructType([*hits.schema.fields, T.StructField(made, T.DoubleType())])
+    scored = hits.withColumn(shown, context).mapInArrow(run, schema)
+    return rerank(scored, F.col(made), top_k).drop(made)
 
 
 def boost_hits(hits: DataFrame, query: Column, n: int, strict_limit: bool = True) -> DataFrame:

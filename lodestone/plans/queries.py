@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..functions.vectors import dot
 from ..operators import changes, chunking, embedding, render, search
 from ..sources import filters
+from ..sources.scratch import materialize
 from ..streaming import maintenance
 
 
@@ -155,7 +156,7 @@ def rerank_topk(spark, sf_dir):
     v = vectors(spark, sf_dir).select("id", F.col("embedding").alias("v"))
     q = vector_queries(spark, sf_dir).select("query_id", F.col("embedding").alias("q"))
     found = found.join(v, "id").join(q, "query_id")
-    score = rounded(dot(F.slice("v", 1, 16), F.slice("q", 1, 16)))
+    score = rounded(dot(F.reverse("v"), F.col("q")))  # a second opinion that is not the first one
     return search.rerank(found, score, 5).select("query_id", "rank", "id", "similarity")
 
 
@@ -168,21 +169,43 @@ def significant_words(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(F.array_sort(words), " ")).alias("words_md5"))
 
 
-def boost_score(spark, sf_dir):
+def _asked_words(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The stated queries with their identifiers and words, and every document with those of its words that any
+    query has, so that each text is taken apart once."""
     q = asked(spark).select("query_id", ident.identifiers(F.col("query")).alias("names"), ident.significant_words(F.col("query")).alias("words"))
-    d = coded(spark, sf_dir).select("doc_id", F.array_distinct(ident.words_of(F.col("content"))).alias("own"), F.array_distinct(ident.words_of(F.lower("content"))).alias("lower"))
+    every = q.agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("all_names"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("all_words"))  # one row
+    d = coded(spark, sf_dir).crossJoin(F.broadcast(every))
+    return q, d.select("doc_id", F.array_intersect("all_names", ident.words_of(F.col("content"))).alias("own"), F.array_intersect("all_words", ident.words_of(F.lower("content"))).alias("lower"))
+
+
+def boost_score(spark, sf_dir):
+    q, d = _asked_words(spark, sf_dir)
     pairs = d.crossJoin(F.broadcast(q))  # a stated set of five queries
     own, lower = F.col("own"), F.col("lower")
     return pairs.select("doc_id", "query_id", ident.identifier_matches(F.col("names"), own).cast("long").alias("matches"), ident.has_significant_word(F.col("words"), lower).alias("has_word"),
                         ident.boost(F.col("names"), F.col("words"), F.lit(""), text_words=own, lower_text_words=lower).alias("boost"))
 
 
+def exact_match(spark, sf_dir):
+    """For each document the stated queries of which it has an identifier."""
+    q, d = _asked_words(spark, sf_dir)
+    found = d.crossJoin(F.broadcast(q)).where(ident.has_exact_match(F.col("names"), F.col("own")))
+    return d.select("doc_id").join(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("query_id")).alias("queries")), "doc_id", "left").select("doc_id", F.coalesce("queries", F.array().cast("array<int>")).alias("queries"))
+
+
 def boosted_search(spark, sf_dir):
     found = hits(spark, sf_dir, 20).withColumn("similarity", rounded(1 - F.col("distance")))
     found = found.join(vector_queries(spark, sf_dir).select("query_id", "query"), "query_id")
     return search.boost_hits(found, F.col("query"), 5).select("query_id", "rank", "id", rounded("similarity").alias("similarity"), "boosted")
 
 
+def boosted_uncut(spark, sf_dir):
+    """As ``boosted_search``, where every second query has no identifiers and is not cut."""
+    found = hits(spark, sf_dir, 20).withColumn("similarity", rounded(1 - F.col("distance")))
+    q = vector_queries(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 40 == 0, F.lit("plain words alone")).otherwise(F.col("query")).alias("query"))
+    return search.boost_hits(found.join(q, "query_id"), F.col("query"), 5, strict_limit=False).select("query_id", "rank", "id", rounded("similarity").alias("similarity"), "boosted")
+
+
 def chunk_lines(spark, sf_dir):
     c = chunking.chunk_lines(docs(spark, sf_dir))
     return c.select("file_path", "chunk_index", "total_chunks", "start_char", "end_char", "start_line", "end_line", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
@@ -205,6 +228,27 @@ def expand_hits(spark, sf_dir):
     return found.select("id", "expanded_start_line", "expanded_end_line", F.md5(F.encode("expanded_content", "UTF-8")).alias("expanded_md5"))
 
 
+def chunk_syntax(spark, sf_dir):
+    """Documents dressed as Python and JavaScript sources, a function for every three lines, in chunks of 400."""
+    d = docs(spark, sf_dir)
+    line = F.regexp_replace("content", r"[^\p{L}\p{N} \n]", "")
+    lines = F.filter(F.split(line, "\n"), lambda x: F.length(F.trim(x)) > 0)
+    python, script = F.col("doc_id") % 2 == 0, lambda i, x: F.when(F.col("doc_id") % 2 == 0, F.concat(F.when(i % 3 == 0, F.concat(F.lit("def part_"), i.cast("string"), F.lit("():\n"))).otherwise(F.lit("")), F.lit('    say("'), x, F.lit('")\n'))).otherwise(
+        F.concat(F.when(i % 3 == 0, F.concat(F.when(i > 0, "}\n").otherwise(""), F.lit("function part_"), i.cast("string"), F.lit("() {\n"))).otherwise(F.lit("")), F.lit('  say("'), x, F.lit('");\n')))
+    body = F.array_join(F.transform(lines, lambda x, i: script(i, x)), "")
+    text = F.when(python, F.concat(F.lit("import os\n\n"), body)).otherwise(F.concat(F.lit("import x from 'y';\n"), body, F.when(F.size(lines) > 0, "}\n").otherwise("")))
+    path = F.concat(F.regexp_replace("file_path", r"\.txt$", ""), F.when(python, ".py").otherwise(".js"))
+    c = chunking.chunk_files(d.select(path.alias("file_path"), text.alias("content")), 400)
+    return c.select("id", "total_chunks", "start_char", "end_char", "start_line", "end_line", "function_name", "symbol_type", "has_file_header", "is_continuation", "has_signature_context", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
+
+
+def file_ids(spark, sf_dir):
+    """How many chunk ids each file has, by its path alone, and whether it has any."""
+    c = chunks(spark, sf_dir).select("file_path", "id").distinct().groupBy("file_path").agg(F.count("id").alias("n"))
+    d = docs(spark, sf_dir).select("file_path").join(c, "file_path", "left")
+    return d.select("file_path", F.coalesce("n", F.lit(0)).alias("ids"), F.col("n").isNotNull().alias("processed"))
+
+
 def get_chunk(spark, sf_dir):
     wanted = docs(spark, sf_dir).select("file_path", (F.col("doc_id") % 3).cast("int").alias("chunk_index"))
     return chunks(spark, sf_dir).join(wanted, ["file_path", "chunk_index"]).select("id", "start_line", "end_line", F.length("content").alias("n_chars"))
@@ -342,19 +386,19 @@ def query_features(spark, sf_dir):
 
 
 def indexed_search(spark, sf_dir):
-    """The whole way: chunk all documents, embed by hash, take benchmark items as queries, search, lift, expand,
-    and render."""
-    c = chunks(spark, sf_dir)
-    c = c.join(embedding.hash_embed(c, "id", "content"), "id").withColumns({"function_name": F.lit(None).cast("string"), "class_name": F.lit(None).cast("string")})
+    """The whole way: chunk all documents and embed the chunks by hash in one pass, written out as an index is; take
+    benchmark items as queries, search, lift, expand, and render."""
+    c = embedding.with_hash_embedding(chunks(spark, sf_dir)).where("embedding is not null")
+    c = materialize(c.withColumns({"function_name": F.lit(None).cast("string"), "class_name": F.lit(None).cast("string")}))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    q = b.join(embedding.hash_embed(b, "query_id", "query"), "query_id")
+    q = embedding.with_hash_embedding(b, "query").where("embedding is not null")
     found = search.search(c, q, n=search.RESULTS, expand=True)
     return render.or_no_results(render.render(found), b)
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, boosted_search, chunk_lines, chunk_adjacency,
-    expand_context, expand_hits, get_chunk, detect_changes, change_summary, delete_by_file, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
+    vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, boosted_search, boosted_uncut, chunk_lines,
+    chunk_syntax, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, change_summary, delete_by_file, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
     format_results, hash_embed, debounce, client_expiry, interval_overlap, conversation_context, query_features, indexed_search)}
 
 _DISTANCE = "round(distance, 6) + 0.0 AS distance"
@@ -379,7 +423,7 @@ ORACLE_SQL = {
     "vector_topk_batch": f"WITH {VECTORS} SELECT query_id, rank, id, {_DISTANCE} FROM {_ranked(10)}",
     "filtered_topk_post": f"WITH {VECTORS} SELECT query_id, rank, id, file_path, {_DISTANCE} FROM {_ranked(50)} WHERE {_FILTER}",
     "filtered_topk_pre": f"WITH {VECTORS} SELECT query_id, rank, id, {_DISTANCE} FROM {_ranked(5, f'(SELECT * FROM scored WHERE {_FILTER})')}",
-    "rerank_topk": f"""WITH {VECTORS}, top AS {_ranked(20)}, again AS (SELECT query_id, id, rank AS old, round(list_dot_product(v[1:16], q[1:16]), 6) + 0.0 AS similarity FROM top)
+    "rerank_topk": f"""WITH {VECTORS}, top AS {_ranked(20)}, again AS (SELECT query_id, id, rank AS old, round(list_dot_product(list_reverse(v), q), 6) + 0.0 AS similarity FROM top)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, old) AS rank, id, similarity FROM again QUALIFY rank <= 5""",
     "identifier_extract": f"WITH {CODED} SELECT doc_id, list_sort({_idents('content')}) AS identifiers FROM coded",
     "significant_words": f"WITH {DOCS} SELECT doc_id, len({_significant('content')}) AS n_words, md5(array_to_string(list_sort({_significant('content')}), ' ')) AS words_md5 FROM docs",
@@ -390,6 +434,31 @@ ORACLE_SQL = {
       met AS (SELECT query_id, id, rank AS old, round(1 - distance, 6) + 0.0 AS s, {_MATCHES} AS matches FROM top),
       lifted AS (SELECT query_id, id, old, s * CASE WHEN matches = 0 THEN 1.0 ELSE 3.0 * (1 + (matches - 1) * 0.5) END::DOUBLE AS s, matches > 0 AS boosted FROM met)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, old) AS rank, id, round(s, 6) + 0.0 AS similarity, boosted FROM lifted QUALIFY rank <= 5""",
+    "boosted_uncut": f"""WITH {VECTORS}, asked AS (SELECT * REPLACE (CASE WHEN query_id % 40 = 0 THEN 'plain words alone' ELSE query END AS query) FROM {_ranked(20)}),
+      met AS (SELECT query_id, id, rank AS old, len({_idents('query')}) AS named, round(1 - distance, 6) + 0.0 AS s, {_MATCHES} AS matches FROM asked),
+      lifted AS (SELECT query_id, id, old, named, s * CASE WHEN matches = 0 THEN 1.0 ELSE 3.0 * (1 + (matches - 1) * 0.5) END::DOUBLE AS s, matches > 0 AS boosted FROM met)
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN named > 0 THEN s ELSE 0 END DESC, old) AS rank, id, round(s, 6) + 0.0 AS similarity, boosted FROM lifted QUALIFY rank <= 5 OR named = 0""",
+    "exact_match": f"""WITH {CODED}, {_ASKED},
+      met AS (SELECT doc_id, query_id FROM coded, asked WHERE {_MATCHES} > 0),
+      lists AS (SELECT doc_id, list(query_id ORDER BY query_id) AS queries FROM met GROUP BY doc_id)
+      SELECT doc_id, coalesce(queries, []) AS queries FROM coded LEFT JOIN lists USING (doc_id)""",
+    "file_ids": f"""WITH RECURSIVE {CHUNKS} SELECT d.file_path, count(DISTINCT c.id) AS ids, count(c.id) > 0 AS processed FROM docs d LEFT JOIN chunks c ON d.file_path = c.file_path GROUP BY d.file_path""",
+    "indexed_search": f"""WITH RECURSIVE {CHUNKS},
+      cw AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM chunks),
+      qw AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM benchmark),
+      cb AS (SELECT id, ('0x' || md5(word)[1:8])::UBIGINT % 64 AS b, count(*)::DOUBLE AS n FROM cw GROUP BY ALL),
+      qb AS (SELECT item_id, ('0x' || md5(word)[1:8])::UBIGINT % 64 AS b, count(*)::DOUBLE AS n FROM qw GROUP BY ALL),
+      cn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM cb GROUP BY id), qn AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM qb GROUP BY item_id),
+      dots AS (SELECT item_id AS query_id, cb.id, sum(cb.n * qb.n) AS dot FROM cb JOIN qb ON cb.b = qb.b GROUP BY ALL),
+      near AS (SELECT query_id, d.id, round(1 - dot / (cn.norm * qn.norm), 12) AS distance FROM dots d JOIN cn ON cn.id = d.id JOIN qn ON qn.item_id = d.query_id),
+      top AS (SELECT n.*, b.text AS query, c.content, c.file_path, c.chunk_index FROM {_ranked(5, 'near')} n JOIN benchmark b ON b.item_id = n.query_id JOIN chunks c ON c.id = n.id),
+      met AS (SELECT *, len({_idents('query')}) AS named, {_MATCHES} AS matches FROM top),
+      sorted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN named > 0 THEN (1 - distance) * CASE WHEN matches = 0 THEN 1.0 ELSE 3.0 * (1 + (matches - 1) * 0.5) END::DOUBLE ELSE 0 END DESC, rank) AS place FROM met),
+      shown AS (SELECT s.query_id, place, s.file_path || ':' || expanded_start_line || '-' || expanded_end_line || chr(10)
+        || CASE WHEN length(expanded_content) > 600 THEN substring(expanded_content, 1, 600) || '…' ELSE expanded_content END || chr(10) || '---' AS block
+        FROM sorted s JOIN ({_expanded('chunks')}) e ON e.id = s.id),
+      texts AS (SELECT query_id, string_agg(block, chr(10) ORDER BY place) AS text FROM shown GROUP BY query_id)
+      SELECT b.item_id AS query_id, coalesce(t.text, 'No results.') AS text FROM benchmark b LEFT JOIN texts t ON t.query_id = b.item_id""",
     "chunk_lines": f"WITH RECURSIVE {CHUNKS} SELECT file_path, chunk_index, total_chunks, start_char, end_char, start_line, end_line, md5(content) AS content_md5 FROM chunks",
     "chunk_adjacency": f"WITH RECURSIVE {CHUNKS} SELECT id, prev_id, next_id, total_chunks FROM chunks",
     "expand_context": f"WITH RECURSIVE {CHUNKS} SELECT id, expanded_start_line, expanded_end_line, md5(expanded_content) AS expanded_md5 FROM ({_expanded('chunks')})",

@@ -36,6 +36,21 @@ def test_query(spark, db, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == true
 
 
-def test_indexed_search(spark):
-    rows = queries.indexed_search(spark, SF).collect()
-    assert len(rows) == 40 and all(r.text.count("\n---") <= 5 for r in rows)
+def test_chunk_syntax_tiles(spark):
+    files = {}
+    for r in queries.chunk_syntax(spark, SF).collect():
+        files.setdefault(r.id.rsplit(":", 1)[0], []).append(r)
+    assert len(files) > 150
+    whole = 0
+    for path, rows in files.items():
+        rows.sort(key=lambda r: r.start_char)
+        assert rows[0].start_char == 0 and all(a.end_char == b.start_char for a, b in zip(rows, rows[1:], strict=False)) and len(rows) == rows[0].total_chunks
+        assert all(r.end_char - r.start_char <= 400 for r in rows) and rows[0].has_file_header
+        assert all(r.is_continuation for r in rows if r.has_signature_context)
+        whole += any(r.has_signature_context for r in rows)
+    assert whole > 20 and {r.symbol_type for rows in files.values() for r in rows} <= {"function", None}
+
+
+def test_plans(spark):
+    plan = lambda name: queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan("hash_embed") and "SortMergeJoin" not in plan("boost_score")
