@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import unused
+
 
 def detect_changes(tracked: DataFrame, current: DataFrame, verify_with_hash: bool = True) -> DataFrame:
     """(file_path, status) from (file_path, mtime, size, content_hash) tables of then and now.
@@ -38,14 +40,23 @@ def should_reindex(last: Column, now: Column, minutes: int = 10) -> Column:
     return F.when(last.isNull() | (last == 0), True).otherwise((now - last) >= minutes * 60)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """``new`` rows replace those of the same key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def last_of_each(rows: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """One row a key: the last by ``order``, which rows of a key should differ in; without it, or among equal ones,
+    that of the largest hash, so that a task run again keeps the same."""
+    (rank,) = unused(rows, "rank")
+    by = [F.desc_nulls_last(order)] if order is not None else []
+    w = Window.partitionBy(key).orderBy(*by, F.desc(F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in rows.columns])))
+    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """``new`` rows replace those of the same key. Of several new ones ``last_of_each`` counts."""
+    return old.join(new.select(key), key, "left_anti").unionByName(last_of_each(new, key, order))
 
 
-def insert_new(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """``new`` rows with a known key are left out."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti"))
+def insert_new(old: DataFrame, new: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
+    """``new`` rows with a known key are left out. Of several with one key ``last_of_each`` counts."""
+    return old.unionByName(last_of_each(new.join(old.select(key), key, "left_anti"), key, order))
 
 
 def delete_keys(old: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

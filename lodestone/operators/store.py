@@ -1,21 +1,33 @@
 """Collections of chunks in versioned Parquet folders.
 
-A collection is ``<root>/<name>/v=<n>``, next to a pointer file that says which version holds. A change is
-written as a new version from the old one and the pointer is renamed into place, so that a reader under way
-keeps what it reads, and a job that dies leaves the old version in force. All file work goes through
-Hadoop's file system, so a store may be anywhere Spark can write.
+A collection's rows lie in buckets by a hash of their key (chunks of one file together), and a state file says
+which version of each bucket holds. A change rewrites the buckets it touches into ``<root>/<name>/v=<n>`` and puts
+the next state file in place by a rename, so that a reader under way keeps what it reads, and a job that dies
+leaves the old state in force. One writer at a time. All file work goes through Hadoop's file system, so a store
+may be anywhere Spark can write.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.columns import unused
 from . import changes
 
-POINTER = "current.json"
+BUCKETS = 64
+STATE = "state-"
+
+
+class ModelMismatch(ValueError):
+    """A collection holds vectors of another model or dimension; ``state`` says which."""
+
+    def __init__(self, name: str, state: dict, dimension: int | None, model_name: str | None):
+        super().__init__(f"{name} holds vectors of {state['dimension']} (model {state['model_name']}), not {dimension} (model {model_name})")
+        self.state = state
 
 
 class Store:
@@ -28,70 +40,118 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _states(self, name: str) -> list[str]:
+        """State files of a collection, newest first."""
+        fs, folder = self._path(name)
+        if not fs.exists(folder):
+            return []
+        return sorted((n for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith(STATE) and n.endswith(".json")), reverse=True)
+
     def _read(self, name: str) -> dict | None:
-        fs, path = self._path(name, POINTER)
-        if not fs.exists(path):  # a change may have stopped between removing the old pointer and renaming the new
-            _, path = self._path(name, POINTER + ".tmp")
-            if not fs.exists(path):
-                return None
-        text = "\n".join(r.value for r in self.spark.read.text(path.toString()).collect())
-        try:
-            return json.loads(text)
-        except ValueError:
-            return None
+        for file in self._states(name)[:1]:
+            return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/{name}/{file}").collect()))
+        return None
 
     def _point(self, name: str, state: dict) -> None:
-        fs, path = self._path(name, POINTER)
-        _, fresh = self._path(name, POINTER + ".tmp")
+        file = f"{STATE}{state['version']:012d}"
+        fs, fresh = self._path(name, f"_{file}.tmp")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+        fs.rename(fresh, self._path(name, f"{file}.json")[1])
+        known = self._states(name)
+        held = {v for f in known[:2] for v in self._versions(name, f)}  # the last state stays for readers under way
+        for f in known[2:]:
+            for v in self._versions(name, f) - held:
+                fs.delete(self._path(name, f"v={v}")[1], True)
+            fs.delete(self._path(name, f)[1], False)
+
+    def _versions(self, name: str, file: str) -> set[int]:
+        state = json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/{name}/{file}").collect()))
+        return set(state["buckets"].values())
 
     # -- collections ---------------------------------------------------------------------------------------
-    def open(self, name: str, schema, dimension: int | None = None, model_name: str | None = None) -> dict:
-        """Open a collection or create it. A stored dimension that differs is an error that names the stored
-        model, for the caller to load it."""
+    def open(self, name: str, schema, dimension: int | None = None, model_name: str | None = None, key: str = "id", buckets: int = BUCKETS) -> dict:
+        """Open a collection or create it. A stored dimension or model that differs is a ``ModelMismatch``, for the
+        caller to load the stored model."""
         state = self._read(name)
         if state is None:
-            state = {"version": 0, "dimension": dimension, "model_name": model_name}
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{name}/v=0")
+            kind = schema if isinstance(schema, T.StructType) else self.spark.createDataFrame([], schema).schema
+            state = {"version": 0, "dimension": dimension, "model_name": model_name, "key": key, "n_buckets": buckets, "buckets": {}, "schema": kind.json(), "part": unused(self.spark.createDataFrame([], kind), "bucket")[0]}
+            fs, folder = self._path(name)
+            fs.mkdirs(folder)
             self._point(name, state)
-        elif dimension is not None and state["dimension"] not in (None, dimension):
-            raise ValueError(f"{name} holds vectors of {state['dimension']} (model {state['model_name']}), not {dimension}")
+        elif any(new is not None and old not in (None, new) for old, new in ((state["dimension"], dimension), (state["model_name"], model_name))):
+            raise ModelMismatch(name, state, dimension, model_name)
         return state
 
-    def table(self, name: str) -> DataFrame:
+    def _opened(self, name: str) -> dict:
         state = self._read(name)
         if state is None:
             raise RuntimeError(f"collection {name} is not open")
-        return self.spark.read.parquet(f"{self.root}/{name}/v={state['version']}")
+        return state
+
+    def _rows(self, name: str, state: dict, buckets: list[str] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(state["schema"]))
+        paths = [f"{self.root}/{name}/v={v}/{state['part']}={b}" for b, v in state["buckets"].items() if buckets is None or b in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def table(self, name: str) -> DataFrame:
+        return self._rows(name, self._opened(name))
 
     def model_name(self, name: str) -> str | None:
         return (self._read(name) or {}).get("model_name")
 
+    def _bucket(self, state: dict, key: Column | None = None) -> Column:
+        """Bucket of a key; a chunk's is that of its file."""
+        owner = F.regexp_replace((F.col(state["key"]) if key is None else key).cast("string"), ":chunk_[0-9]+$", "")
+        return F.pmod(F.xxhash64(F.coalesce(owner, F.lit(""))), F.lit(state["n_buckets"])).cast("int")
+
+    def _write(self, name: str, state: dict, rows: DataFrame, touched: list[str]) -> None:
+        """Make ``rows`` the content of the touched buckets."""
+        version = state["version"] + 1
+        folder = f"{self.root}/{name}/v={version}"
+        names, part = [f["name"] for f in json.loads(state["schema"])["fields"]], state["part"]
+        rows.select(*names, self._bucket(state).alias(part)).write.mode("overwrite").partitionBy(part).parquet(folder)
+        fs, path = self._path(name, f"v={version}")
+        made = {s.getPath().getName().split("=")[1] for s in fs.listStatus(path) if s.getPath().getName().startswith(f"{part}=")}
+        kept = {b: v for b, v in state["buckets"].items() if b not in touched}
+        self._point(name, state | {"version": version, "buckets": kept | dict.fromkeys(sorted(made), version)})
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """Make ``rows`` the collection's content; they may come from its present version."""
-        state = self._read(name)
-        if state is None:
-            raise RuntimeError(f"collection {name} is not open")
-        version = state["version"] + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        self._point(name, state | {"version": version})
-        for old in range(max(0, version - 2), version - 1):  # the last one stays for readers under way
-            fs, path = self._path(name, f"v={old}")
-            fs.delete(path, True)
-
-    def add(self, name: str, rows: DataFrame, update: bool = True) -> None:
-        """Add rows; known ids are replaced, or with ``update`` off left as they are."""
-        old = self.table(name)
-        rows = rows.select(old.columns)
-        self.replace(name, changes.upsert(old, rows) if update else changes.insert_new(old, rows))
+        state = self._opened(name)
+        self._write(name, state, rows, list(state["buckets"]))
+
+    def _touched(self, state: dict, keys: DataFrame, key: Column) -> list[str]:
+        return [str(r.b) for r in keys.select(self._bucket(state, key).alias("b")).distinct().collect()]  # at most n_buckets
+
+    def add(self, name: str, rows: DataFrame, update: bool = True, order: Column | None = None) -> None:
+        """Add rows; known ids are replaced, or with ``update`` off left as they are. Only buckets that get rows
+        are read and written. Of new rows with one id the last by ``order`` counts. Vectors of another length than the collection's are an error."""
+        state = self._opened(name)
+        names = [f["name"] for f in json.loads(state["schema"])["fields"]]
+        if state["dimension"] is not None and "embedding" in names:
+            size = F.size("embedding")
+            rows = rows.withColumn("embedding", F.when(F.col("embedding").isNull() | (size == state["dimension"]), F.col("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"{name} holds vectors of {state['dimension']}, not "), size.cast("string")))))
+        touched = self._touched(state, rows, F.col(state["key"]))
+        old = self._rows(name, state, touched)
+        new = changes.last_of_each(rows, state["key"], order).select(names) if order is not None else rows.select(names)
+        self._write(name, state, (changes.upsert if update else changes.insert_new)(old, new, state["key"]), touched)
 
     def delete_ids(self, name: str, ids: DataFrame) -> None:
-        self.replace(name, changes.delete_keys(self.table(name), ids))
+        state = self._opened(name)
+        touched = self._touched(state, ids, F.col(state["key"]))
+        self._write(name, state, changes.delete_keys(self._rows(name, state, touched), ids, state["key"]), touched)
+
+    def change_files(self, name: str, files: DataFrame, fresh: DataFrame) -> None:
+        """``fresh`` rows in place of all that ``files`` (file_path) have; only buckets of these files are read and
+        written."""
+        state = self._opened(name)
+        names = [f["name"] for f in json.loads(state["schema"])["fields"]]
+        touched = self._touched(state, files, F.col("file_path"))
+        kept = self._rows(name, state, touched).join(files.select("file_path").distinct(), "file_path", "left_anti")
+        self._write(name, state, kept.select(names).unionByName(fresh.select(names)), touched)
 
     def delete_collection(self, name: str) -> None:
         fs, path = self._path(name)

@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from . import filters
 
+#: Folders that are enough to share out the walk, and the levels that the driver lists at most to find them.
+WALKS, DRIVER_LEVELS = 64, 3
+
 
 def _open(root: str) -> tuple[arrow_fs.FileSystem, str]:
     if "://" in root or root.startswith("file:"):
@@ -57,15 +60,18 @@ def gitignore_lines(root: str) -> list[str]:
 def list_files(spark: SparkSession, root: str, prune=tuple(filters.IGNORED)) -> DataFrame:
     """(file_path, rel_path, mtime, size) of all files below ``root``.
 
-    The driver lists the root itself; each folder in it is walked in a task. Folders whose name matches a
-    pattern of ``prune`` are not entered.
+    The driver lists the root, and a few levels more until there are ``WALKS`` folders; each of these is walked
+    in a task. Folders whose name matches a pattern of ``prune`` are not entered.
     """
     system, base = _open(root)
-    entries = [e for e in _listed(system, base) if not _pruned(e.base_name, prune)]
-    files = [(e.path, e.base_name, e.mtime_ns / 1e9, e.size) for e in entries if e.type == arrow_fs.FileType.File]
-    folders = [e.path for e in entries if e.type == arrow_fs.FileType.Directory]
+    skip, files, folders = len(base) + 1, [], [base]
+    for _ in range(DRIVER_LEVELS):
+        entries = [e for f in folders for e in _listed(system, f) if not _pruned(e.base_name, prune)]
+        files += [(e.path, e.path[skip:], e.mtime_ns / 1e9, e.size) for e in entries if e.type == arrow_fs.FileType.File]
+        folders = [e.path for e in entries if e.type == arrow_fs.FileType.Directory]
+        if len(folders) >= WALKS:
+            break
     schema = "file_path string, rel_path string, mtime double, size long"
-    skip = len(base) + 1
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, _ = _open(root)
@@ -86,13 +92,14 @@ def list_files(spark: SparkSession, root: str, prune=tuple(filters.IGNORED)) ->
     return here.unionByName(parts.mapInArrow(walk, schema))
 
 
-def discover_files(spark: SparkSession, root: str, exclude_tests: bool = False, additional_ignored=()) -> DataFrame:
-    """(file_path, rel_path, mtime, size) of the source files below ``root``; nothing is read yet."""
+def discover_files(spark: SparkSession, root: str, exclude_tests: bool = False, additional_ignored=(), ordered: bool = True) -> DataFrame:
+    """(file_path, rel_path, mtime, size) of the source files below ``root``, by path unless ``ordered`` is off;
+    nothing is read yet."""
     files = list_files(spark, root)
     kept = ~filters.ignored(F.col("rel_path"), gitignore_lines(root), additional_ignored) & filters.is_source_file(F.col("rel_path"))
     if exclude_tests:
         kept &= ~filters.is_test_file(F.col("file_path"))
-    return files.where(kept)
+    return files.where(kept).orderBy("file_path") if ordered else files.where(kept)
 
 
 def with_content(files: DataFrame, root: str) -> DataFrame:
@@ -125,4 +132,4 @@ def looks_like_codebase(spark: SparkSession, root: str, least: int = 5) -> bool:
     system, base = _open(root)
     if {e.base_name for e in _listed(system, base)} & set(filters.CODEBASE_MARKERS):
         return True
-    return discover_files(spark, root).limit(least).count() >= least
+    return discover_files(spark, root, ordered=False).limit(least).count() >= least

@@ -27,11 +27,12 @@ def follow_files(spark: SparkSession, root: str, checkpoint: str, update: Callab
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
-def upsert_stream(stream: DataFrame, store, name: str, checkpoint: str):
-    """Upsert every batch of a stream of chunks into a collection; of one id the last in the batch counts."""
+def upsert_stream(stream: DataFrame, store, name: str, checkpoint: str, order: str | None = None):
+    """Upsert every batch of a stream of chunks into a collection; of one id the last by the column ``order`` counts."""
 
     def each(batch: DataFrame, _: int) -> None:
-        store.add(name, batch.groupBy("id").agg(*[F.last(c).alias(c) for c in batch.columns if c != "id"]))
+        if not batch.isEmpty():
+            store.add(name, batch, order=F.col(order) if order else None)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

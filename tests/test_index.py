@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import schemas
-from lodestone.operators import embedding
-from lodestone.operators.store import Store
+from lodestone.operators import changes, embedding, search
+from lodestone.operators.store import ModelMismatch, Store
 from lodestone.plans.indexing import CHUNKS, METADATA, Index, collection_of
 from lodestone.sources import files, filters
 from lodestone.streaming import maintenance
@@ -72,6 +72,16 @@ def test_store(spark, tmp_path):
     assert Store(spark, str(tmp_path / "store")).open("c", schema, dimension=3)["model_name"] == "m"
     with pytest.raises(ValueError, match="model m"):
         store.open("c", schema, dimension=4)
+    with pytest.raises(ModelMismatch):
+        store.open("c", schema, dimension=3, model_name="other")
+    store.add("c", spark.createDataFrame([("x", "f", 1), ("x", "f", 2)], schema), order=F.col("n"))
+    assert [r.n for r in store.table("c").where("id = 'x'").collect()] == [2]
+    store.delete_ids("c", spark.createDataFrame([("x",)], "id string"))
+    before = store._read("c")["buckets"]
+    store.add("c", spark.createDataFrame([("p:chunk_0", "p", 1), ("p:chunk_1", "p", 2)], schema))
+    after = store._read("c")["buckets"]
+    assert sum(before.get(b) != v for b, v in after.items()) == 1  # chunks of a file share a bucket, others are not written
+    store.change_files("c", spark.createDataFrame([("p",)], "file_path string"), spark.createDataFrame([], schema))
     store.delete_collection("c")
     store.delete_collection("c")
     assert store.count("c") == 0
@@ -122,3 +132,65 @@ def test_streams(spark, tree, tmp_path):
     times = spark.createDataFrame([("x", "2024-01-01 00:00:00"), ("x", "2024-01-01 00:01:00"), ("x", "2024-01-01 00:10:00"), ("y", "2024-01-01 00:00:30")], "client string, t string").select("client", F.col("t").cast("timestamp").alias("ts"))
     assert sorted((r.client, r.calls) for r in maintenance.active_windows(times).collect()) == [("x", 1), ("x", 2), ("y", 1)]
     assert schemas.CHUNKS.names[0] == "id"
+
+
+def test_repeated_ids_of_a_batch(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "id string, n int")
+    new = spark.createDataFrame([("a", 2), ("a", 3), ("c", 5), ("c", 4)], "id string, n int")
+    assert sorted(map(tuple, changes.upsert(old, new, order=F.col("n")).collect())) == [("a", 3), ("b", 1), ("c", 5)]
+    assert sorted(map(tuple, changes.insert_new(old, new, order=-F.col("n")).collect())) == [("a", 1), ("b", 1), ("c", 4)]
+    assert changes.upsert(old, new).count() == 3
+
+
+def test_another_model_is_noticed(spark, tree, tmp_path):
+    seen = []
+    index = Index(spark, str(tmp_path / "db"), str(tree), progress=lambda step, counts: seen.append((step, counts)))
+    index.build(now=1.0)
+    assert [s for s, _ in seen] == ["listed", "chunked", "stored"] and seen[0][1] == {"files": 7} and seen[1][1]["chunks"] == 6
+    other = lambda rows: embedding.with_hash_embedding(rows, dimension=8)
+    for kw in ({"dimension": 8}, {"model_name": "m8"}):
+        with pytest.raises(ModelMismatch):
+            Index(spark, str(tmp_path / "db"), str(tree), embed=other, **kw)
+    stored = []
+    again = Index(spark, str(tmp_path / "db"), str(tree), embed=other, model_name="m8", dimension=8, load=lambda name: stored.append(name) or embedding.with_hash_embedding)
+    write(tree, "src/more.py", "y = 2\n")
+    assert stored == ["hash"] and again.update(now=2.0)["added"] == 1
+    assert {len(r.embedding) for r in again.store.table(CHUNKS).collect()} == {embedding.DIMENSION}
+    with pytest.raises(Exception, match="holds vectors of 64"):
+        again.store.add(CHUNKS, other(again.store.table(CHUNKS).drop("embedding")))
+    fresh = Index(spark, str(tmp_path / "db"), str(tree), embed=other, model_name="m8", dimension=8, force=True)
+    assert fresh.build(now=3.0) == 7 and fresh.store.model_name(CHUNKS) == "m8"
+
+
+def test_only_changed_files_are_read(spark, tree, tmp_path, monkeypatch):
+    index = Index(spark, str(tmp_path / "db"), str(tree))
+    index.build(now=1.0)
+    os.utime(tree / "Makefile", (time.time() + 5, time.time() + 5))
+    read = []
+    own = files.with_content
+    monkeypatch.setattr(files, "with_content", lambda found, root: (read.append(sorted(r.rel_path for r in found.collect())), own(found, root))[1])
+    assert index.update(now=2.0) == {"added": 0, "modified": 0, "deleted": 0, "unchanged": 7}
+    assert read == [["Makefile"]]
+
+
+def test_order_and_walks(spark, tmp_path, monkeypatch):
+    for i in (3, 1, 2):
+        write(tmp_path, f"a/b{i}/c/d{i}/x{i}.py", "x = 1\n")
+    got = [r.rel_path for r in files.discover_files(spark, str(tmp_path)).collect()]
+    assert got == [f"a/b{i}/c/d{i}/x{i}.py" for i in (1, 2, 3)]
+    monkeypatch.setattr(files, "DRIVER_LEVELS", 9)
+    assert [r.rel_path for r in files.discover_files(spark, str(tmp_path)).collect()] == got
+    folder = tmp_path / "plain"
+    write(folder, "notes.xyz", "no source")
+    index = Index(spark, str(tmp_path / "db"), str(folder))
+    assert index.ensure(now=1.0)["status"] == "not_a_codebase" and index.ensure(now=1.0, validate=lambda root: True) == {"status": "indexed", "chunks": 0}
+
+
+def test_vectors_of_other_lengths(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, float("nan")])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)] + [(9, [2.0]), (10, None)], "query_id long, embedding array<double>")
+    found = sorted((r.query_id, r["rank"], r.id) for r in search.vector_topk(chunks, asked, 3).collect())
+    assert (9, 1, 3) in found and len(found) == 11 and {i for _, _, i in found} == {1, 2, 3}
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 2)
+    monkeypatch.setattr(search, "PRODUCT", 1)
+    assert sorted((r.query_id, r["rank"], r.id) for r in search.vector_topk(chunks, asked, 3).collect()) == found

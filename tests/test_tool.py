@@ -38,3 +38,37 @@ def test_rerank_with_model(spark):
     silent = lambda: lambda pairs: []
     got = search.rerank_with(hits, silent, 2).orderBy("rank").collect()
     assert [r.id for r in got] == ["a", "b"] and got[0].similarity == pytest.approx(0.9)
+
+
+def test_failing_models(spark):
+    hits = spark.createDataFrame([(1, 1, "a", "f.py", "one", 0.1, "q", "u", 7), (1, 2, "b", "g.py", "three", 0.2, "q", "v", 8)], "query_id int, rank int, id string, file_path string, content string, distance double, query string, context string, score int")
+
+    def broken():
+        def score(pairs):
+            raise RuntimeError("no model")
+
+        return score
+
+    def missing():
+        raise OSError("no file")
+
+    for load in (broken, missing):
+        got = search.rerank_with(hits, load, 2).orderBy("rank").collect()
+        assert [(r.id, r.context, r.score) for r in got] == [("a", "u", 7), ("b", "v", 8)] and got[0].similarity == pytest.approx(0.9)
+
+
+def test_search_with_a_model(spark, tmp_path):
+    class Letters:
+        dimension, query_prefix = 26, ""
+
+        def embed_batch(self, texts):
+            assert len(texts) <= 2
+            return [[float(t.lower().count(chr(97 + i))) + 0.01 for i in range(26)] for t in texts]
+
+    root = tmp_path / "code"
+    root.mkdir()
+    for name in ("aaaa", "bbbb", "cccc", "dddd", "eeee"):
+        (root / f"{name}.py").write_text(f"{name} = '{name * 9}'\n")
+    settings = config.Settings(store_path=str(tmp_path / "db"), results=1, batch_size=2)
+    (found,) = search_codebase(spark, str(root), "dddd", settings=settings, model=Letters, model_name="letters")
+    assert "dddd.py" in found
