@@ -61,16 +61,29 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Within it, Python workers get at most so many rows at once: less memory for long texts than Spark's bound
+    on the bytes of a batch. The session's setting comes back at the end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, batch_rows: int = 500) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that its lineage ends there.
 
-    A lost executor then costs only its running tasks, and a table used twice is computed once.
+    A lost executor then costs only its running tasks, and a table used twice is computed once. Python workers
+    get ``batch_rows`` at once.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    with freeing_shuffles(spark):
-        writer.parquet(path)
+    with freeing_shuffles(spark), small_batches(spark, batch_rows):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -84,8 +97,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows, so that what a task works on at once is small. Spark bounds the bytes
-    of a batch, and nothing in the session's settings need be changed."""
+    """Slices of at most ``rows`` rows, so that what a task works on at once is small where batches are not. Spark
+    bounds a batch's bytes."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
@@ -106,7 +119,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has one row a key, although a few keys may hold most of ``big``.
 
-    Rows of hot keys, of which there are fewer than ``HOT_PARTS`` whatever the size, meet their rows of ``small``
+    Rows of hot keys, of which there are at most ``HOT_PARTS`` whatever the size, meet their rows of ``small``
     by a broadcast; all others are shuffled, and none of their keys is large. ``big`` is read several times and
     should be a written table; ``how`` is inner or left. Null keys meet nothing. ``hot`` has the hot keys where
     they are known.
@@ -123,8 +136,8 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
 
 
 def hot_from(rows: int) -> int:
-    """A key with more rows is hot, in a table of so many."""
-    return max(1_000, rows // HOT_PARTS)
+    """A key with more rows is hot, in a table of so many: at most ``HOT_PARTS`` keys are."""
+    return max(100, rows // HOT_PARTS)
 
 
 def first_half(known: dict, most: int) -> dict:

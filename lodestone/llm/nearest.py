@@ -171,7 +171,7 @@ def _visit(leaved: DataFrame, queries: DataFrame, tree_b, visits: int, leaf_size
             rows = np.repeat(np.arange(b.num_rows), [len(o) for o in orders])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([l for o in orders for l in o], pa.int64())], ["query_row", "leaf"])
 
-    pairs = materialize(queries.select("query_row", "embedding", "leaf").mapInArrow(probe, "query_row long, leaf long"))
+    pairs = materialize(queries.select("query_row", "embedding", "leaf").mapInArrow(probe, "query_row long, leaf long"), 4_096)
     asked = {r.leaf: r.n for r in pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_LEAVES rows, and one for each other length
     blocks = spark.createDataFrame(
         [(l, -(-leaf_sizes.get(l, 0) // BLOCK), -(-n // BLOCK)) for l, n in asked.items() if leaf_sizes.get(l)], "leaf long, v_blocks int, q_blocks int")
@@ -231,7 +231,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
                 leaf[at] = tree_b.value.assign(_matrix(b.column(2).take(pa.array(at))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(leaf)], ["row", "vec_id", "embedding", "leaf"])
 
-    leaved = materialize(rows.mapInArrow(assign, "row long, vec_id long, embedding array<double>, leaf long"))
+    leaved = materialize(rows.mapInArrow(assign, "row long, vec_id long, embedding array<double>, leaf long"), 4_096)
     leaf_sizes = {r.leaf: r.n for r in leaved.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     queries = materialize(leaved.where(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "embedding", "leaf"))
     discard(rows)
@@ -245,7 +245,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
         places = {i: {l: p for p, l in enumerate(o)} for i, o in zip(asked.tolist(), tree.order(q, tree.leaves), strict=True)}
         depth = sorted(places[r.query_row][r.leaf] + 1 for r in true)
         visits = depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)] if depth else 1
-    found = materialize(_ranked(_visit(leaved, queries, tree_b, visits, leaf_sizes, k), k))
+    found = materialize(_ranked(_visit(leaved, queries, tree_b, visits, leaf_sizes, k), k), 4_096)
     short = (queries.where("leaf >= 0").join(found.groupBy("query_row").agg(F.count(F.lit(1)).alias("n")), "query_row", "left")
              .where(F.coalesce("n", F.lit(0)) < min(k, n - 1)).select(queries.columns))
     short = materialize(short)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import discard, freeing_shuffles, give_up, materialize, pieces, read_table, shared_dir, unused
+from .common import discard, freeing_shuffles, give_up, materialize, pieces, read_table, shared_dir, small_batches, unused
 from .words import Words, word_blocks
 
 WINDOW = 13
@@ -109,7 +109,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"lodestone_run_{uuid.uuid4().hex}"
         self.written.append(name)
-        with freeing_shuffles(self.spark):
+        with freeing_shuffles(self.spark), small_batches(self.spark):
             rows.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm import language_id as li
@@ -35,10 +36,25 @@ def test_odd_rows(spark):
 
 
 def test_many_languages_share_slots():
-    import numpy as np
-
     names = [f"l{i:02}" for i in range(20)]
     rng = np.random.default_rng(0)
     grams = {n: rng.integers(0, 2**63, 5000).astype(np.uint64) for n in names}
     f = li.BitmaskFilter(names, grams)
     assert f.slots.shape[1] == 3 and (f.false_rate < 0.01).all()
+
+
+def test_filter_equals_sets():
+    """Against sets of n-grams without any filter: the corrected shares are near the true ones, and winners agree."""
+    import random
+
+    rng = random.Random(2)
+    words = {name: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(900)] for name in ("a1", "b2", "c3", "d4")}
+    known = {name: {order: {int(k) for _, key in li._grams([" ".join(w)], order) for k in key} for order in li.ORDERS} for name, w in words.items()}
+    model = li.BitmaskFilter(list(known), {name: np.array(sorted(set().union(*some.values())), np.uint64) for name, some in known.items()})
+    texts = [" ".join(rng.choices(words[name], k=60) + rng.choices(words[other], k=rng.randrange(20))) for name in words for other in words for _ in range(10)]
+    got = model.shares(texts)
+    for text, shares in zip(texts, got, strict=True):
+        keys = [int(k) for order in li.ORDERS for _, key in li._grams([text], order) for k in key]
+        every = [set().union(*known[name].values()) for name in known]
+        true = np.array([sum(k in s for k in keys) / len(keys) for s in every])
+        assert abs(true - shares).max() < 0.03 and true.argmax() == shares.argmax()

@@ -1,3 +1,7 @@
+import hashlib
+import zlib
+
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -54,3 +58,13 @@ def test_rows(spark):
     assert sp.encode_pieces(df.limit(0), PATH).count() == 0
     some = sp.decode_pieces(spark.createDataFrame([(1, None), (2, [1, 263, 2]), (3, [])], "doc_id long, ids array<int>"), PATH).collect()
     assert {r.doc_id: r.decoded for r in some} == {1: None, 2: LIBRARY.decode([1, 263, 2]), 3: ""}
+
+
+def test_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = sp.op6_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        true = LIBRARY.encode(docs[r.doc_id])
+        assert (r.n_ids, r.ids_crc32) == (len(true), zlib.crc32(np.array(true, "<u4").tobytes()))
+        assert (r.n_chars, r.text_sha256) == (len(LIBRARY.decode(true)), hashlib.sha256(LIBRARY.decode(true).encode()).hexdigest())
