@@ -204,29 +204,34 @@ def longest_prefix(table: bytes, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def prefix_token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, prefix_table) for every row.
+def prefix_token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None, tables: bool = True) -> DataFrame:
+    """(id, n_bytes, n_tokens, prefix_chars, prefix_table) for every row.
 
     ``path`` names a byte-level BPE file, which every worker must have (library data, not input). A null
     text counts as empty: no bytes, no tokens, an empty table. The table has two bytes a character:
-    the change of the token count there. Repeated rows give repeated rows; other columns are ignored.
+    the change of the token count there. ``prefix_chars`` is the length of the longest prefix of at most ``budget``
+    tokens, read from the table (null without a budget); with ``tables`` off the table itself stays out.
+    Repeated rows give repeated rows, an empty table none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in pieces(batches, 1_000):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            tables = c.tables(texts)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
-                 pa.array([int(np.frombuffer(t, "<i2").sum(dtype=np.int64)) for t in tables], pa.int64()),
-                 pa.array(tables, pa.binary())], ["id", "n_bytes", "n_tokens", "prefix_table"])
+            found = c.tables(texts)
+            columns = [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
+                       pa.array([int(np.frombuffer(t, "<i2").sum(dtype=np.int64)) for t in found], pa.int64()),
+                       pa.array([None if budget is None else longest_prefix(t, budget) for t in found], pa.int64())]
+            if tables:
+                columns.append(pa.array(found, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_tokens", "prefix_chars", "prefix_table"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-            .mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, prefix_table binary").withColumnRenamed("id", id_col))
+            .mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, prefix_chars long" + ", prefix_table binary" * tables).withColumnRenamed("id", id_col))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prefix_token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return found.select("doc_id", "n_bytes", "n_tokens", (found.n_tokens > LIMIT).alias("over_limit"))
+    """(doc_id, n_bytes, n_tokens, over_limit, prefix_chars) of every document; see ``prefix_token_counts``."""
+    found = prefix_token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=LIMIT, tables=False)
+    return found.select("doc_id", "n_bytes", "n_tokens", (found.n_tokens > LIMIT).alias("over_limit"), "prefix_chars")

@@ -47,3 +47,15 @@ def test_rows(spark):
     rows = tc.prefix_token_counts(df, PATH).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in rows) == [(0, 0, 0), (1, 11, 2), (1, 11, 2), (3, 0, 0)]
     assert tc.prefix_token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_query(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = tc.op4_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        n = len(LIBRARY.encode(docs[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 512)
+        text = docs[r.doc_id]
+        count = lambda k: len(LIBRARY.encode(text[:k], add_special_tokens=False).ids)  # noqa: B023, E731
+        assert r.prefix_chars == len(text) if n <= 512 and r.prefix_chars == len(text) else count(r.prefix_chars) <= 512 < count(min(len(text), r.prefix_chars + 1))
