@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import first_half, give_up, held, pieces, read_table, shared_dir
+from .common import first_half, give_up, held, pieces, read_table, shared_dir, small_batches
 
 MAGIC = b"DAC1"
 #: Bits of a bitmap for each entry of its rank directory.
@@ -221,19 +221,26 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = END_ID, id_
 
     shards = rows.select("id", "text").mapInArrow(
         run, f"part int, shard int, start long, n_ids long, doc_ids array<{kind}>, starts binary, codes binary")
-    shards.write.parquet(out)
+    with small_batches(docs.sparkSession):
+        shards.write.option("compression", "none").parquet(out)
+
+
+def _bases(files: DataFrame) -> dict[int, int]:
+    """How many ids all parts before each one have; the driver sees one sum for each written part."""
+    base, total = {}, 0
+    for part, n in sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
+        base[part], total = total, total + n
+    return base
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in token files.
 
-    ``start`` counts the ids of all documents before it. The driver sees one sum for each written part.
+    ``start`` counts the ids of all documents before it. Repeated and null ids have a row for each document
+    written; files of an empty table give none.
     """
     files = spark.read.parquet(path)
-    sums = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    base, total = {}, 0
-    for part, n in sums:
-        base[part], total = total, total + n
+    base = _bases(files)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +258,44 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return files.select("part", "start", "doc_ids", "starts", "codes").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
+def read_ranges(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
+    """(range_id, ids) for the rows of ``ranges`` (range_id, start, stop): the ids at these places of token files.
+
+    Only the shards that a range touches are read, and of these only the ids asked for are decoded. What lies
+    beyond the files is cut off; ranges that are null, empty or wholly beyond have no row; rows of one range_id
+    are one range each only if their places differ.
+    """
+    files = spark.read.parquet(path)
+    base = spark.createDataFrame(list(_bases(files).items()), "part int, base long")
+    shards = files.select("part", "shard", "start", "n_ids").join(F.broadcast(base), "part").select("part", "shard", (F.col("base") + F.col("start")).alias("first"), "n_ids").where("n_ids > 0")
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / SHARD_IDS), F.floor(b / SHARD_IDS)))
+    held = shards.withColumn("bin", bins(F.col("first"), F.col("first") + F.col("n_ids") - 1))
+    asked = ranges.where("start is not null").select("range_id", F.greatest("start", F.lit(0)).alias("low"), F.col("stop").alias("high")).where("low < high")
+    last = F.lit(sum(r.n for r in shards.agg(F.sum("n_ids").alias("n")).collect() if r.n))
+    asked = asked.where(F.col("low") < last).withColumn("bin", bins(F.col("low"), F.least(F.col("high"), last) - 1))
+    met = asked.join(held, "bin").where("low < first + n_ids and first < high").select(
+        "part", "shard", F.struct("range_id", "low", "high").alias("range"), F.greatest(F.col("low") - F.col("first"), F.lit(0)).alias("from"), F.least(F.col("high") - F.col("first"), "n_ids").alias("to")).distinct()
+    counts = met.groupBy("part", "shard").agg(F.ceil(F.count(F.lit(1)) / 10_000).alias("deals"))
+    dealt = met.join(counts, ["part", "shard"]).groupBy("part", "shard", F.pmod(F.xxhash64("range"), F.col("deals"))).agg(F.collect_list(F.struct("range", "from", "to")).alias("asked"))
+    kind = ranges.schema["range_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
+        for b in pieces(batches, 1):
+            codes, asked = Codes(b.column(2)[0].as_py()), b.column(3)[0].as_py()
+            found = [codes.slice(x["from"], x["to"]).astype(np.int64) for x in asked]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x["range"]["range_id"] for x in asked], b.column(3).type.value_type.field("range").type.field("range_id").type), pa.array([x["range"]["low"] for x in asked], pa.int64()),
+                 pa.array([x["range"]["high"] for x in asked], pa.int64()), pa.array([(b.column(0)[0].as_py() << 32) + b.column(1)[0].as_py()] * len(asked), pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                ["range_id", "low", "high", "at", "ids"])
+
+    parts = files.select("part", "shard", "codes").join(dealt, ["part", "shard"]).select("part", "shard", "codes", "asked").mapInArrow(run, f"range_id {kind}, low long, high long, at long, ids array<long>")
+    whole = parts.groupBy("range_id", "low", "high").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x"))
+    return whole.select("range_id", F.flatten("x.ids").alias("ids"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document; see ``write_tokens`` for nulls, ties and repeats."""
     out = shared_dir(spark)
     write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
     return read_tokens(spark, out)

@@ -52,3 +52,14 @@ def test_odd_rows(spark, tmp_path):
     assert [g[2] for g in got][:2] == [None, 1] and sum(g[1] for g in got) == got[-1][0] + got[-1][1] == 8
     tf.write_tokens(df.limit(0), PATH, f"{tmp_path}/b")
     assert tf.read_tokens(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "SHARD_IDS", 5_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tf.write_tokens(docs, PATH, f"{tmp_path}/a")
+    ids = [i for r in docs.orderBy("doc_id").collect() for i in [*LIBRARY.encode(r.text, add_special_tokens=False).ids, 2]]
+    n = len(ids)
+    asked = [(0, 0, 1), (1, 17, 18), (2, 4_990, 12_345), (3, n - 1, n + 99), (4, -5, 3), (5, n, n + 1), (6, 8, 8), (7, 0, n), (8, None, 5), (9, n // 2, n // 2 + 1)]
+    got = {r.range_id: list(r.ids) for r in tf.read_ranges(spark, f"{tmp_path}/a", spark.createDataFrame(asked, "range_id long, start long, stop long")).collect()}
+    assert got == {i: ids[max(a, 0) : b] for i, a, b in asked if a is not None and ids[max(a, 0) : b]}
