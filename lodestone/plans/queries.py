@@ -13,8 +13,9 @@ from ..functions import identifiers as ident
 from ..functions import text as tx
 from ..functions.vectors import dot
 from ..operators import changes, chunking, embedding, render, search
-from ..sources import filters
-from ..sources.scratch import materialize
+from ..operators.store import Store
+from ..sources import files, filters
+from ..sources.scratch import materialize, shared_dir
 from ..streaming import maintenance
 
 
@@ -310,6 +311,49 @@ def delete_ids(spark, sf_dir):
     return changes.delete_keys(*_versions(spark, sf_dir))
 
 
+def store_changes(spark, sf_dir):
+    """What a stored collection holds after an insert, an upsert, one that leaves known ids, and a deletion."""
+    old, new = _versions(spark, sf_dir)
+    store = Store(spark, shared_dir(spark))
+    store.open("files", old.schema, model_name="none")
+    store.add("files", old)
+    store.add("files", new)
+    store.add("files", new.withColumn("state", F.lit("late")).unionByName(docs(spark, sf_dir).where("doc_id % 7 = 3").select(F.concat("file_path", F.lit("+")).alias("id"), F.lit(0).cast("long").alias("size"), F.lit("more").alias("state"))), update=False)
+    store.delete_ids("files", docs(spark, sf_dir).where("doc_id % 5 = 0").select(F.col("file_path").alias("id")))
+    return store.table("files").select("id", "size", "state")
+
+
+def decode_content(spark, sf_dir):
+    """Texts as bytes, in Latin-1 or with other line ends, decoded, and the hash of the bytes."""
+    d, odd = docs(spark, sf_dir), F.col("doc_id") % 2 == 1
+    latin = F.encode(F.regexp_replace("content", "[^\\x{00}-\\x{FF}]", "?"), "ISO-8859-1")
+    raw = d.select("doc_id", F.when(odd, latin).otherwise(F.encode(F.regexp_replace("content", "\n", "\r\n"), "UTF-8")).alias("content"))
+    return files.with_hash(raw).select("doc_id", F.md5(F.encode(files.decoded(F.col("content")), "UTF-8")).alias("text_md5"), F.when(~odd, F.col("content_hash")).alias("content_hash"))
+
+
+class LetterCounts:
+    """Stands for an embedding model: counts of four letters, and the length."""
+
+    dimension, query_prefix = 5, ""
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return [[*(float(t.count(c)) for c in "aens"), float(len(t))] for t in texts]
+
+
+def model_embed(spark, sf_dir):
+    e = embedding.embed(docs(spark, sf_dir), LetterCounts)
+    return e.select("doc_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+
+
+def _by_context(pairs: list[tuple[str, str]]) -> list[float]:
+    return [float((7 * len(q) + 13 * c.count("1") + len(c)) % 11) for q, c in pairs]
+
+
+def rerank_model(spark, sf_dir):
+    found = hits(spark, sf_dir, 15).join(vector_queries(spark, sf_dir).select("query_id", "query"), "query_id")
+    return search.rerank_with(found.drop("v"), lambda: _by_context, 5).select("query_id", "rank", "id", "similarity")
+
+
 def collection_stats(spark, sf_dir):
     c = chunks(spark, sf_dir).groupBy("file_path").agg(F.count(F.lit(1)).alias("chunk_count"), F.countDistinct("id").alias("ids"), F.max("end_line").alias("lines"), F.sum(F.length("content")).alias("n_chars"))
     d = docs(spark, sf_dir).select("file_path").join(c, "file_path", "left")
@@ -362,6 +406,14 @@ def client_expiry(spark, sf_dir):
     return maintenance.expired_clients(*_calls(spark, sf_dir), 3600)
 
 
+def active_windows(spark, sf_dir):
+    """Every user's runs of events with less than five hours between two, in microseconds."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "ts")
+    at = lambda c: F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(c))
+    w = maintenance.active_windows(e, gap="5 hours")
+    return w.select("client", at("start").alias("start"), at("end").alias("end"), "calls")
+
+
 def interval_overlap(spark, sf_dir):
     """Every chunk with how many of its file's stretches of 300 characters it overlaps, and the first of them."""
     c = chunks(spark, sf_dir).select("file_path", "chunk_index", F.col("start_char").alias("start"), F.col("end_char").alias("end"))
@@ -398,7 +450,7 @@ def indexed_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, boosted_search, boosted_uncut, chunk_lines,
-    chunk_syntax, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, change_summary, delete_by_file, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
+    chunk_syntax, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, change_summary, delete_by_file, store_changes, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
     format_results, hash_embed, debounce, client_expiry, interval_overlap, conversation_context, query_features, indexed_search)}
 
 _DISTANCE = "round(distance, 6) + 0.0 AS distance"
@@ -467,6 +519,20 @@ ORACLE_SQL = {
     "detect_changes": f"WITH {_STATES} SELECT file_path, status FROM changes",
     "change_summary": f"WITH {_STATES} SELECT status, count(*) AS files FROM changes GROUP BY status",
     "delete_by_file": f"WITH RECURSIVE {CHUNKS}, {_STATES.replace(DOCS + ',', '')} SELECT id, start_char, end_char FROM chunks WHERE file_path NOT IN (SELECT file_path FROM changes WHERE status IN ('deleted', 'modified'))",
+    "store_changes": f"""WITH {_OLD_NEW},
+      held AS (SELECT id, size, state FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, size, state FROM new),
+      more AS (SELECT * FROM held UNION ALL SELECT file_path || '+', 0, 'more' FROM docs WHERE doc_id % 7 = 3)
+      SELECT id, size, state FROM more WHERE id NOT IN (SELECT file_path FROM docs WHERE doc_id % 5 = 0)""",
+    "decode_content": f"""WITH {DOCS} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 1 THEN regexp_replace(content, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') ELSE content END) AS text_md5,
+      CASE WHEN doc_id % 2 = 0 THEN sha256(replace(content, chr(10), chr(13) || chr(10))) END AS content_hash FROM docs""",
+    "model_embed": f"""WITH {DOCS} SELECT doc_id, [{', '.join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE" for c in 'aens')}, length(content)::DOUBLE] AS embedding FROM docs""",
+    "rerank_model": f"""WITH {VECTORS}, top AS (SELECT *, 'File: ' || file_path || ' | Code: ' || content AS c FROM {_ranked(15)}),
+      again AS (SELECT query_id, id, rank AS old, ((7 * length(query) + 13 * (length(c) - length(replace(c, '1', ''))) + length(c)) % 11)::DOUBLE AS similarity FROM top)
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, old) AS rank, id, similarity FROM again QUALIFY rank <= 5""",
+    "active_windows": """WITH e AS (SELECT user_id AS client, epoch_us(ts) AS t FROM events),
+      marked AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 18000000000 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY client ORDER BY t)),
+      runs AS (SELECT *, sum(opens) OVER (PARTITION BY client ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+      SELECT client, min(t) AS start, max(t) + 18000000000 AS "end", count(*) AS calls FROM runs GROUP BY client, run""",
     "upsert": f"WITH {_OLD_NEW} SELECT id, size, state FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, size, state FROM new",
     "insert_ignore": f"WITH {_OLD_NEW} SELECT id, size, state FROM old UNION ALL SELECT id, size, state FROM new WHERE id NOT IN (SELECT id FROM old)",
     "delete_ids": f"WITH {_OLD_NEW} SELECT id, size, state FROM old WHERE id NOT IN (SELECT id FROM new)",
