@@ -112,7 +112,8 @@ class Store:
         version = state["version"] + 1
         folder = f"{self.root}/{name}/v={version}"
         names, part = [f["name"] for f in json.loads(state["schema"])["fields"]], state["part"]
-        rows.select(*names, self._bucket(state).alias(part)).write.mode("overwrite").partitionBy(part).parquet(folder)
+        # few small files a bucket, and large buckets in several tasks
+        rows.select(*names, self._bucket(state).alias(part)).hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(folder)
         fs, path = self._path(name, f"v={version}")
         made = {s.getPath().getName().split("=")[1] for s in fs.listStatus(path) if s.getPath().getName().startswith(f"{part}=")}
         kept = {b: v for b, v in state["buckets"].items() if b not in touched}
