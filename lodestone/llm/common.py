@@ -1,66 +1,31 @@
-"""Shared helpers: reading tables, a folder every machine sees, and materialised intermediate tables."""
+"""Shared helpers: reading tables, bounded batches, joins of hot keys, and what a Python worker remembers."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import itertools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it has more than one of so many parts of the rows: there are fewer hot keys than that.
+from ..functions.columns import unused
+from ..sources import scratch
+from ..sources.scratch import discard, freeing_shuffles, shared_dir
+
+__all__ = ["discard", "first_half", "freeing_shuffles", "give_up", "held", "hot_from", "materialize", "pieces", "read_table", "shared_dir", "small_batches", "spread_join", "unused"]
+
+#: A key is hot if it has more than one of so many parts of the rows, so there are no more hot keys than that.
 HOT_PARTS = 1_000
-_SCRATCH: set[str] = set()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder the cluster shares, in one folder for each application.
-
-    The base is ``spark.checkpoint.dir``; where that is unset, a cluster uses the warehouse folder and a
-    local session a temporary one. The application's folder is deleted when the driver's Python ends, as
-    results that were not read by then can still need it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.conf.get("spark.master", "local").split("[")[0] == "local"
-        base = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
-    sc = spark.sparkContext
-    own = f"{base.rstrip('/')}/lodestone/{sc.applicationId}"
-    if own not in _SCRATCH:
-        _SCRATCH.add(own)
-        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), own)
-    return f"{own}/{uuid.uuid4().hex}"
-
-
-def _remove(jvm, conf, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-@contextlib.contextmanager
-def freeing_shuffles(spark: SparkSession):
-    """Within it, an action's shuffle files go when the action ends; what is written stays."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 500):
     """Within it, Python workers get at most so many rows at once: less memory for long texts than Spark's bound
@@ -75,25 +40,10 @@ def small_batches(spark: SparkSession, rows: int = 500):
 
 
 def materialize(df: DataFrame, batch_rows: int = 500) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so that its lineage ends there.
-
-    A lost executor then costs only its running tasks, and a table used twice is computed once. Python workers
-    get ``batch_rows`` at once.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    with freeing_shuffles(spark), small_batches(spark, batch_rows):
-        df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote, once nothing will read them again."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        _remove(sc._jvm, sc._jsc.hadoopConfiguration(), df.scratch_path)
+    """Write ``df`` in the shared folder and read it back, so that its lineage ends there; Python workers get
+    ``batch_rows`` at once."""
+    with small_batches(df.sparkSession, batch_rows):
+        return scratch.materialize(df)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -104,18 +54,6 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with as many underscores behind it as it takes to clash with no column of ``df``."""
-    have = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in have:
-            name += "_"
-        have.add(name.lower())
-        out.append(name)
-    return out
-
-
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has one row a key, although a few keys may hold most of ``big``.
 
@@ -137,7 +75,7 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
 
 def hot_from(rows: int) -> int:
     """A key with more rows is hot, in a table of so many: at most ``HOT_PARTS`` keys are."""
-    return max(100, rows // HOT_PARTS)
+    return max(1_000, rows // HOT_PARTS)
 
 
 def first_half(known: dict, most: int) -> dict:

@@ -110,8 +110,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, train: Column, train_docs: int = TRAIN_DOCS, share: float = SHARE) -> BitmaskFilter:
     """Learn from the rows of ``docs`` (doc_id, text, lang) where ``train`` holds and neither is null.
 
-    About ``train_docs`` rows of each language are read for n-grams, chosen by a hash of the id. The driver
-    gets the n-grams of a share of at least ``share``, which are at most ``1 / share`` a language.
+    About ``train_docs`` rows of each language are read for n-grams, chosen by a hash of the id (all or none of
+    the rows without one). The driver gets the n-grams of a share of at least ``share``, which are at most ``1 / share`` a
+    language, and a few numbers for each value of lang. Repeated rows count each; an empty table teaches nothing.
     """
     spark = docs.sparkSession
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -175,6 +176,7 @@ def identify(docs: DataFrame, model: BitmaskFilter) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document; see ``fit`` and ``identify``."""
     docs = read_table(spark, sf_dir, "documents")
     model = fit(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id")))
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, spread_join
 
 #: (action, host, path prefix): a rule fits its host and all subdomains.
 RULES = (
@@ -22,12 +22,13 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Public suffixes of two labels; any other suffix is the last label.
+#: Public suffixes of two labels, where no others are given; any other suffix is the last label.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 
 Z = 1.645
 THRESHOLD = 0.5
-#: Host tables up to this many rows are broadcast (about 100 bytes a row); larger ones are shuffled.
+#: Host tables up to this many rows are broadcast (about 100 bytes a row); larger ones are shuffled, but for the
+#: hosts of many pages.
 BROADCAST_HOSTS = 100_000
 
 
@@ -42,14 +43,19 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def bare_host(host: Column) -> Column:
+    """A host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_of(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> Column:
+    two = F.substring_index(bare_host(host), ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(two, ".", -1))
+
+
+def domain_of(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> Column:
+    two = F.substring_index(bare_host(host), ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(bare_host(host), ".", -3)).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -77,17 +83,17 @@ def _mean() -> Column:
     return (F.col("bad") + F.col("strength") * F.col("mu")) / (F.col("n") + F.col("strength"))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, n, bad, mean, bound) from ``outcomes`` (host, n, bad), one row per host.
 
     ``bound`` is the posterior mean of the bad rate less ``z`` posterior standard deviations. A host
     without labels gets its domain's rate. No labels at all: the root rate is one half.
     """
-    hosts = outcomes.select("host", "n", "bad").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = outcomes.select("host", "n", "bad").withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("suffix").alias("suffix"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    root = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mu"))
-    s = _shrunk(suffixes.crossJoin(F.broadcast(root))).select("suffix", _mean().alias("mu"))
+    tails = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    root = tails.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mu"))
+    s = _shrunk(tails.crossJoin(F.broadcast(root))).select("suffix", _mean().alias("mu"))
     d = _shrunk(domains.join(s, "suffix")).select("domain", _mean().alias("mu"))
     h = _shrunk(hosts.join(d, "domain"))
     a = F.col("bad") + F.col("strength") * F.col("mu")
@@ -96,7 +102,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     return h.select("host", "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z, suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url).
 
     ``labels`` (doc_id, quality, toxic) hold page outcomes by page id; a label row is bad when toxic is 1
@@ -104,22 +110,21 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, threshold: flo
     either table are ignored. A null url, or one without ``://``, has an empty host and path and is judged
     by the reputation of the empty host. Repeated page ids give one row each; empty tables are allowed.
     """
-    spark = pages.sparkSession
     p = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     bad = (F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).cast("long")
     marks = (labels.where(F.col("toxic").isNotNull() | F.col("quality").isNotNull())
              .groupBy(F.col("doc_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("bad")))
     outcomes = (p.join(marks, "page_id", "left").groupBy("host")
                 .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
-    blocked = materialize(host_reputation(materialize(outcomes), z).select("host", (F.col("bound") > threshold).alias("blocked")))
-    if blocked.count() <= BROADCAST_HOSTS:
-        blocked = F.broadcast(blocked)
+    blocked = materialize(host_reputation(materialize(outcomes), z, suffixes).select("host", (F.col("bound") > threshold).alias("blocked")))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("blocked"), "block").otherwise("allow"))
-    return p.join(blocked, "host", "left").select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    judged = p.join(F.broadcast(blocked), "host", "left") if blocked.count() <= BROADCAST_HOSTS else spread_join(p, blocked, ["host"], "left")
+    return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page; see ``filter_urls``."""
     return filter_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
@@ -149,7 +154,7 @@ marks AS (
 counts AS (
   SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
   FROM p LEFT JOIN marks ON p.page_id = marks.doc_id GROUP BY host),
-tails AS (SELECT *, string_split(host, '.') AS parts FROM counts),
+tails AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts FROM counts),
 hosts AS (
   SELECT host, n, bad,
     CASE WHEN array_to_string(parts[-2:], '.') IN ({_SUFFIX_LIST}) THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,

@@ -2,6 +2,7 @@ import math
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from lodestone.llm import url_filter as uf
 
@@ -56,3 +57,19 @@ def test_shrinkage(spark):
     got = {r.host: r for r in uf.host_reputation(outcomes).collect()}
     assert got["a.one.com"].mean < 0.6 < got["x.two.com"].mean and got["y.two.com"].mean > got["b.one.com"].mean
     assert all(math.isfinite(r.bound) and r.bound < r.mean for r in got.values())
+
+
+def test_ports_and_user_names(spark):
+    hosts = ["www.example.co.uk:8080", "me:pw@shop.example.com", "example.com:", "localhost", "", "a.b.c.site.github.io"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", uf.domain_of(F.col("h")).alias("d"), uf.suffix_of(F.col("h")).alias("s"), uf.domain_of(F.col("h"), ("github.io",)).alias("g")).collect()
+    got = {r.h: (r.d, r.s, r.g) for r in rows}
+    assert got["www.example.co.uk:8080"] == ("example.co.uk", "co.uk", "co.uk") and got["me:pw@shop.example.com"] == ("example.com", "com", "example.com")
+    assert got["example.com:"][0] == "example.com" and got["localhost"][:2] == ("localhost", "localhost") and got[""][:2] == ("", "") and got["a.b.c.site.github.io"][2] == "site.github.io"
+
+
+def test_many_hosts_are_shuffled(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://{'hot' if i % 3 else f'h{i}'}.example.com/") for i in range(1_000)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 3 else 1, 0) for i in range(1_000)], "doc_id long, quality int, toxic int")
+    true = sorted(map(tuple, uf.filter_urls(pages, labels).collect()), key=repr)
+    monkeypatch.setattr(uf, "BROADCAST_HOSTS", 0)
+    assert sorted(map(tuple, uf.filter_urls(pages, labels).collect()), key=repr) == true and {r[4] for r in true} == {"allow", "block"}
