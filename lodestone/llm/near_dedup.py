@@ -2,13 +2,14 @@
 
 Each text's three-word runs, labelled with how often they occurred before in it, are hashed once for every
 sketch; the two smallest are kept in the order in which they stand in the text. Short texts have sketches of
-single words besides, as few of their runs outlive an edit. Texts with a sketch in common are compared by a word-level edit distance in a band, and linked if it is at most a fifth of the longer text.
-Groups are the connected components of the links.
+single words besides, as few of their runs outlive an edit, and the shortest one of all their words. Texts
+with a sketch in common are compared by a word-level edit distance in a band, and linked if it is at most a
+fifth of the longer text. Groups are the connected components of the links.
 
 Identical texts are one text from the start. A bucket of texts with one sketch is not paired off: the few of
 a small bucket are, a larger one sends each text to its smallest. Then blocks of its texts meet: pairs that
-are not in one component yet and that neither their lengths nor their words' counts keep apart are compared,
-the likeliest first.
+are not in one component yet and that neither their lengths nor what words and runs they share keep apart are
+compared, the likeliest first.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, give_up, materialize, read_table, small_batches
+from .common import discard, give_up, hot_from, materialize, pieces, read_table, spread_join, unused
 from .words import Words, mix, word_blocks
 
-#: Words of the runs that alignments are tried through, and the fewest of a text that has sketches.
+#: Words of the runs that alignments are tried through. Texts with fewer have one sketch of all their words, as
+#: none of them can differ.
 GRAM = 5
 SIMILARITY = 0.8
 #: Words of the runs that are sketched: short ones, so that texts with every fifth word substituted still share many.
@@ -37,8 +39,9 @@ SHORT, SHORT_SKETCHES = 25, 12
 SMALL = 8
 #: Texts of a larger bucket meet in blocks of about so many.
 BLOCK = 2048
-#: Counts of a text's words by hash, so many of a byte each.
-BINS = 256
+#: Counts of a text's words by hash, so many of a byte each; bits of its runs by hash, at least so many a word.
+BINS = 1024
+BITS_A_WORD = 4
 #: A text of a large bucket is first compared with this many that it has most words in common with; all others
 #: follow, but for those that are in one component by then.
 LIKELIEST = 8
@@ -88,19 +91,31 @@ def order_minhash(words: Words, sketches: int = SKETCHES, run: int = RUN, longes
     return owner[first], out
 
 
-def all_sketches(words: Words, sketches: int = SKETCHES) -> tuple[np.ndarray, pa.ListArray]:
-    """Numbers of the texts with at least five words, and the list of each one's sketches, those of single words
-    of the short ones included."""
+def whole_hash(words: Words, texts: np.ndarray) -> np.ndarray:
+    """One hash of all words of each of the ``texts`` (numbers), which have fewer than five."""
+    one = words.hashes()
+    h = words.count[texts].astype(np.uint64)
+    for k in range(GRAM - 1):
+        some = words.count[texts] > k
+        h[some] = mix(h[some] * np.uint64(0xD6E8FEB86659FD93) + one[words.first[texts[some]] + k])
+    return h.view(np.int64)
+
+
+def all_sketches(words: Words, sketches: int = SKETCHES) -> pa.ListArray:
+    """The list of each text's sketches, those of single words of the short ones included."""
     who, found = order_minhash(words, sketches)
     short, more = order_minhash(words, SHORT_SKETCHES, 1, SHORT)
-    at = np.searchsorted(who, short)
-    size = np.full(len(who), sketches)
-    size[at] += SHORT_SKETCHES
+    tiny = np.flatnonzero(words.count < GRAM)
+    size = np.zeros(len(words.count), np.int64)
+    size[who] = sketches
+    size[short] += SHORT_SKETCHES
+    size[tiny] = 1
     first = np.append(0, np.cumsum(size))
     flat = np.empty(first[-1], np.int64)
-    flat[first[:-1, None] + np.arange(sketches)] = found
-    flat[first[at][:, None] + sketches + np.arange(SHORT_SKETCHES)] = more
-    return who, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
+    flat[first[who][:, None] + np.arange(sketches)] = found
+    flat[first[short][:, None] + sketches + np.arange(SHORT_SKETCHES)] = more
+    flat[first[tiny]] = whole_hash(words, tiny)
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
 
 
 def anchored_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -246,11 +261,9 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``pairs`` (a, b) with ``linked``, from ``texts`` (id, text)."""
-    small_batches(pairs.sparkSession, 1_500)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
-        for batch in batches:
+        for batch in pieces(batches, 1_500):
             number: dict[str, int] = {}
             coded: dict[str, np.ndarray] = {}
 
@@ -277,13 +290,13 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         last = edges
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = materialize(large)
+        # Each end moves on to the least neighbour of its lower one, ...
+        low = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = materialize(spread_join(edges, low, ["v"], "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # ... and all lower neighbours of a node to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.u", "e.v").where("u != v").distinct())
+        small = spread_join(large, low, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         discard(last, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == mark:
@@ -292,6 +305,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
+def known_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``links`` with those that give the same components as ``labels`` did."""
+    return links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b")))
+
+
 def _text_keys(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
@@ -301,7 +319,7 @@ def _with_centres(members: DataFrame) -> DataFrame:
     """``members`` (id, n_words, bucket) of buckets of two and more, with the bucket's size ``n`` and smallest id."""
     members = materialize(members)
     sizes = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).where("n > 1"))
-    out = materialize(members.join(sizes, "bucket"))
+    out = materialize(members.join(sizes, "bucket"))  # a hot bucket has one row there, so Spark can split its members
     discard(members, sizes)
     return out
 
@@ -319,16 +337,67 @@ def _pairs(members: DataFrame) -> DataFrame:
 def word_bags(words: Words) -> np.ndarray:
     """Counts of each text's words by hash, up to 255 (one row a text)."""
     n = len(words.count)
-    at = words.owner() * BINS + (words.hashes() >> np.uint64(56)).astype(np.int64)
+    at = words.owner() * BINS + (words.hashes() >> np.uint64(32)).astype(np.int64) % BINS
     return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
 
 
-def possible_pairs(n_words: np.ndarray, label: np.ndarray, block: np.ndarray, bags: np.ndarray, similarity: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with different labels and, if there are several blocks, of different ones, whose word counts
-    allow a link; with ``most``, of each row only so many, the closest ones."""
+def run_bits(words: Words) -> pa.BinaryArray:
+    """Which hashes a text's three-word runs have: a power of two of bits, at least ``BITS_A_WORD`` a word."""
+    size = 64 << np.ceil(np.log2(np.maximum(BITS_A_WORD * words.count, 64) / 64)).astype(np.int64)
+    first = np.append(0, np.cumsum(size))
+    owner, room = words.owner(), words.room(RUN)
+    gram, owner = words.runs(words.hashes(), RUN)[room], owner[room]
+    bits = np.zeros(first[-1], bool)
+    bits[first[owner] + (gram & (size[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((first // 8).astype(np.int32)), pa.py_buffer(np.packbits(bits, bitorder="little"))])
+
+
+class _Runs:
+    """Upper bounds on how many runs texts share, from their ``run_bits``; texts ascend by length."""
+
+    def __init__(self, bits: list[bytes], n_words: np.ndarray):
+        self.size = np.array([len(b) // 8 for b in bits])
+        self.start = np.searchsorted(self.size, np.unique(self.size))
+        self.own: dict[int, tuple[int, np.ndarray]] = {}
+        self.half: dict[int, tuple[int, np.ndarray]] = {}
+        self.lost, self.half_lost = np.zeros(len(bits), np.int64), np.zeros(len(bits), np.int64)
+        runs = np.maximum(n_words - RUN + 1, 0)
+        for s, e in zip(self.start.tolist(), [*self.start[1:].tolist(), len(bits)], strict=True):
+            x = np.frombuffer(b"".join(bits[s:e]), np.uint64).reshape(e - s, -1)
+            self.own[self.size[s]] = (s, x)
+            self.lost[s:e] = runs[s:e] - np.bitwise_count(x).sum(1, dtype=np.int64)
+            if x.shape[1] > 1:  # the same text with half as many bits
+                y = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+                self.half[self.size[s]] = (s, y)
+                self.half_lost[s:e] = runs[s:e] - np.bitwise_count(y).sum(1, dtype=np.int64)
+
+    def shared(self, i: int, j: np.ndarray) -> np.ndarray:
+        """No fewer than the runs that ``i`` has in common with each of ``j``, which are as long or up to twice."""
+        out = np.empty(len(j), np.int64)
+        first, own = self.own[self.size[i]]
+        mine = own[i - first]
+        step = max(1, (1 << 20) // len(mine))
+        for size in np.unique(self.size[j]).tolist():
+            there = np.flatnonzero(self.size[j] == size)
+            first, x = (self.own if size == self.size[i] else self.half)[size]
+            lost = (self.lost if size == self.size[i] else self.half_lost)[j[there]]
+            for k in range(0, len(there), step):
+                some = there[k : k + step]
+                out[some] = np.bitwise_count(x[j[some] - first] & mine).sum(1, dtype=np.int64)
+            out[there] += np.minimum(lost, self.lost[i])  # runs that fell on one bit
+        return out
+
+
+def possible_pairs(n_words: np.ndarray, label: np.ndarray, block: np.ndarray, earlier: np.ndarray, bags: np.ndarray, bits: list[bytes], similarity: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with different labels and, if there are several blocks, of different ones, that can be linked:
+    an edit changes one word and three runs, so enough of both must be common. Pairs that have one of the
+    ``earlier`` sketches (a row for each text) in common are left to its bucket. With ``most``, of each row only so
+    many, the closest ones."""
     order = np.argsort(n_words, kind="stable")
-    n, label, block, bags = n_words[order], label[order], block[order], bags[order].astype(np.int16)
+    n, label, block, earlier, bags = n_words[order], label[order], block[order], earlier[order], bags[order].astype(np.int16)
+    runs = _Runs([bits[k] for k in order.tolist()], n)
     limit = ((1 - similarity) * n + 1e-9).astype(np.int64)
+    needed = n - RUN + 1 - RUN * limit
     total = bags.sum(1, dtype=np.int64)
     stop = np.searchsorted(n - limit, n, "right")  # no edit distance is below the difference of the lengths
     across = len(n) > 0 and bool((block != block[0]).any())
@@ -338,8 +407,10 @@ def possible_pairs(n_words: np.ndarray, label: np.ndarray, block: np.ndarray, ba
         if across:
             some &= block[i + 1 : stop[i]] != block[i]
         j = i + 1 + np.flatnonzero(some)
+        j = j[~(earlier[j] == earlier[i]).any(1)]
         if not len(j):
             continue
+        j = j[runs.shared(i, j) >= needed[j]]
         more = np.maximum(bags[j] - bags[i], 0).sum(1, dtype=np.int64)
         least = np.maximum(more, more - total[j] + total[i])
         ok = least <= limit[j]
@@ -353,27 +424,48 @@ def possible_pairs(n_words: np.ndarray, label: np.ndarray, block: np.ndarray, ba
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def _meeting(large: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float, most: int | None) -> DataFrame:
+def _outlines(texts: DataFrame) -> DataFrame:
+    """(id, bag, bits) of ``texts`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
+        for b in pieces(batches):
+            for start, stop, w in word_blocks(b.column(1)):
+                bags = pa.array([x.tobytes() for x in word_bags(w)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), bags, run_bits(w)], ["id", "bag", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, bag binary, bits binary")
+
+
+def _meeting(large: DataFrame, labels: DataFrame, outlines: DataFrame, similarity: float, most: int | None) -> DataFrame:
     """Pairs (a, b) of each bucket of ``large`` that can be linked and have different ``labels``, see
-    ``possible_pairs``. A bucket's blocks meet each with each, so no task has more than two of them."""
+    ``possible_pairs``. A bucket's blocks meet each with each, so no task has more than two of them; a pair is met in
+    the bucket of its first sketch in common alone (if that one is small, it was compared there)."""
     at = materialize(large.join(labels, "id", "left").select("id", "n_words", "bucket", "n", F.coalesce("label", "id").alias("label")))
-    mixed = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    mixed = materialize(at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("size")).where("low != high").select("bucket", "size"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    at = materialize(at.join(mixed, "bucket").join(bags, "id").select("id", "n_words", "bucket", "label", "bag", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
+    parted = spread_join(at, mixed, ["bucket"], hot=mixed.where(F.col("size") > hot_from(at.count())))
+    met = materialize(parted.join(outlines, "id").select("id", "n_words", "bucket", "label", "sketches", "bag", "bits", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
+    discard(at, mixed)
     # Buckets of one block share groups: a group has its price.
-    groups = max(1, at.count() // (4 * BLOCK))
-    met = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = max(1, met.count() // (4 * BLOCK))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    met = met.select("id", "n_words", "label", "block", "bag", cell.alias("cell"), F.when(F.col("blocks") == 1, F.pmod("bucket", F.lit(groups))).otherwise(cell).alias("part"))
+    met = met.select("id", "n_words", "label", "block", "bucket", "sketches", "bag", "bits", cell.alias("cell"), F.when(F.col("blocks") == 1, F.pmod("bucket", F.lit(groups))).otherwise(cell).alias("part"))
 
     def meet(rows: pa.Table) -> pa.Table:
         give_up()
-        ids, n, label, block, cells = (rows[c].to_numpy() for c in ("id", "n_words", "label", "block", "cell"))
-        bag = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
+        ids, n, label, block, bucket, cells = (rows[c].to_numpy() for c in ("id", "n_words", "label", "block", "bucket", "cell"))
+        lists = rows["sketches"].combine_chunks()
+        size = lists.value_lengths().to_numpy()
+        sketches = np.zeros((len(size), size.max()), np.int64)
+        sketches[np.arange(size.max()) < size[:, None]] = lists.flatten().to_numpy()
+        bag, bits = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(-1, BINS), rows["bits"].to_pylist()
         order = np.argsort(cells, kind="stable")
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
-            i, j = possible_pairs(n[k], label[k], block[k], bag[k], similarity, most)
+            place = int((sketches[k[0]] == bucket[k[0]]).argmax())  # a sketch's hash has its place in it
+            i, j = possible_pairs(n[k], label[k], block[k], sketches[k, :place], bag[k], [bits[x] for x in k.tolist()], similarity, most)
             a.append(ids[k[i]])
             b.append(ids[k[j]])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -384,70 +476,88 @@ def _meeting(large: DataFrame, labels: DataFrame, bags: DataFrame, similarity: f
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
-    """(doc_id, class_id) for every row of ``docs`` (doc_id, text).
+    """(doc_id, class_id) for every row of ``docs`` (doc_id, text), see ``_grouped``. Other columns are ignored."""
+    return _grouped(docs, similarity, sketches).select("doc_id", "class_id")
+
+
+def _grouped(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+    """(t1, t2, doc_id, class_id, first_id, class_first) for every row of ``docs`` (doc_id, text).
 
     ``class_id`` is the smallest id of the row's group. Two texts are linked if their word edit distance is at
     most ``1 - similarity`` of the longer one's words; words stand between white space (space, tab to
-    carriage return). Identical texts are in one group whatever their length, empty and null texts
-    among them; a text of fewer than five words has no other links. A row without an id belongs to the group
-    of its text, and to none (null) if no row with that text has an id. Other columns are ignored.
+    carriage return). Identical texts are in one group, and so are all without words, empty and null ones
+    among them; texts of one to four words are linked if they have the same words. A row without an id belongs
+    to the group of its text, and to none (null) if no row with that text has an id. Ids must be whole numbers,
+    or strings of them. ``first_id`` is the smallest id with the row's very text, and ``class_first`` says
+    whether this text is the one of its group that stands for it: of those with the id ``class_id``, the first by hash.
     """
-    spark = docs.sparkSession
     keyed = _text_keys(docs)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
-        for b in batches:
-            for start, _, w in word_blocks(b.column(1)):
-                who, lists = all_sketches(w, sketches)
-                bags = pa.array([x.tobytes() for x in word_bags(w)[who]], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who + start)), lists, pa.array(w.count[who]), bags], ["id", "sketches", "n_words", "bag"])
-
-    small_batches(spark)
-    rows = materialize(keyed.select("doc_id", "t1", "t2"))
-    first = materialize(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id")))
-    # From here on a text is known by its first hash.
-    sketched = materialize(keyed.where("doc_id is not null").select("t1", "text").mapInArrow(sketch, "id long, sketches array<long>, n_words long, bag binary")
-                           .groupBy("id").agg(F.min("sketches").alias("sketches"), F.min("n_words").alias("n_words"), F.min("bag").alias("bag")))
+        for b in pieces(batches):
+            for start, stop, w in word_blocks(b.column(0)):
+                own = b.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), all_sketches(w, sketches), pa.array(w.count)], ["t1", "t2", "doc_id", "sketches", "n_words"])
+
+    rows = materialize(keyed.select("t1", "t2", "doc_id"))
+    # A text is known by a number of its own from here on.
+    found = (keyed.where("doc_id is not null").select("text", "t1", "t2", "doc_id")
+             .mapInArrow(sketch, "t1 long, t2 long, doc_id long, sketches array<long>, n_words long")
+             .groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.min("sketches").alias("sketches"), F.min("n_words").alias("n_words")))
+    sketched = materialize(found.withColumn("id", F.monotonically_increasing_id()))
     members = _with_centres(sketched.select("id", "n_words", F.explode("sketches").alias("bucket")))
     pairs = materialize(_pairs(members))
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = first.where("first_id is not null").join(involved, F.col("t1") == F.col("id")).select("id", "first_id")
-    texts = materialize(keyed.join(ids, (F.col("t1") == F.col("id")) & (F.col("doc_id") == F.col("first_id"))).select("id", "text").dropDuplicates(["id"]))
-    judged = materialize(_linked(pairs, texts, similarity))
+    ids = sketched.select("id", "t1", "t2", "first_id").join(involved, "id")
+    texts = materialize(keyed.join(ids, ["t1", "t2"]).where("doc_id = first_id").select("id", "text").dropDuplicates(["id"]))
+    judged = materialize(_linked(pairs, texts, similarity), 1_500)
+    scratch, parts = [members, pairs, texts, judged], [judged]
     links, large = judged.where("linked").select("a", "b"), members.where(F.col("n") > SMALL)
+    outlines = materialize(_outlines(texts.join(large.select("id").distinct(), "id", "left_semi")).join(sketched.select("id", "sketches"), "id"))
+    known = None
     for most in (LIKELIEST, None):
         if large.isEmpty():
             break
-        found = _meeting(large, materialize(components(links)), sketched.select("id", "bag"), similarity, most)
-        pairs = materialize(found.join(judged.select("a", "b"), ["a", "b"], "left_anti"))
-        more = materialize(_linked(pairs, texts, similarity))
-        links = links.unionByName(more.where("linked").select("a", "b"))
-        judged = judged.unionByName(more)
-    labels = materialize(components(links))
-    discard(sketched, members, texts)
-    classes = first.join(labels, F.col("t1") == F.col("id"), "left").select("t1", "t2", "first_id", F.coalesce("label", "t1").alias("label"))
-    lowest = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    classes = classes.join(lowest, "label").select("t1", "t2", F.when(F.col("first_id").isNotNull(), F.col("class_id")).alias("class_id"))
-    return rows.join(classes, ["t1", "t2"]).select("doc_id", "class_id")
+        known = materialize(components(known_links(known, links)))
+        met = _meeting(large, known, outlines, similarity, most)
+        pairs = materialize(met.join(parts[0].select("a", "b"), ["a", "b"], "left_anti"))
+        more = materialize(_linked(pairs, texts, similarity), 1_500)
+        links = more.where("linked").select("a", "b")
+        parts[0] = parts[0].unionByName(more)
+        scratch += [known, pairs, more]
+    labels = materialize(components(known_links(known, links)))
+    own = sketched.select("t1", "t2", "first_id", "id")
+    classes = materialize(own.join(labels, "id", "left").select("t1", "t2", "first_id", F.coalesce("label", "id").alias("label")))
+    lowest = classes.groupBy("label").agg(F.min(F.struct("first_id", "t1", "t2")).alias("low"))
+    classes = materialize(spread_join(classes, lowest, ["label"]).select("t1", "t2", "first_id", F.col("low.first_id").alias("class_id"), ((F.col("low.t1") == F.col("t1")) & (F.col("low.t2") == F.col("t2"))).alias("class_first")))
+    discard(sketched, labels, outlines, *scratch)
+    return spread_join(rows, classes, ["t1", "t2"], "left")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate group, one row each, all columns.
+    """One row of ``docs`` for each near-duplicate group, with all columns: that of the group's smallest id.
 
-    Rows in no group, those whose text no row with an id has, stay.
+    Of several rows with this id and text any one stays; where this id has different texts of one group, the
+    first by hash. Rows in no group, those whose text no row with an id has, stay, all of them.
     """
-    found = materialize(near_groups(docs))
-    keep = materialize(found.where("doc_id = class_id").select(F.col("doc_id").alias("keep_id_")).distinct())
-    kept = docs.join(keep, F.col("doc_id") == F.col("keep_id_"), "left_semi")
-    if found.where("doc_id = class_id").count() > keep.count():
-        kept = kept.dropDuplicates(["doc_id"])
-    if found.where("class_id is null").isEmpty():
-        return kept
-    named = docs.where("doc_id is not null").select(F.coalesce("text", F.lit("")).alias("named_")).distinct()
-    return kept.unionByName(docs.where("doc_id is null").join(named, F.coalesce("text", F.lit("")) == F.col("named_"), "left_anti"))
+    c = unused(docs, "id", "t1", "t2")
+    found = materialize(_grouped(docs))
+    first = found.where("class_first and doc_id = class_id").select(F.col("doc_id").alias(c[0]), F.col("t1").alias(c[1]), F.col("t2").alias(c[2]))
+    keep = materialize(first.distinct())
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumns({c[0]: F.col("doc_id").cast("long"), c[1]: F.xxhash64(text), c[2]: F.xxhash64(F.lit("second"), text)})
+    kept = keyed.join(keep, c, "left_semi")
+    if first.count() > keep.count():
+        kept = kept.dropDuplicates(c)
+    nowhere = found.where("class_id is null")
+    if not nowhere.isEmpty():
+        alone = nowhere.select(F.col("t1").alias(c[1]), F.col("t2").alias(c[2])).distinct()
+        kept = kept.unionByName(keyed.where(F.col(c[0]).isNull()).join(alone, c[1:], "left_semi").select(kept.columns))
+    return kept.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, kept) of every document; see ``near_groups`` for nulls, short and repeated texts."""
     found = near_groups(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))

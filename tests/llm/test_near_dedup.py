@@ -120,19 +120,22 @@ def test_copies_of_one_original_that_are_not_copies_of_one_another(spark):
     assert {r.class_id for r in nd.near_groups(df).collect()} == {1}
 
 
-def test_possible_pairs_lose_no_link(monkeypatch):
+def test_possible_pairs_lose_no_link():
     rng = random.Random(3)
     texts = []
     for _ in range(30):
-        base = [str(rng.randrange(40)) for _ in range(rng.randrange(10, 50))]
+        base = [str(rng.randrange(rng.choice((2, 40, 5_000)))) for _ in range(rng.choice((rng.randrange(10, 50), rng.randrange(100, 300))))]
         texts += [base, [w if rng.random() > 0.15 else "z" for w in base], base[rng.randrange(9) :]]
     words = Words(np.frombuffer(b"".join(" ".join(t).encode() for t in texts), np.uint8), np.cumsum([0] + [len(" ".join(t)) for t in texts]))
     n, label, bags = words.count, np.arange(len(texts)) // 2, nd.word_bags(words)
     near = {(i, j) for i in range(len(texts)) for j in range(i) if distance(texts[i], texts[j]) <= int(0.2 * max(len(texts[i]), len(texts[j])) + 1e-9)}
     for block in (np.zeros(len(n), int), np.arange(len(n)) % 2):
-        found = {(max(p), min(p)) for p in zip(*(x.tolist() for x in nd.possible_pairs(n, label, block, bags, 0.8, None)), strict=True)}
+        found = {(max(p), min(p)) for p in zip(*(x.tolist() for x in nd.possible_pairs(n, label, block, np.empty((len(n), 0), np.int64), bags, nd.run_bits(words).to_pylist(), 0.8, None)), strict=True)}
         true = {(i, j) for i, j in near if label[i] != label[j] and (not block.any() or block[i] != block[j])}
         assert len(true) > 10 and true <= found and len(found) < len(n) * (len(n) - 1) / 4
+        met = (np.arange(len(n)) // 3)[:, None]  # those of one third have a sketch in common already
+        later = {(max(p), min(p)) for p in zip(*(x.tolist() for x in nd.possible_pairs(n, label, block, met, bags, nd.run_bits(words).to_pylist(), 0.8, None)), strict=True)}
+        assert later == {(i, j) for i, j in found if i // 3 != j // 3}
 
 
 def test_few_pairs_at_the_threshold_are_lost(spark):
@@ -151,3 +154,41 @@ def test_few_pairs_at_the_threshold_are_lost(spark):
     lost = [n for i, n in enumerate(sizes) if got[2 * i + 1] != 2 * i]
     print("lost", Counter(lost), "of", Counter(sizes))
     assert len(lost) <= 0.02 * len(sizes) and max(Counter(lost).values(), default=0) <= 4
+
+
+def test_links_of_texts_with_one_passage_in_common(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(78)]
+    rows = []
+    for i in range(300):
+        rows.append(passage + [f"u{rng.randrange(1 << 40)}" for _ in range(rng.randrange(80, 130))])
+    for i in range(60):
+        w = list(rows[5 * i])
+        for k in rng.sample(range(len(w)), int(0.19 * len(w))):
+            w[k] = f"e{rng.randrange(1 << 40)}"
+        rows.append(w)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_groups(df).collect()}
+    lost = [i for i in range(60) if got[300 + i] != 5 * i]
+    assert len(lost) <= 3  # those whose sketches all differ: the sketches' own loss at this distance
+    assert all(c == i or i >= 300 and c == 5 * (i - 300) for i, c in got.items())
+
+
+def test_short_texts_with_other_spaces(spark):
+    rows = [(1, "a b c d"), (2, "a  b c d"), (3, "a b c"), (4, " a b\tc\n"), (5, ""), (6, " \n"), (7, None), (8, "a b d c"), (9, "ab c"), (10, "x"), (11, "x ")]
+    got = {r.doc_id: r.class_id for r in nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 5, 8: 8, 9: 9, 10: 10, 11: 10}
+
+
+def test_hot_keys_are_joined_apart(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, base) for i in range(3_000)] + [(3_000 + i, f"{base} e{i}") for i in range(1_200)] + [(5_000 + i, f"text of its own number n{i} with m{i} k{i}") for i in range(50)]
+    got = {r.doc_id: r.class_id for r in nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(c == (0 if i < 5_000 else i) for i, c in got.items())
+
+
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, a + " z"), (3, b), (4, "own text")]
+    kept = nd.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (4, "own text")])
