@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from ..functions.columns import unused
 from . import changes
 
-BUCKETS = 64
+#: Where no other number is given; large collections take more.
+BUCKETS = 32
 STATE = "state-"
 
 
@@ -47,10 +48,17 @@ class Store:
             return []
         return sorted((n for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith(STATE) and n.endswith(".json")), reverse=True)
 
+    def _load(self, name: str, file: str) -> dict:
+        fs, path = self._path(name, file)
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
     def _read(self, name: str) -> dict | None:
-        for file in self._states(name)[:1]:
-            return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/{name}/{file}").collect()))
-        return None
+        known = self._states(name)
+        return self._load(name, known[0]) if known else None
 
     def _point(self, name: str, state: dict) -> None:
         file = f"{STATE}{state['version']:012d}"
@@ -67,8 +75,7 @@ class Store:
             fs.delete(self._path(name, f)[1], False)
 
     def _versions(self, name: str, file: str) -> set[int]:
-        state = json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/{name}/{file}").collect()))
-        return set(state["buckets"].values())
+        return set(self._load(name, file)["buckets"].values())
 
     # -- collections ---------------------------------------------------------------------------------------
     def open(self, name: str, schema, dimension: int | None = None, model_name: str | None = None, key: str = "id", buckets: int = BUCKETS) -> dict:
