@@ -70,9 +70,8 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def text(self, i: int, keep: np.ndarray) -> bytes:
-        """Kept words of text ``i``, joined by one space."""
+        """The words of text ``i`` that ``keep`` has, joined by one space."""
         words = self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().split()  # at the same bytes
-        keep = keep[self.first[i] : self.first[i + 1]]
         return b" ".join(words if keep.all() else itertools.compress(words, keep.tolist()))
 
 

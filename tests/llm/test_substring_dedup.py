@@ -97,3 +97,43 @@ def test_equals_sql(spark):
     cur = con.execute(sd.ORACLE)
     assert [c[0] for c in cur.description] == ["doc_id", "n_words", "n_removed", "kept_sha256"]
     assert sorted(map(tuple, cur.fetchall()), key=repr) == sorted((tuple(r) for r in sd.op5_substring_dedup(spark, "/root/testdata/sf0.01").collect()), key=repr)
+
+
+def thue_morse(n, a="a", b="b"):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_words_whose_polynomials_agree_are_different(spark):
+    one = thue_morse(2_048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([other, *rest])), (3, " ".join([*rest, one])), (4, " ".join(["x", *rest, one]))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert [r[2] for r in brute(rows)] == [0, 0, 0, 13]
+
+
+def test_a_batch_reads_what_it_shares(spark, tmp_path, monkeypatch):
+    read = []
+    own = sd._history_rows
+
+    def counted(*tables):
+        rows = own(*tables)
+        read.append(sorted(r.doc_id for r in rows.select("doc_id").collect()))
+        return rows
+
+    monkeypatch.setattr(sd, "_history_rows", counted)
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(40))
+    old = [(i, text(i)) for i in range(60)] + [(60, text(7)), (61, None), (62, text(8) + " and more")]
+    new = [(100, "x " + text(3)), (101, text(3)), (102, text(1_000)), (103, None), (104, text(5)[:-4] + " y " + text(9))]
+    later = [(200, "z " + text(1_000)), (201, text(2_000)), (202, text(9) + " q")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    folder = str(tmp_path / "index")
+    sd.remove_repeats_of_batch(frame(old), frame([]), sd.FingerprintIndex(spark, folder)).count()
+    for before, batch in ((old, new), (old + new, later)):
+        rows = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sd.remove_repeats_of_batch(frame(batch), frame(before), sd.FingerprintIndex(spark, folder)).collect()), key=repr)
+        assert rows == [r for r in brute(before + batch) if r[0] in {i for i, _ in batch}]
+    assert read == [[], [3, 5, 9], [9, 102, 104]]
+    sd.FingerprintIndex(spark, folder).drop()
