@@ -7,7 +7,8 @@ that has none there, or hardly any text, is extracted from its own best one.
 
 Elements whose tag, class or role marks menus, notices, adverts, forms, comments and the like are left out. As such
 names also stand on elements around an article, this is decided when a page is parsed: a marked element
-stays if it holds far more running text than all that is not marked, and something in it looks like an article.
+stays if it holds far more running text than all that is not marked, and something in it looks like an article. A
+marked inline element, a link or a word of code say, stays within a sentence, and goes where it is one of its own.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import functools
 import hashlib
 import heapq
 import html as html_lib
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -50,9 +52,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, or is none of the page's text; the first ones go to the end if never closed.
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes object svg math canvas audio video select datalist".split())
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes object svg annotation annotation-xml canvas audio video select datalist".split())
 RAW_TO_END = frozenset("script style title textarea".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img "
+                   "math semantics mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mspace mover munder munderover mpadded mphantom menclose mtable mtr mtd mlabeledtr".split())
 CONTAINER = frozenset("body div article section main td center table tbody tr".split())
 #: How an element is marked: as layout round an article or beside it, as page furniture, as what others wrote, as unseen.
 BESIDE, FURNITURE, REPLIES, UNSEEN = 1, 2, 3, 4
@@ -62,26 +65,33 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = {
     **dict.fromkeys("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar aside widget widgets share sharing social popup modal overlay".split(), BESIDE),
     **dict.fromkeys("nav navbar navigation menu breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login pagination pager copyright skip toolbar".split(), FURNITURE),
-    **dict.fromkeys("related recommended recommendations comment comments disqus reply replies respond".split(), REPLIES),
+    **dict.fromkeys("related recommended recommendations comment comments disqus reply replies respond response responses discussion discussions reactions feedback talkback guestbook".split(), REPLIES),
 }
+#: Words that, beside a mark in one class or id, name a part of an article after all.
+PARTS = frozenset("quote quotation pullquote blockquote code caption figure formula equation price footnote definition example paragraph prose sentence".split())
 GOOD = frozenset("article post entry content story main text body".split())
 WEIGHTS = {"article": 1.6, "main": 1.4, "td": 0.9, "table": 0.7, "tbody": 0.7, "tr": 0.7}
 #: What an open element of the key ends when one of its tags comes.
 ENDS = {"p": frozenset(("p",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")),
         "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
+#: What ends a sentence, and what goes on with one.
+_STOPS, _GO_ON = frozenset(".!?…。！？"), frozenset(".,;:!?…)]}%*/+-=’”»")
 _BREAKS_P = frozenset(("p",))
 _SCOPE = frozenset("ul ol dl table div article section main body aside nav form footer header blockquote td th".split())
 
 
 @functools.lru_cache(4_096)
-def _look(name: str, raw: str) -> tuple[int, str, bool]:
-    """How the attributes mark an element, its part of a path, and whether a name of it is one of an article."""
+def _look(name: str, raw: str) -> tuple[int, str, bool, bool]:
+    """How the attributes mark an element, its part of a path, whether a name of it is one of an article, and whether all its
+    marks also name a part of one."""
     given: dict[str, str] = {}
     for k, a, b, c, bare in _ATTRIBUTE.findall(raw):
         given.setdefault((k or bare).lower(), a or b or c)
     names = _SAYS.sub(" ", f"{given.get('class', '')} {given.get('id', '')}")
     words = {w.lower() for w in _WORDS.findall(names)}
     mark = max((MARKS[w] for w in words & MARKS.keys()), default=0)
+    each = [{w.lower() for w in _WORDS.findall(n)} for n in names.split()]
+    part = bool(mark) and all(own & PARTS for own in each if own & MARKS.keys())
     if name in ("article", "main"):
         mark = REPLIES if mark == REPLIES else 0
     elif not mark and given.get("role", "").lower() in ROLES:
@@ -89,7 +99,19 @@ def _look(name: str, raw: str) -> tuple[int, str, bool]:
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(given.get("style", "")):
         mark = UNSEEN
     label = name + "".join("." + c for c in sorted(given.get("class", "").split())) + ("#" + given["id"] if given.get("id") else "")
-    return mark, re.sub(r"\d+", "N", label), bool(words & GOOD)
+    return mark, re.sub(r"\d+", "N", label), bool(words & GOOD), part and mark not in (FURNITURE, UNSEEN)
+
+
+def _sentences(pieces: list[tuple[int, bool, str]]) -> list[tuple[int, bool, str]]:
+    """The pieces of a block without the marked ones that are no part of a sentence of others: text ends before them, or
+    there is none, and begins anew after them, or there is none."""
+    groups = [(k, list(g)) for k, g in itertools.groupby(pieces, key=lambda p: p[0] > 0)]
+    said = ["".join(piece for _, _, piece in g).strip() for _, g in groups]
+    # a group of nothing but white space has what lies beyond it for a neighbour
+    before = lambda i: next((said[j] for j in range(i - 1, -1, -1) if said[j] and not groups[j][0]), "")
+    after = lambda i: next((said[j] for j in range(i + 1, len(said)) if said[j] and not groups[j][0]), "")
+    alone = [k and before(i)[-1:] in ("", *_STOPS) and not (after(i)[:1].islower() or after(i)[:1] in _GO_ON and after(i)) for i, (k, _) in enumerate(groups)]
+    return [p for (_, g), gone in zip(groups, alone, strict=True) if not gone for p in g]
 
 
 class Page:
@@ -128,20 +150,21 @@ class Page:
         stack: list[tuple[str, int]] = []  # open elements: (name, node)
         open_at: dict[str, list[int]] = defaultdict(list)  # their places in the stack by name
         scopes: list[int] = []
-        node, links, linked = 0, 0, 0
-        text: list[str] = []
+        node, links = 0, 0
+        text: list[tuple[int, bool, str]] = []  # (whether in a marked inline element, whether in a link, source)
+        around: dict[int, int] = {}  # what each marked inline element's node stands in
+        marked: list[tuple[int, bool]] = []  # (place in the stack, whether it is hidden) of those that are open
         at, n = 0, len(source)
         body_seen = False
 
         def flush() -> None:
-            nonlocal linked
             if text:
-                joined = "".join(text)
+                kept = text if all(not m for m, _, _ in text) or open_at["pre"] else _sentences(text)
+                joined = "".join(piece for _, _, piece in kept)
                 words = " ".join((html_lib.unescape(joined) if "&" in joined else joined).split())
                 if words:
-                    self.blocks.append((node, words, linked))
+                    self.blocks.append((around.get(node, node), words, sum(len(piece) for _, link, piece in kept if link)))
                 text.clear()
-            linked = 0
 
         def push(name: str, own: int) -> None:
             nonlocal node
@@ -158,16 +181,16 @@ class Page:
                 open_at[name].pop()
                 if scopes and scopes[-1] == len(stack):
                     scopes.pop()
+                if marked and marked[-1][0] == len(stack):
+                    marked.pop()
             node = stack[-1][1] if stack else 0
 
         while at < n:
             m = _TOKEN.search(source, at)
             piece = source[at : m.start()] if m else source[at:]
-            if piece:
+            if piece and not (marked and any(hidden for _, hidden in marked)):
                 # a reference never reaches over markup
-                text.append(piece if "&" not in piece else html_lib.escape(html_lib.unescape(piece), quote=False))
-                if links:
-                    linked += len(piece)
+                text.append((len(marked), links > 0, piece if "&" not in piece else html_lib.escape(html_lib.unescape(piece), quote=False)))
             if not m:
                 break
             at = m.end()
@@ -177,7 +200,7 @@ class Page:
             name = name.lower()
             if m[1] or m[4]:
                 places = open_at.get(name)
-                if name not in INLINE or places:  # what stood in a left-out inline element is a block of its own
+                if name not in INLINE or places and places[-1] < len(stack) - 1:
                     flush()
                 if name == "a":
                     links = max(0, links - 1)
@@ -190,17 +213,21 @@ class Page:
                     at = stop.end() if stop else n if name in RAW_TO_END else at
                 continue
             if name == "br":
-                text.append(" ")
+                text.append((len(marked), False, " "))
                 continue
             if name == "a":
                 links += 1
             raw = m[3] or m[6] or ""
-            mark, label, good = (_look if len(raw) < 200 else _look.__wrapped__)(name, raw) if "=" in raw or "hidden" in raw else (0, name, False)
+            mark, label, good, part = (_look if len(raw) < 200 else _look.__wrapped__)(name, raw) if "=" in raw or "hidden" in raw else (0, name, False, False)
             if name in INLINE:
-                if mark and not raw.rstrip().endswith("/"):
-                    flush()
+                if mark and name not in VOID and not raw.rstrip().endswith("/"):
+                    outer = around.get(node, node)
+                    marked.append((len(stack), mark == UNSEEN))
                     push(name, self._node(node, name, label, UNSEEN, False))
+                    around[node] = outer
                 continue
+            if part and self.in_article[node]:
+                mark = 0
             flush()
             if name in VOID:
                 continue

@@ -3,6 +3,7 @@ import random
 import re
 import tracemalloc
 from collections import defaultdict
+from html.parser import HTMLParser
 
 from lodestone.llm import html_text as ht
 
@@ -107,3 +108,90 @@ def test_many_hosts_are_shuffled(spark, monkeypatch):
     rows = [(i, f"https://{'hot' if i % 3 else i}.example.com/", f"<article>{ARTICLE}</article>") for i in range(3_000)]
     got = ht.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 3_000 and {r.text for r in got} == {TRUE}
+
+
+def test_marked_words_within_sentences_stay():
+    def body(x):
+        return text(f"<body>{NAV}<article><h1>Title</h1><p>{LONG}</p>{x}</article>{FOOT}").removeprefix(f"Title\n{LONG}\n")
+
+    assert body('<pre><code>x = 1 <span class="hljs-comment"># keep this</span>\ny = 2</code></pre>') == "x = 1 # keep this y = 2"
+    assert body('<pre><span class="token comment"># First</span>\nImport</pre>') == "# First Import"
+    assert body('<p>This is <strong class="notice">not</strong> valid.</p>') == "This is not valid."
+    assert body('<p>See <a class="related" href="/x">the study</a>, which</p>') == "See the study, which"
+    assert body('<p>It costs a lot. <span class="promo-price">$5</span> is too much.</p>') == "It costs a lot. $5 is too much."
+    assert body("<p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> be even.</p>") == "Let x+1 be even."
+    assert body('<div class="share-quote"><p>A quotation of the article.</p></div><p>End.</p>') == "A quotation of the article.\nEnd."
+    assert body('<p>It is <span hidden>never</span><i aria-hidden="true">*</i> seen.</p>') == "It is seen."
+    # what is a sentence of its own goes, and so do blocks of links, adverts and replies
+    assert body('<p>All is said. <span class="ad">Buy now</span></p>') == "All is said."
+    assert body('<p>All is said. <a class="related">Read on</a> The end.</p>') == "All is said. The end."
+    assert body('<p><em class="promo">Buy now</em></p><p>End.</p>') == "End."
+    assert body('<div class="share-links">Twitter</div><div class="advert">Buy. It is cheap.</div><span class="ad"><div>Buy</div></span><p>End.</p>') == "End."
+    assert text(f'<body>{NAV}<article>{ARTICLE}</article><div class="discussion"><p>{LONG}</p></div><section id="user-responses"><p>{LONG}</p></section>{FOOT}') == TRUE
+
+
+class Reader(HTMLParser):
+    """What stands in <article> but for elements of the class ``out``, block by block."""
+
+    BLOCKS = frozenset("article h1 h2 p div li ul blockquote pre".split())
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks, self.text = [], [], []
+
+    def close_block(self):
+        words = " ".join("".join(self.text).split())
+        self.blocks += [words] if words else []
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.close_block()
+        if tag == "br":
+            self.text.append(" ")
+        else:
+            self.open.append((tag, "data-out" in dict(attrs)))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.close_block()
+        while self.open and self.open.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(gone for _, gone in self.open):
+            self.text.append(data)
+
+
+def test_equals_an_independent_parser():
+    rng = random.Random(9)
+    words = ["stone", "river &amp; sea", "caf&eacute;", "a&lt;b", "It", "&#8220;so&#8221;", "x", "Not", "&copy;"]
+    inline = ["b", "em", 'a href="/x"', 'span class="notice"', 'a class="related share"', 'code class="comment"', "sup", "math"]
+
+    def sentence():
+        out = ["Then"]
+        for _ in range(rng.randint(4, 25)):
+            w = rng.choice(words)
+            if rng.random() < 0.3:
+                tag = rng.choice(inline)
+                w = f"<{tag}>{w}</{tag.split()[0]}>"
+            out.append(w + rng.choice(["", ",", "<br>", "\n\t"]))
+        return " ".join([*out, "and on."])
+
+    def block():
+        kind = rng.random()
+        if kind < 0.6:
+            return f"<p>{' '.join(sentence() for _ in range(rng.randint(1, 4)))}</p>"
+        if kind < 0.7:
+            return f"<h2>{sentence()}</h2>"
+        if kind < 0.8:
+            return "<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(3)) + "</ul>"
+        if kind < 0.9:
+            return f"<blockquote>{sentence()}</blockquote>"
+        return rng.choice(['<div class="share-buttons" data-out="1">Tweet this. Now</div>', '<div class="advert" data-out="1"><p>Buy it. It is cheap.</p></div>', '<aside data-out="1"><p>Beside the point.</p></aside>', '<div class="newsletter" data-out="1">Sign up</div>'])
+
+    for k in range(150):
+        source = f"<html><body>{NAV}<div class=wrap{k}><article><h1>A title</h1>{''.join(block() for _ in range(rng.randint(3, 12)))}</article></div><div class='{rng.choice(['comments', 'discussion', 'reactions'])}'><p>{sentence()}</p></div>{FOOT}</body></html>"
+        reader = Reader()
+        reader.feed(source)
+        assert text(source) == "\n".join(reader.blocks)
