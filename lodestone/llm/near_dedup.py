@@ -2,7 +2,9 @@
 
 Each text's three-word runs, labelled with how often they occurred before in it, are hashed once for every
 sketch; the two smallest are kept in the order in which they stand in the text. Short texts have sketches of
-single words besides, as few of their runs outlive an edit, and the shortest one of all their words. Texts
+single words besides, as few of their runs outlive an edit, and the shortest one of all their words. Texts of four
+to nine words, of which one may differ, also have a key for each place without the word there, so that none of their
+links is left to chance. Texts
 with a sketch in common are compared by a word-level edit distance in a band, and linked if it is at most a
 fifth of the longer text. Groups are the connected components of the links.
 
@@ -35,6 +37,8 @@ RUN = 3
 SKETCHES = 40
 #: Texts of up to so many words have so many sketches of single words too.
 SHORT, SHORT_SKETCHES = 25, 12
+#: Texts of so many words are linked if one edit makes them the same.
+ONE_EDIT = range(GRAM - 1, 10)
 #: Buckets of up to so many texts are compared pair by pair.
 SMALL = 8
 #: Texts of a larger bucket meet in blocks of about so many.
@@ -118,6 +122,30 @@ def all_sketches(words: Words, sketches: int = SKETCHES) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
 
 
+def one_edit_keys(words: Words) -> pa.ListArray:
+    """Keys that two texts of ``ONE_EDIT`` words have in common if and, but for chance, only if one edit makes them the same: a
+    place and the words without the one there, and those of the texts that lack a word at that place."""
+    one, owner, keys = words.hashes(), [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+
+    def key(columns: list[np.ndarray]) -> np.ndarray:
+        h = np.full(len(columns[0]), len(columns), np.uint64)
+        for c in columns:
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + c)
+        return h
+
+    for n in ONE_EDIT:
+        texts = np.flatnonzero(words.count == n)
+        columns = [one[words.first[texts] + k] for k in range(n)]
+        without = [(key(columns[:k] + columns[k + 1 :]), k) for k in range(n)] if n - 1 in ONE_EDIT else []
+        whole = [(key(columns), k) for k in range(n + 1)] if n + 1 in ONE_EDIT else []
+        for h, k in without + whole:
+            owner.append(texts)
+            keys.append(mix(h + np.uint64(k + 1)))
+    owner, keys = np.concatenate(owner), np.concatenate(keys)
+    first = np.append(0, np.cumsum(np.bincount(owner, minlength=len(words.count))))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys[np.argsort(owner, kind="stable")].view(np.int64)))
+
+
 def anchored_bound(a: np.ndarray, b: np.ndarray) -> int:
     """The cost of one alignment, so no less than the edit distance: through the longest ascending chain of runs
     of five words that stand once in each, with what lies between them replaced."""
@@ -330,8 +358,12 @@ def _pairs(members: DataFrame) -> DataFrame:
     rest = lambda i: F.slice("ids", i + 2, F.greatest(F.size("ids") - i - 1, F.lit(0)))
     every = F.flatten(F.transform("ids", lambda x, i: F.transform(rest(i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     few = few.select(F.explode(every).alias("p")).select("p.a", "p.b")
-    star = members.where((F.col("n") > SMALL) & (F.col("id") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    return few.unionByName(star).distinct()
+    return few.unionByName(_stars(members.where(F.col("n") > SMALL))).distinct()
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the smallest id of each bucket with all others."""
+    return members.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b"))
 
 
 def word_bags(words: Words) -> np.ndarray:
@@ -486,7 +518,8 @@ def _grouped(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SK
     ``class_id`` is the smallest id of the row's group. Two texts are linked if their word edit distance is at
     most ``1 - similarity`` of the longer one's words; words stand between white space (space, tab to
     carriage return). Identical texts are in one group, and so are all without words, empty and null ones
-    among them; texts of one to four words are linked if they have the same words. A row without an id belongs
+    among them; of two texts under ten words every link is found, so those of one to four words are linked if they are
+    the same, and a text of four with one of five that has one word more. A row without an id belongs
     to the group of its text, and to none (null) if no row with that text has an id. Ids must be whole numbers,
     or strings of them. ``first_id`` is the smallest id with the row's very text, and ``class_first`` says
     whether this text is the one of its group that stands for it: of those with the id ``class_id``, the first by hash.
@@ -498,21 +531,23 @@ def _grouped(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SK
         for b in pieces(batches):
             for start, stop, w in word_blocks(b.column(0)):
                 own = b.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), all_sketches(w, sketches), pa.array(w.count)], ["t1", "t2", "doc_id", "sketches", "n_words"])
+                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), all_sketches(w, sketches), one_edit_keys(w), pa.array(w.count)], ["t1", "t2", "doc_id", "sketches", "keys", "n_words"])
 
     rows = materialize(keyed.select("t1", "t2", "doc_id"))
     # A text is known by a number of its own from here on.
     found = (keyed.where("doc_id is not null").select("text", "t1", "t2", "doc_id")
-             .mapInArrow(sketch, "t1 long, t2 long, doc_id long, sketches array<long>, n_words long")
-             .groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.min("sketches").alias("sketches"), F.min("n_words").alias("n_words")))
+             .mapInArrow(sketch, "t1 long, t2 long, doc_id long, sketches array<long>, keys array<long>, n_words long")
+             .groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"), F.min("sketches").alias("sketches"), F.min("keys").alias("keys"), F.min("n_words").alias("n_words")))
     sketched = materialize(found.withColumn("id", F.monotonically_increasing_id()))
     members = _with_centres(sketched.select("id", "n_words", F.explode("sketches").alias("bucket")))
-    pairs = materialize(_pairs(members))
+    # all texts with a key in common are within one edit of each other, so the smallest stands for them
+    near = _with_centres(sketched.select("id", "n_words", F.explode("keys").alias("bucket")))
+    pairs = materialize(_pairs(members).unionByName(_stars(near)).distinct())
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = sketched.select("id", "t1", "t2", "first_id").join(involved, "id")
     texts = materialize(keyed.join(ids, ["t1", "t2"]).where("doc_id = first_id").select("id", "text").dropDuplicates(["id"]))
     judged = materialize(_linked(pairs, texts, similarity), 1_500)
-    scratch, parts = [members, pairs, texts, judged], [judged]
+    scratch, parts = [members, near, pairs, texts, judged], [judged]
     links, large = judged.where("linked").select("a", "b"), members.where(F.col("n") > SMALL)
     outlines = materialize(_outlines(texts.join(large.select("id").distinct(), "id", "left_semi")).join(sketched.select("id", "sketches"), "id"))
     known = None

@@ -192,3 +192,47 @@ def test_one_of_each_keeps_different_texts_of_one_id(spark):
     rows = [(1, a), (1, b), (1, a), (2, a + " z"), (3, b), (4, "own text")]
     kept = nd.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (4, "own text")])
+
+
+def all_pairs_groups(texts):
+    """Class of each text (the smallest id), every pair compared; texts are (id, words)."""
+    parent = {i: i for i, _ in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, (i, x) in enumerate(texts):
+        for j, y in texts[:k]:
+            limit = int(0.2 * max(len(x), len(y)) + 1e-9)
+            if abs(len(x) - len(y)) <= limit and find(i) != find(j):
+                number: dict = {}
+                a, b = (np.array([number.setdefault(v, len(number)) for v in w], np.int32) for w in (x, y))
+                if nd.edit_distances([(a, b)], np.array([limit]))[0] <= limit:
+                    i_, j_ = find(i), find(j)
+                    parent[max(i_, j_)] = min(i_, j_)
+    return {i: find(i) for i, _ in texts}
+
+
+def test_all_pairs_of_documents(spark):
+    docs = sorted((r.doc_id, (r.text or "").encode().split()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    true = all_pairs_groups(docs)
+    assert len(set(true.values())) < len(docs)
+    assert {r.doc_id: r.class_id for r in nd.op7_near_dedup(spark, "/root/testdata/sf0.001").collect()} == true
+
+
+def test_no_link_of_short_texts_is_lost(spark):
+    rng = random.Random(12)
+    rows = [(0, "a b c d"), (1, "a b c d e"), (2, "a x b c d"), (3, "q a b c d"), (4, "a b c"), (5, "a b c d a")]
+    for k in range(500):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))]
+        rows.append((len(rows), " ".join(words)))
+        if k % 2:
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = rng.choices("abcdefgh", k=rng.randint(0, 1))
+            rows.append((len(rows), "  ".join(words[:9])))
+    texts = [(i, t.encode().split()) for i, t in rows]
+    got = {r.doc_id: r.class_id for r in nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    true = all_pairs_groups(texts)
+    assert got == true and got[1] == got[0] == got[2] == got[3] and len(set(true.values())) > 100
