@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import unused
 from ..functions.text import chunk_id
+from . import syntax
 
 CHUNK_SIZE = 1024
 
@@ -24,11 +25,7 @@ LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".go": "go", ".rs": "rust", ".java": "java",
     ".cpp": "cpp", ".cc": "cpp", ".c": "c", ".h": "c", ".rb": "ruby", ".php": "php", ".cs": "c_sharp",
 }
-_BRACES = frozenset(("javascript", "typescript", "tsx", "go", "rust", "java", "cpp", "c"))
 _HEADER = re.compile(r"(?:import|from|package|use|extern crate|export|#include|#define|typedef)\b|(?:#include|#define)")
-_CLASS = re.compile(r"type\s+(\w+)\s+(?:struct|interface)|(?:[\w@]+\s+)*?(?:class|interface|struct|enum|trait|impl)\s+(?:<[^>]*>\s*)?(\w+)")
-_FUNCTION = re.compile(r"(?:[\w@]+\s+)*?(?:function\*?|func|fn)\s+(?:\([^)]*\)\s*)?(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>|(?:[\w<>\[\],*&:~]+\s+)+[*&]*(\w+)\s*\([^;]*$|(\w+)\s*\([^;]*\)\s*$")
-_NOT_NAMES = frozenset("if for while switch catch return else do try new sizeof throw await".split())
 
 
 def line_cuts(text: str, size: int = CHUNK_SIZE) -> list[tuple[int, int]]:
@@ -89,7 +86,7 @@ def definitions(text: str, language: str) -> list[tuple[int, int, int, str, str]
     function or class."""
     if language == "python":
         return _python_definitions(text)
-    return _brace_definitions(text) if language in _BRACES else []
+    return [(n.start, n.head, n.end, n.name, n.kind) for n in syntax.scan(text, language).nodes] if language in syntax.LANGUAGES else []
 
 
 def _line_starts(text: str) -> list[int]:
@@ -127,51 +124,15 @@ def _python_marks(text: str, size: int) -> set[int]:
     return marks
 
 
-_BRACE_TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{};]""", re.DOTALL)
-
-
-def _brace_definitions(text: str) -> list[tuple[int, int, int, str, str]]:
-    """By matching braces outside strings and comments; what stands before an opening brace names it and is its
-    signature."""
-    found, stack, begin = [], [], 0
-    for m in _BRACE_TOKEN.finditer(text):
-        if m[0] == "{":
-            head = text[begin : m.start()].strip()
-            head = head.rsplit("\n\n", 1)[-1]
-            start = m.start() - len(text[begin : m.start()].lstrip()) if text[begin : m.start()].strip() else m.start()
-            named = _CLASS.match(head)
-            kind, name = ("class", named[1] or named[2]) if named else ("function", None)
-            if not named and (f := _FUNCTION.search(head)):
-                name = next((g for g in f.groups() if g), None)
-            stack.append((start, m.end(), name if name not in _NOT_NAMES else None, kind))
-            begin = m.end()
-        elif m[0] == "}":
-            if stack:
-                start, head_end, name, kind = stack.pop()
-                if name:
-                    found.append((start, head_end, m.end(), name, kind))
-            begin = m.end()
-        elif m[0] == ";" or m[0].startswith(("//", "/*")):
-            begin = m.end()
-    return sorted(found)
-
-
-def _brace_marks(text: str, size: int) -> set[int]:
+def _brace_marks(text: str, language: str, size: int) -> set[int]:
     """Ends of statements and blocks, those within a block only where it is longer than ``size``."""
-    found, stack = [], []
-    for m in _BRACE_TOKEN.finditer(text):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif m[0] == "}" and stack:
-            found.append((stack.pop(), m.end(), len(stack)))
-        elif m[0] == ";":
-            found.append((m.start(), m.end(), len(stack)))
+    found = syntax.scan(text, language)
     short: list[tuple[int, int]] = []  # blocks that stay whole
-    for s, e, _ in sorted(found, key=lambda f: (f[0], -f[1])):
-        if e - s <= size and text[s] == "{" and not (short and e <= short[-1][1]):
+    for s, e in sorted(found.blocks):
+        if e - s <= size and not (short and e <= short[-1][1]):
             short.append((s, e))
     marks, k = set(), 0
-    for _, e, _ in sorted(found, key=lambda f: f[1]):
+    for e in sorted(e for _, e in found.blocks + found.stops):
         while k < len(short) and short[k][1] < e:
             k += 1
         if k == len(short) or not short[k][0] < e < short[k][1]:
@@ -204,7 +165,7 @@ def syntax_cuts(text: str, language: str, size: int = CHUNK_SIZE, found: list[tu
     is larger is cut by lines.
     """
     found = definitions(text, language) if found is None else found
-    marks = {0, len(text)} | (_python_marks(text, size) if language == "python" else _brace_marks(text, size) if language in _BRACES else set())
+    marks = {0, len(text)} | (_python_marks(text, size) if language == "python" else _brace_marks(text, language, size) if language in syntax.LANGUAGES else set())
     for d in found:
         marks |= {d[0], d[2]}
     marks = sorted(m for m in marks if 0 <= m <= len(text))
@@ -286,6 +247,41 @@ def chunk_files(files: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     return files.select("file_path", "content").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNKS))
 
 
+def nodes_of(text: str, path: str) -> list[tuple]:
+    """(node, parent, kind, name, start_char, head_end, end_char, depth) of the definitions of a file, in order of their starts;
+    ``parent`` is -1 for the outermost. A file that cannot be parsed, or is in no known language, has none."""
+    dot = path.rfind(".")
+    language = LANGUAGES.get(path[dot:].lower(), "") if dot > path.rfind("/") else ""
+    try:
+        found = definitions(text, language)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    out, around = [], []
+    for k, (start, head, end, name, kind) in enumerate(found):
+        while around and found[around[-1]][2] <= start:
+            around.pop()
+        out.append((k, around[-1] if around else -1, kind, name, start, head, end, len(around)))
+        around.append(k)
+    return out
+
+
+NODES = "node int, parent int, kind string, name string, start_char int, head_end int, end_char int, depth int"
+
+
+def syntax_nodes(files: DataFrame) -> DataFrame:
+    """The definitions of ``files`` (file_path, content) as a tree, see ``nodes_of``; a null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(path, *row) for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for row in nodes_of(text or "", path or "")]
+            yield _batch(rows, _NODE_FIELDS)
+
+    return files.select("file_path", "content").mapInArrow(run, f"file_path string, {NODES}")
+
+
+_NODE_FIELDS = [("file_path", pa.string()), *[(c.split()[0], {"int": pa.int32(), "string": pa.string()}[c.split()[1]]) for c in NODES.split(", ")]]
+
+
 def overlapping(spans: DataFrame, others: DataFrame, key: str, width: int = CHUNK_SIZE) -> DataFrame:
     """Pairs of ``spans`` (key, start, end, ...) and ``others`` (key, other_start, other_end, ...) that overlap.
 

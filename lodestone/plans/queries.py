@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ident
+from ..functions import tables
 from ..functions import text as tx
 from ..functions.vectors import dot
 from ..operators import changes, chunking, embedding, render, search
@@ -243,6 +244,33 @@ def chunk_syntax(spark, sf_dir):
     return c.select("id", "total_chunks", "start_char", "end_char", "start_line", "end_line", "function_name", "symbol_type", "has_file_header", "is_continuation", "has_signature_context", F.md5(F.encode("content", "UTF-8")).alias("content_md5"))
 
 
+def _programs(spark, sf_dir) -> DataFrame:
+    """Every document as a program: a function for each of its lines, with the line in a comment."""
+    line = F.regexp_replace("content", "\r", "")
+    lines = F.filter(F.split(line, "\n"), lambda x: F.length(F.replace(x, F.lit(" "), F.lit(""))) > 0)
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("    fn f"), i, F.lit("(x: &'a str) { // "), x, F.lit("\n        g::<'a>(\"}\");\n    }\n"))), "")
+    return docs(spark, sf_dir).select("doc_id", F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), F.concat(F.lit("impl<'a> Doc<'a> {\n"), F.coalesce(body, F.lit("")), F.lit("}\n")).alias("content"))
+
+
+def syntax_nodes(spark, sf_dir):
+    """The tree of definitions of every document's program."""
+    return chunking.syntax_nodes(_programs(spark, sf_dir)).select("file_path", "node", "parent", "kind", "name", "start_char", "end_char", "depth")
+
+
+def chunk_udtf(spark, sf_dir):
+    """As ``chunk_lines``, by a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("""SELECT d.file_path, c.chunk_index, c.total_chunks, c.start_char, c.end_char, c.start_line, c.end_line, md5(encode(c.content, 'UTF-8')) AS content_md5
+        FROM {docs} d, LATERAL line_chunks(d.content, 1024) c""", docs=docs(spark, sf_dir))
+
+
+def syntax_udtf(spark, sf_dir):
+    """How many definitions every document's program has at each depth, by a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("""SELECT p.doc_id, n.depth, n.kind, count(*) AS definitions, min(n.start_char) AS first, max(n.end_char) AS last
+        FROM {programs} p, LATERAL syntax_nodes(p.content, p.file_path) n GROUP BY ALL""", programs=_programs(spark, sf_dir))
+
+
 def file_ids(spark, sf_dir):
     """How many chunk ids each file has, by its path alone, and whether it has any."""
     c = chunks(spark, sf_dir).select("file_path", "id").distinct().groupBy("file_path").agg(F.count("id").alias("n"))
@@ -450,7 +478,7 @@ def indexed_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, boosted_search, boosted_uncut, chunk_lines,
-    chunk_syntax, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, change_summary, delete_by_file, store_changes, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
+    chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, change_summary, delete_by_file, store_changes, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
     format_results, hash_embed, debounce, client_expiry, interval_overlap, conversation_context, query_features, indexed_search)}
 
 _DISTANCE = "round(distance, 6) + 0.0 AS distance"
@@ -470,7 +498,16 @@ def _glob(patterns) -> str:
 
 _IGNORED = f"^(?:{_glob([*filters.IGNORED, '*.html'])})"
 
+_NODES = """lines AS (SELECT doc_id, list_filter(string_split(replace(content, chr(13), ''), chr(10)), lambda x: length(replace(x, ' ', '')) > 0) AS lines FROM docs),
+  functions AS (SELECT doc_id, unnest(range(0, len(lines))) AS i, unnest(list_transform(lines, lambda x, i: '    fn f' || (i - 1) || '(x: &''a str) { // ' || x || chr(10) || '        g::<''a>("}");' || chr(10) || '    }' || chr(10))) AS code FROM lines),
+  placed AS (SELECT doc_id, i, (19 + sum(length(code)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS stop, length(code)::INT AS n FROM functions),
+  nodes AS (SELECT doc_id, 'src/' || doc_id || '.rs' AS file_path, (i + 1)::INT AS node, 0 AS parent, 'function' AS kind, 'f' || i AS name, stop - n + 4 AS start_char, stop - 1 AS end_char, 1 AS depth FROM placed
+    UNION ALL SELECT d.doc_id, 'src/' || d.doc_id || '.rs', 0, -1, 'class', 'Doc', 0, coalesce(max(stop), 19) + 1, 0 FROM docs d LEFT JOIN placed p ON p.doc_id = d.doc_id GROUP BY d.doc_id)"""
+
 ORACLE_SQL = {
+    "syntax_nodes": f"WITH {DOCS}, {_NODES} SELECT file_path, node, parent, kind, name, start_char, end_char, depth FROM nodes",
+    "syntax_udtf": f"WITH {DOCS}, {_NODES} SELECT doc_id, depth, kind, count(*) AS definitions, min(start_char) AS first, max(end_char) AS last FROM nodes GROUP BY ALL",
+    "chunk_udtf": f"WITH RECURSIVE {CHUNKS} SELECT file_path, chunk_index, total_chunks, start_char, end_char, start_line, end_line, md5(content) AS content_md5 FROM chunks",
     "vector_topk": f"WITH {VECTORS} SELECT rank, id, {_DISTANCE} FROM {_ranked(10, '(SELECT min(query_id) OVER () AS first, * FROM (SELECT v.id, 1 - list_cosine_similarity(v.v, f.v) AS distance, f.id AS query_id FROM vectors v, (SELECT * FROM vectors ORDER BY id LIMIT 1) f))')}",
     "vector_topk_batch": f"WITH {VECTORS} SELECT query_id, rank, id, {_DISTANCE} FROM {_ranked(10)}",
     "filtered_topk_post": f"WITH {VECTORS} SELECT query_id, rank, id, file_path, {_DISTANCE} FROM {_ranked(50)} WHERE {_FILTER}",
