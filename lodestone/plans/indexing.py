@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import changes, chunking, embedding
-from ..operators.store import ModelMismatch, Store
+from ..operators.store import ModelMismatch, Storage, Store
 from ..sources import files
 
 CHUNKS = "chunks"
@@ -30,16 +30,17 @@ class Index:
     ``embed`` adds the column ``embedding``, of ``dimension`` numbers, to chunks; without it words are hashed. If the
     stored vectors are of another model or dimension, ``load`` gets the stored model's name and returns the ``embed``
     to go on with; without it that is an error. ``force`` drops what is stored first. ``progress`` is called
-    with the name of a step and its counts once the step is done.
+    with the name of a step and its counts once the step is done. ``storage`` makes the store from its root.
     """
 
     def __init__(self, spark: SparkSession, store_root: str, root: str, embed: Callable[[DataFrame], DataFrame] | None = None,
                  chunk_size: int = chunking.CHUNK_SIZE, exclude_tests: bool = False, additional_ignored=(), model_name: str = "hash", dimension: int | None = None,
-                 load: Callable[[str], Callable[[DataFrame], DataFrame]] | None = None, force: bool = False, progress: Callable[[str, dict], None] | None = None):
+                 load: Callable[[str], Callable[[DataFrame], DataFrame]] | None = None, force: bool = False, progress: Callable[[str, dict], None] | None = None,
+                 storage: Callable[[SparkSession, str], Storage] = Store):
         if not files.is_folder(root):
             raise ValueError(f"{root} is not a folder")
         self.spark, self.root = spark, root
-        self.store = Store(spark, f"{store_root.rstrip('/')}/{collection_of(root)}")
+        self.store = storage(spark, f"{store_root.rstrip('/')}/{collection_of(root)}")
         self.embed, self.model_name, self.progress = embed or embedding.with_hash_embedding, model_name, progress
         dimension = embedding.DIMENSION if embed is None else dimension
         self.chunk_size, self.exclude_tests, self.additional_ignored = chunk_size, exclude_tests, tuple(additional_ignored)

@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..functions.vectors import dot
 from ..operators import changes, chunking, embedding, render, search
 from ..operators.store import Store
-from ..sources import files, filters
+from ..sources import collection, files, filters
 from ..sources.scratch import materialize, shared_dir
 from ..streaming import maintenance
 
@@ -351,6 +351,19 @@ def store_changes(spark, sf_dir):
     return store.table("files").select("id", "size", "state")
 
 
+def store_source(spark, sf_dir):
+    """What a collection holds that was written over, added to and read again as a data source."""
+    collection.register(spark)
+    old, new = _versions(spark, sf_dir)
+    root = shared_dir(spark)
+    Store(spark, root).open("files", old.schema, model_name="none")
+    path = f"{root}/files"
+    new.write.format("lodestone").mode("append").save(path)
+    old.write.format("lodestone").mode("overwrite").save(path)
+    new.join(old, "id", "left_anti").write.format("lodestone").mode("append").save(path)
+    return spark.read.format("lodestone").load(path)
+
+
 def decode_content(spark, sf_dir):
     """Texts as bytes, in Latin-1 or with other line ends, decoded, and the hash of the bytes."""
     d, odd = docs(spark, sf_dir), F.col("doc_id") % 2 == 1
@@ -478,7 +491,7 @@ def indexed_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, boosted_search, boosted_uncut, chunk_lines,
-    chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, change_summary, delete_by_file, store_changes, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
+    chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, change_summary, delete_by_file, store_changes, store_source, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
     format_results, hash_embed, debounce, client_expiry, interval_overlap, conversation_context, query_features, indexed_search)}
 
 _DISTANCE = "round(distance, 6) + 0.0 AS distance"
@@ -560,6 +573,7 @@ ORACLE_SQL = {
       held AS (SELECT id, size, state FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, size, state FROM new),
       more AS (SELECT * FROM held UNION ALL SELECT file_path || '+', 0, 'more' FROM docs WHERE doc_id % 7 = 3)
       SELECT id, size, state FROM more WHERE id NOT IN (SELECT file_path FROM docs WHERE doc_id % 5 = 0)""",
+    "store_source": f"WITH {_OLD_NEW} SELECT id, size, state FROM old UNION ALL SELECT id, size, state FROM new WHERE id NOT IN (SELECT id FROM old)",
     "decode_content": f"""WITH {DOCS} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 1 THEN regexp_replace(content, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') ELSE content END) AS text_md5,
       CASE WHEN doc_id % 2 = 0 THEN sha256(replace(content, chr(10), chr(13) || chr(10))) END AS content_hash FROM docs""",
     "model_embed": f"""WITH {DOCS} SELECT doc_id, [{', '.join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE" for c in 'aens')}, length(content)::DOUBLE] AS embedding FROM docs""",
