@@ -17,7 +17,7 @@ from ..operators import changes, chunking, embedding, render, search
 from ..operators.store import Store
 from ..sources import collection, files, filters
 from ..sources.scratch import materialize, shared_dir
-from ..streaming import maintenance
+from ..streaming import keyed, maintenance
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -307,6 +307,24 @@ def detect_changes(spark, sf_dir):
     return changes.detect_changes(*_then_and_now(spark, sf_dir))
 
 
+def stream_changes(spark, sf_dir):
+    """As ``detect_changes``, told by a stream of the two listings from what its state store knows."""
+    root, told = shared_dir(spark), None
+    for k, listing in enumerate(_then_and_now(spark, sf_dir)):
+        listing.withColumn("ts", F.timestamp_micros(F.lit((k + 1) * 60_000_000))).write.mode("append").parquet(f"{root}/listings")
+        stream = spark.readStream.schema("file_path string, mtime double, size long, content_hash string, ts timestamp").parquet(f"{root}/listings")
+        told = keyed.replay(keyed.file_changes(stream), f"{root}/told", f"{root}/checkpoint")
+    return told.where("at > 60000000").select("file_path", "status")
+
+
+def stream_expiry(spark, sf_dir):
+    """Each time a user has made no call for longer than five hours, told by a stream that forgets them then."""
+    root, at = shared_dir(spark), F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts"))
+    table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.timestamp_micros(at).alias("ts")).write.parquet(f"{root}/calls")
+    calls = spark.readStream.schema(spark.read.parquet(f"{root}/calls").schema).parquet(f"{root}/calls")
+    return keyed.replay(keyed.expiries(calls, 5 * 3_600), f"{root}/told", f"{root}/checkpoint")
+
+
 def change_summary(spark, sf_dir):
     return changes.change_summary(detect_changes(spark, sf_dir))
 
@@ -491,7 +509,7 @@ def indexed_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, boosted_search, boosted_uncut, chunk_lines,
-    chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, change_summary, delete_by_file, store_changes, store_source, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
+    chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, stream_changes, stream_expiry, change_summary, delete_by_file, store_changes, store_source, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
     format_results, hash_embed, debounce, client_expiry, interval_overlap, conversation_context, query_features, indexed_search)}
 
 _DISTANCE = "round(distance, 6) + 0.0 AS distance"
@@ -567,6 +585,9 @@ ORACLE_SQL = {
     "expand_hits": f"WITH RECURSIVE {CHUNKS} SELECT id, expanded_start_line, expanded_end_line, md5(expanded_content) AS expanded_md5 FROM ({_expanded('chunks')}) WHERE next_id = -1",
     "get_chunk": f"WITH RECURSIVE {CHUNKS} SELECT c.id, c.start_line, c.end_line, length(c.content) AS n_chars FROM chunks c JOIN docs d ON c.file_path = d.file_path AND c.chunk_index = d.doc_id % 3",
     "detect_changes": f"WITH {_STATES} SELECT file_path, status FROM changes",
+    "stream_changes": f"WITH {_STATES} SELECT file_path, status FROM changes",
+    "stream_expiry": """WITH e AS (SELECT user_id AS client, epoch_us(ts) AS t FROM events)
+      SELECT client, t AS last_seen FROM e QUALIFY coalesce(lead(t) OVER (PARTITION BY client ORDER BY t), max(t) OVER ()) - t > 18000000000""",
     "change_summary": f"WITH {_STATES} SELECT status, count(*) AS files FROM changes GROUP BY status",
     "delete_by_file": f"WITH RECURSIVE {CHUNKS}, {_STATES.replace(DOCS + ',', '')} SELECT id, start_char, end_char FROM chunks WHERE file_path NOT IN (SELECT file_path FROM changes WHERE status IN ('deleted', 'modified'))",
     "store_changes": f"""WITH {_OLD_NEW},
