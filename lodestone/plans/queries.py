@@ -13,7 +13,7 @@ from ..functions import identifiers as ident
 from ..functions import tables
 from ..functions import text as tx
 from ..functions.vectors import dot
-from ..operators import changes, chunking, embedding, render, search
+from ..operators import changes, chunking, embedding, postings, render, search
 from ..operators.store import Store
 from ..sources import collection, files, filters
 from ..sources.scratch import materialize, shared_dir
@@ -171,28 +171,51 @@ def significant_words(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_words"), F.md5(F.array_join(F.array_sort(words), " ")).alias("words_md5"))
 
 
-def _asked_words(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The stated queries with their identifiers and words, and every document with those of its words that any
-    query has, so that each text is taken apart once."""
-    q = asked(spark).select("query_id", ident.identifiers(F.col("query")).alias("names"), ident.significant_words(F.col("query")).alias("words"))
-    every = q.agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("all_names"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("all_words"))  # one row
-    d = coded(spark, sf_dir).crossJoin(F.broadcast(every))
-    return q, d.select("doc_id", F.array_intersect("all_names", ident.words_of(F.col("content"))).alias("own"), F.array_intersect("all_words", ident.words_of(F.lower("content"))).alias("lower"))
+def _texts(spark, sf_dir) -> DataFrame:
+    return coded(spark, sf_dir).select(F.col("doc_id").alias("text_id"), "content")
+
+
+def _met(spark, sf_dir) -> DataFrame:
+    """(doc_id, q, own, lower): every document with each of the stated five queries and those of its words that any of them
+    has; the queries are constants, so each text is taken apart once, in one projection without a join."""
+    asked_ = asked(spark).select("query_id", ident.identifiers(F.col("query")).alias("names"), ident.significant_words(F.col("query")).alias("words")).collect()
+    constants = lambda some: F.array(*map(F.lit, some)).cast("array<string>")
+    every = [constants(sorted({w for r in asked_ for w in r[c]})) for c in ("names", "words")]
+    each = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), constants(r.names).alias("names"), constants(r.words).alias("words")) for r in asked_])
+    d = coded(spark, sf_dir).select("doc_id", F.array_intersect(every[0], ident.words_of(F.col("content"))).alias("own"), F.array_intersect(every[1], ident.words_of(F.lower("content"))).alias("lower"))
+    return d.select("doc_id", F.explode(each).alias("q"), "own", "lower")
 
 
 def boost_score(spark, sf_dir):
-    q, d = _asked_words(spark, sf_dir)
-    pairs = d.crossJoin(F.broadcast(q))  # a stated set of five queries
-    own, lower = F.col("own"), F.col("lower")
-    return pairs.select("doc_id", "query_id", ident.identifier_matches(F.col("names"), own).cast("long").alias("matches"), ident.has_significant_word(F.col("words"), lower).alias("has_word"),
-                        ident.boost(F.col("names"), F.col("words"), F.lit(""), text_words=own, lower_text_words=lower).alias("boost"))
+    own, lower, names, words = F.col("own"), F.col("lower"), F.col("q.names"), F.col("q.words")
+    return _met(spark, sf_dir).select("doc_id", "q.query_id", ident.identifier_matches(names, own).cast("long").alias("matches"), ident.has_significant_word(words, lower).alias("has_word"),
+                                      ident.boost(names, words, F.lit(""), text_words=own, lower_text_words=lower).alias("boost"))
 
 
 def exact_match(spark, sf_dir):
     """For each document the stated queries of which it has an identifier."""
-    q, d = _asked_words(spark, sf_dir)
-    found = d.crossJoin(F.broadcast(q)).where(ident.has_exact_match(F.col("names"), F.col("own")))
-    return d.select("doc_id").join(found.groupBy("doc_id").agg(F.sort_array(F.collect_list("query_id")).alias("queries")), "doc_id", "left").select("doc_id", F.coalesce("queries", F.array().cast("array<int>")).alias("queries"))
+    found = F.when(ident.has_exact_match(F.col("q.names"), F.col("own")), F.col("q.query_id"))
+    return _met(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(found)).alias("queries"))
+
+
+def _lists(spark, sf_dir) -> DataFrame:
+    path = shared_dir(spark)
+    postings.write(postings.build(_texts(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
+def posting_lists(spark, sf_dir):
+    """The posting lists of all documents, each as its length and the checksum of its numbers."""
+    each = _lists(spark, sf_dir)
+    return each.groupBy("lower", "word").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def posting_scores(spark, sf_dir):
+    """Every benchmark item's words looked up in written posting lists, and the documents that have any of them scored."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("MAX_WEB load_web_en "), "text").alias("query"))
+    found = postings.score(postings.texts_with(_lists(spark, sf_dir), postings.asked_words(q)), q)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("texts"), F.sum("matches").alias("matches"), F.sum("boost").alias("boost"), F.max(F.struct("boost", -F.col("text_id"))).alias("best")).select(
+        "query_id", "texts", "matches", rounded("boost").alias("boost"), (-F.col("best.col2")).alias("best_doc"))
 
 
 def boosted_search(spark, sf_dir):
@@ -508,7 +531,7 @@ def indexed_search(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, boosted_search, boosted_uncut, chunk_lines,
+    vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, posting_lists, posting_scores, boosted_search, boosted_uncut, chunk_lines,
     chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, stream_changes, stream_expiry, change_summary, delete_by_file, store_changes, store_source, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
     format_results, hash_embed, debounce, client_expiry, interval_overlap, conversation_context, query_features, indexed_search)}
 
@@ -550,6 +573,14 @@ ORACLE_SQL = {
     "boost_score": f"""WITH {CODED}, {_ASKED},
       met AS (SELECT doc_id, query_id, {_MATCHES} AS matches, len({_idents('query')}) AS named, len(list_filter({_significant('query')}, lambda i: list_contains({_words('lower(content)')}, i))) > 0 AS has_word FROM coded, asked)
       SELECT doc_id, query_id, matches, has_word, CASE WHEN named > 0 THEN CASE WHEN matches = 0 THEN 1.0 ELSE 3.0 * (1 + (matches - 1) * 0.5) END WHEN has_word THEN 1.2 ELSE 1.0 END::DOUBLE AS boost FROM met""",
+    "posting_lists": f"""WITH {CODED}, w AS (SELECT DISTINCT doc_id, false AS lower, unnest({_words('content')}) AS word FROM coded UNION SELECT DISTINCT doc_id, true, unnest({_words('lower(content)')}) FROM coded)
+      SELECT lower, word, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM w GROUP BY ALL""",
+    "posting_scores": f"""WITH {CODED}, q AS (SELECT item_id AS query_id, 'MAX_WEB load_web_en ' || text AS query FROM benchmark),
+      w AS (SELECT DISTINCT doc_id, false AS lower, unnest({_words('content')}) AS word FROM coded UNION SELECT DISTINCT doc_id, true, unnest({_words('lower(content)')}) FROM coded),
+      a AS (SELECT DISTINCT query_id, false AS lower, unnest({_idents('query')}) AS word FROM q UNION SELECT DISTINCT query_id, true, unnest({_significant('query')}) FROM q),
+      met AS (SELECT query_id, doc_id, count(*) FILTER (NOT lower) AS matches FROM a JOIN w USING (lower, word) GROUP BY ALL),
+      s AS (SELECT *, CASE WHEN matches = 0 THEN 1.0 ELSE 3.0 * (1 + (matches - 1) * 0.5) END::DOUBLE AS boost FROM met)
+      SELECT query_id, count(*) AS texts, sum(matches)::BIGINT AS matches, round(sum(boost), 6) + 0.0 AS boost, arg_max(doc_id, (boost, -doc_id)) AS best_doc FROM s GROUP BY query_id""",
     "boosted_search": f"""WITH {VECTORS}, top AS {_ranked(20)},
       met AS (SELECT query_id, id, rank AS old, round(1 - distance, 6) + 0.0 AS s, {_MATCHES} AS matches FROM top),
       lifted AS (SELECT query_id, id, old, s * CASE WHEN matches = 0 THEN 1.0 ELSE 3.0 * (1 + (matches - 1) * 0.5) END::DOUBLE AS s, matches > 0 AS boosted FROM met)
