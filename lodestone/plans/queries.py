@@ -13,7 +13,7 @@ from ..functions import identifiers as ident
 from ..functions import tables
 from ..functions import text as tx
 from ..functions.vectors import dot
-from ..operators import changes, chunking, embedding, postings, render, search
+from ..operators import changes, chunking, embedding, graph_index, postings, render, search
 from ..operators.store import Store
 from ..sources import collection, files, filters
 from ..sources.scratch import materialize, shared_dir
@@ -143,6 +143,16 @@ def vector_topk_batch(spark, sf_dir):
 TYPES, PARTS = (".PY", ".md"), ("label_1", "label_2", "/7")
 
 
+def graph_search(spark, sf_dir):
+    """As ``vector_topk_batch``, by a stored graph that a third of the vectors were put into later, and some taken out and in."""
+    index, v = graph_index.GraphIndex(spark, shared_dir(spark)), vectors(spark, sf_dir).select("id", "embedding")
+    later = F.xxhash64("id") % 3 == 0
+    index.build(v.where(~later))
+    index.change(v.where(later), delete=v.where(F.xxhash64("id") % 5 == 1).select("id"))
+    index.change(v.where(F.xxhash64("id") % 5 == 1))
+    return index.search(vector_queries(spark, sf_dir), 10).select("query_id", "rank", "id", rounded("distance").alias("distance"))
+
+
 def filtered_topk_post(spark, sf_dir):
     found = search.filter_hits(hits(spark, sf_dir, search.fetch_size(5, filtered=True)), TYPES, PARTS)
     return found.select("query_id", "rank", "id", "file_path", rounded("distance").alias("distance"))
@@ -531,7 +541,7 @@ def indexed_search(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_batch, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, posting_lists, posting_scores, boosted_search, boosted_uncut, chunk_lines,
+    vector_topk, vector_topk_batch, graph_search, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, posting_lists, posting_scores, boosted_search, boosted_uncut, chunk_lines,
     chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, stream_changes, stream_expiry, change_summary, delete_by_file, store_changes, store_source, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
     format_results, hash_embed, debounce, client_expiry, interval_overlap, conversation_context, query_features, indexed_search)}
 
