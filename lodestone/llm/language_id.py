@@ -116,13 +116,12 @@ def fit(docs: DataFrame, train: Column, train_docs: int = TRAIN_DOCS, share: flo
     """
     spark = docs.sparkSession
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    languages = sorted(r.lang for r in sizes.select("lang").collect())  # a bit of the mask each
+    if not languages:
         return BitmaskFilter([], {})
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / (1 << 30)
-    chosen = F.lit(False)
-    for name, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == name) & (draw < min(1.0, train_docs / n)))
+    chosen = rows.join(sizes, "lang").where(draw < train_docs / F.col("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_up()
@@ -135,16 +134,14 @@ def fit(docs: DataFrame, train: Column, train_docs: int = TRAIN_DOCS, share: flo
                         key, n = np.unique(key, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = materialize(rows.where(chosen).select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    counts = materialize(chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
                          .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    frequent = F.lit(False)
-    for name, n in totals.items():
-        frequent = frequent | ((F.col("lang") == name) & (F.col("n") >= max(LEAST_COUNT, share * n)))
-    grams: dict[str, list[int]] = {name: [] for name in sorted(sizes)}
-    for r in counts.where(frequent).select("lang", "gram").toLocalIterator():
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    frequent = counts.join(totals, "lang").where(F.col("n") >= F.greatest(F.lit(float(LEAST_COUNT)), share * F.col("total")))
+    grams: dict[str, list[int]] = {name: [] for name in languages}
+    for r in frequent.select("lang", "gram").toLocalIterator():
         grams[r.lang].append(r.gram)
-    discard(counts)
+    discard(counts, sizes)
     return BitmaskFilter(list(grams), {k: np.array(v, np.int64).view(np.uint64) for k, v in grams.items()})
 
 
