@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import discard, give_up, materialize, pieces, read_table
 
 K = 10
-#: Vectors the tree is fitted on, about, chosen by a hash of their id: so many, or so many for each leaf if that
+#: Vectors the tree is fitted on, about, chosen by a hash of their row: so many, or so many for each leaf if that
 #: is more. Leaves are the square root of the vectors, up to a bound, so the driver has 262,144 vectors at most.
 SAMPLE, SAMPLE_A_LEAF = 30_000, 16
 MOST_LEAVES = 16_384
@@ -213,11 +213,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
         return spark.createDataFrame([], schema)
     dim, n = lengths[0].d, lengths[0].n
     leaves = min(MOST_LEAVES, max(1, round(n**0.5)))
-    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30)
-    common = rows.where(size == dim).select("embedding")
-    sample = common.where(draw < min(1.0, max(SAMPLE, SAMPLE_A_LEAF * leaves) / n)).toArrow()["embedding"].combine_chunks()
+    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / (1 << 30)  # by row: an id may have many
+    common = rows.where(size == dim).select("row", "embedding")
+    sample = common.where(draw < min(1.0, max(SAMPLE, SAMPLE_A_LEAF * leaves) / n)).select("embedding").toArrow()["embedding"].combine_chunks()
     if not len(sample):
-        sample = common.limit(1).toArrow()["embedding"].combine_chunks()
+        sample = common.select("embedding").limit(1).toArrow()["embedding"].combine_chunks()
     tree = Tree(_matrix(sample), leaves)
     tree_b = spark.sparkContext.broadcast(tree)
 
