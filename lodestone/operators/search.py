@@ -171,17 +171,18 @@ def boost_hits(hits: DataFrame, query: Column, n: int, strict_limit: bool = True
 
 
 def search(chunks: DataFrame, queries: DataFrame, n: int = RESULTS, file_types=None, include_paths=None, compat: bool = False,
-           rerank_score: Column | None = None, rerank_multiplier: int = 2, expand: bool = False) -> DataFrame:
+           rerank_score: Column | None = None, rerank_multiplier: int = 2, expand: bool = False, rerank_words: bool = False) -> DataFrame:
     """Search ``chunks`` for ``queries`` (query_id, query, embedding).
 
     Filters apply before the nearest are taken, so ``n`` results come if there are ``n``; with ``compat`` they
     apply after a larger fetch, and fewer may be left. ``rerank_score`` is an expression over query and
-    chunk columns.
+    chunk columns; ``rerank_words`` reranks by the late interaction of words, which needs no model.
     """
     from .chunking import expand_hits
+    from .interaction import with_interaction, word_weights
 
     filtered = bool(file_types or include_paths)
-    k = fetch_size(n, filtered and compat, rerank_multiplier if rerank_score is not None else 1)
+    k = fetch_size(n, filtered and compat, rerank_multiplier if rerank_score is not None or rerank_words else 1)
     base = chunks if compat else filter_hits(chunks, file_types, include_paths)
     hits = vector_topk(base, queries.select("query_id", "embedding"), k)
     hits = hits.join(chunks.drop("embedding"), "id").join(F.broadcast(queries.select("query_id", "query")) if queries.count() <= QUERIES_AT_ONCE else queries.select("query_id", "query"), "query_id")
@@ -190,5 +191,8 @@ def search(chunks: DataFrame, queries: DataFrame, n: int = RESULTS, file_types=N
         hits = filter_hits(hits, file_types, include_paths)
     if rerank_score is not None:
         hits = rerank(hits, rerank_score, n)
+    elif rerank_words:
+        (own,) = unused(hits, "score")
+        hits = rerank(with_interaction(hits, word_weights(chunks, queries), own), F.col(own), n).drop(own)
     hits = boost_hits(hits, F.col("query"), n)
     return expand_hits(hits, chunks) if expand else hits

@@ -13,7 +13,7 @@ from ..functions import identifiers as ident
 from ..functions import tables
 from ..functions import text as tx
 from ..functions.vectors import dot
-from ..operators import changes, chunking, embedding, graph_index, postings, render, search
+from ..operators import changes, chunking, embedding, graph_index, interaction, postings, render, search
 from ..operators.store import Store
 from ..sources import collection, files, filters
 from ..sources.scratch import materialize, shared_dir
@@ -446,6 +446,13 @@ def rerank_model(spark, sf_dir):
     return search.rerank_with(found.drop("v"), lambda: _by_context, 5).select("query_id", "rank", "id", "similarity")
 
 
+def rerank_words(spark, sf_dir):
+    """Rerank by the library's own scorer."""
+    q = vector_queries(spark, sf_dir).select("query_id", F.concat("query", F.lit(" labels")).alias("query"))
+    found = interaction.with_interaction(hits(spark, sf_dir, 15), interaction.word_weights(vectors(spark, sf_dir), q))
+    return search.rerank(found, rounded("score"), 5).select("query_id", "rank", "id", "similarity")
+
+
 def collection_stats(spark, sf_dir):
     c = chunks(spark, sf_dir).groupBy("file_path").agg(F.count(F.lit(1)).alias("chunk_count"), F.countDistinct("id").alias("ids"), F.max("end_line").alias("lines"), F.sum(F.length("content")).alias("n_chars"))
     d = docs(spark, sf_dir).select("file_path").join(c, "file_path", "left")
@@ -542,7 +549,7 @@ def indexed_search(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_batch, graph_search, filtered_topk_post, filtered_topk_pre, rerank_topk, identifier_extract, significant_words, boost_score, exact_match, posting_lists, posting_scores, boosted_search, boosted_uncut, chunk_lines,
-    chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, stream_changes, stream_expiry, change_summary, delete_by_file, store_changes, store_source, decode_content, model_embed, rerank_model, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
+    chunk_syntax, syntax_nodes, chunk_udtf, syntax_udtf, chunk_adjacency, expand_context, expand_hits, get_chunk, file_ids, detect_changes, stream_changes, stream_expiry, change_summary, delete_by_file, store_changes, store_source, decode_content, model_embed, rerank_model, rerank_words, active_windows, upsert, insert_ignore, delete_ids, collection_stats, collection_name, ignore_filter, rerank_context,
     format_results, hash_embed, debounce, client_expiry, interval_overlap, conversation_context, query_features, indexed_search)}
 
 _DISTANCE = "round(distance, 6) + 0.0 AS distance"
@@ -642,6 +649,14 @@ ORACLE_SQL = {
     "rerank_model": f"""WITH {VECTORS}, top AS (SELECT *, 'File: ' || file_path || ' | Code: ' || content AS c FROM {_ranked(15)}),
       again AS (SELECT query_id, id, rank AS old, ((7 * length(query) + 13 * (length(c) - length(replace(c, '1', ''))) + length(c)) % 11)::DOUBLE AS similarity FROM top)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, old) AS rank, id, similarity FROM again QUALIFY rank <= 5""",
+    "rerank_words": f"""WITH {VECTORS}, asked AS (SELECT query_id, unnest({_significant("query || ' labels'")}) AS word FROM queries),
+      triples AS (SELECT word, list_distinct(list_transform(range(1, length(word) + 1), lambda i: substring(' ' || word || ' ', i, 3))) AS t FROM (SELECT word FROM asked UNION SELECT unnest({_words('lower(content)')}) FROM vectors)),
+      known AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT id, unnest({_words('lower(content)')}) AS word FROM vectors) GROUP BY word),
+      weights AS (SELECT query_id, a.word, t, ln(1 + (SELECT count(*) FROM vectors) / coalesce(n, 1)) AS weight FROM asked a JOIN triples USING (word) LEFT JOIN known USING (word)),
+      top AS {_ranked(15)}, texts AS (SELECT DISTINCT query_id, id, rank AS old, unnest({_words('lower(content)')}) AS word FROM top),
+      best AS (SELECT x.query_id, x.id, x.old, w.word, w.weight, max(len(list_intersect(w.t, b.t)) / sqrt(len(w.t) * len(b.t))) AS s FROM texts x JOIN triples b USING (word) JOIN weights w ON w.query_id = x.query_id GROUP BY ALL),
+      scored_ AS (SELECT query_id, id, old, round(sum(weight * s) / sum(weight), 6) + 0.0 AS similarity FROM best GROUP BY ALL)
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, old) AS rank, id, similarity FROM scored_ QUALIFY rank <= 5""",
     "active_windows": """WITH e AS (SELECT user_id AS client, epoch_us(ts) AS t FROM events),
       marked AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 18000000000 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY client ORDER BY t)),
       runs AS (SELECT *, sum(opens) OVER (PARTITION BY client ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM marked)
