@@ -6,17 +6,16 @@ import pytest
 from lodestone.operators import chunking, syntax
 
 PROGRAMS = {
-    "javascript": ("""import React from 'react';
-function Counter() {
-    const [count, setCount] = useState(0);
-    const increment = () => {
-        setCount(count + 1);
+    "javascript": ("""import { reader } from './reader.js';
+function parse(lines) {
+    const limit = 3
+    const trim = (line) => {
+        return line.trim();
     };
     return (
-        <div>
-            <p>It's {count}</p>
-            <button onClick={increment}>More</button>
-        </div>
+        <ul title="all">
+            <li>It's {lines.map(trim)}</li>
+        </ul>
     );
 }
 function brace() { return /[{]/; }
@@ -32,41 +31,41 @@ class A extends mixin(B) {
 }
 const o = { first: function () { return 1 }, second() { return 2 }, third: async () => { return 3 } };
 module.exports = { a: 1 };
-""", [("Counter", "function"), ("increment", "function"), ("brace", "function"), ("inner", "function"), ("A", "class"), ("run", "function"), ("size", "function"), ("field", "function"), ("first", "function"), ("second", "function"), ("third", "function")]),
-    "typescript": ("""interface User {
-    id: number;
+""", [("parse", "function"), ("trim", "function"), ("brace", "function"), ("inner", "function"), ("A", "class"), ("run", "function"), ("size", "function"), ("field", "function"), ("first", "function"), ("second", "function"), ("third", "function")]),
+    "typescript": ("""interface Point {
+    x: number;
 }
-export abstract class UserService<T extends User> implements A, B {
-    private users: User[] = [];
-    constructor(private x: number) { super(); }
-    addUser(user: User): void { this.users.push(user); }
-    map<K, V>(f: (k: K) => V): Map<K, V> { return new Map(); }
-    getUser = async (id: number): Promise<User> => { return this.users.find(u => u.id === id); };
+export abstract class Grid<T extends Point> implements A, B {
+    private cells: T[] = [];
+    constructor(private wide: number) { super(); }
+    put(cell: T): void { this.cells.push(cell); }
+    fold<K, V>(f: (k: K) => V): Map<K, V> { return new Map(); }
+    nearest = async (x: number): Promise<T> => { return this.cells.find(c => c.x > x); };
 }
 enum Color { Red }
 const add: Adder = (a: number, b: number) => { return a + b; };
 type X = { a: number };
-""", [("User", "class"), ("UserService", "class"), ("constructor", "function"), ("addUser", "function"), ("map", "function"), ("getUser", "function"), ("Color", "class"), ("add", "function")]),
-    "go": ("""package main
+""", [("Point", "class"), ("Grid", "class"), ("constructor", "function"), ("put", "function"), ("fold", "function"), ("nearest", "function"), ("Color", "class"), ("add", "function")]),
+    "go": ("""package geo
 
 import (
-    "fmt"
+    "math"
 )
 
-type Server struct {
-    host string
+type Circle struct {
+    radius float64
 }
 
 type Shape interface {
     Area() float64
 }
 
-func NewServer(host string, port int) *Server {
+func Unit(label string, n int) *Circle {
     s := `}{`
-    return &Server{host: host}
+    return &Circle{radius: 1}
 }
 
-func (s *Server) Start() (int, error) {
+func (c *Circle) Grow() (int, error) {
     f := func(x int) int { return x }
     if r := '{'; r != '}' {
         return f(1), nil
@@ -74,45 +73,45 @@ func (s *Server) Start() (int, error) {
     return 0, nil
 }
 
-func Map[K comparable, V any](m map[K]V) []K {
+func Keys[K comparable, V any](m map[K]V) []K {
     return nil
 }
-""", [("Server", "class"), ("Shape", "class"), ("NewServer", "function"), ("Start", "function"), ("Map", "function")]),
-    "rust": ("""use std::collections::HashMap;
+""", [("Circle", "class"), ("Shape", "class"), ("Unit", "function"), ("Grow", "function"), ("Keys", "function")]),
+    "rust": ("""use std::fmt;
 
 #[derive(Debug)]
-struct Counter<'a> {
-    counts: HashMap<&'a str, u32>,
+struct Line<'a> {
+    text: &'a str,
 }
 
-impl<'a> Counter<'a> {
-    fn new() -> Self { Counter { counts: HashMap::new() } }
-    pub fn increment(&mut self, key: &'a str) { *self.counts.entry(key).or_insert(0) += 1; }
+impl<'a> Line<'a> {
+    fn blank() -> Self { Line { text: "" } }
+    pub fn words(&self, sep: &'a str) -> usize { self.text.split(sep).count() }
 }
 
 impl<T: Clone> Shape for Square<T> where T: Copy { fn area(&self) -> u32 { match self { _ => 1 } } }
 fn f<'b>(x: &'b str) -> char { g::<'b>(); let c = '{'; let d = '\\''; let s = r#"}" {"#; '}' }
 trait Shape { fn area(&self) -> u32; fn twice(&self) -> u32 { 2 } }
 enum E { A { x: u32 }, B }
-""", [("Counter", "class"), ("Counter", "class"), ("new", "function"), ("increment", "function"), ("Shape", "class"), ("area", "function"), ("f", "function"), ("Shape", "class"), ("twice", "function"), ("E", "class")]),
-    "java": ("""package com.example;
-public class UserManager<T extends Comparable<T>> {
+""", [("Line", "class"), ("Line", "class"), ("blank", "function"), ("words", "function"), ("Shape", "class"), ("area", "function"), ("f", "function"), ("Shape", "class"), ("twice", "function"), ("E", "class")]),
+    "java": ("""package shelf;
+public class Shelf<T extends Comparable<T>> {
     private int[] x = {1, 2};
     static { init(); }
-    public UserManager() { this.users = new ArrayList<>(); }
+    public Shelf() { this.books = new TreeSet<>(); }
     @Test(expected = X.class) @Override
-    public Map<String, List<T>> getUsers(int n) throws IOException {
+    public Map<String, List<T>> sorted(int n) throws IOException {
         for (int i = 0; i < n; i++) { run(new Runnable() { public void run() { go(); } }); }
         String s = \"\"\"
             } " {
             \"\"\";
-        return users;
+        return books;
     }
     enum Kind { A, B }
-    record Point(int x, int y) { int sum() { return x + y; } }
+    record Place(int x, int y) { int sum() { return x + y; } }
 }
 @interface Mark { }
-""", [("UserManager", "class"), ("UserManager", "function"), ("getUsers", "function"), ("run", "function"), ("Kind", "class"), ("Point", "class"), ("sum", "function"), ("Mark", "class")]),
+""", [("Shelf", "class"), ("Shelf", "function"), ("sorted", "function"), ("run", "function"), ("Kind", "class"), ("Place", "class"), ("sum", "function"), ("Mark", "class")]),
     "cpp": ("""#include <vector>
 #define OPEN {
 #define LONG(x) do { \\
@@ -138,7 +137,7 @@ int values[] = { 1, 2 };
 """, [("V", "class"), ("V", "function"), ("~V", "function"), ("operator[]", "function"), ("operator()", "function"), ("operator==", "function"), ("build", "function"), ("make_point", "function"), ("Color", "class"), ("run", "function"), ("plain", "function")]),
     "c": ("static int *find(const char *s, int (*f)(int)) {\n  while (*s) { if (*s == '}') return 0; s++; }\n  return 1;\n}\nstruct point { int x; };\ntypedef struct { int y; } other;\n", [("find", "function"), ("point", "class")]),
     "c_sharp": ('using System;\nnamespace A.B {\n  public class Order : IOrder {\n    public int Total { get; set; }\n    [Fact] public async Task<int> Sum<T>(List<T> x) where T : class { var s = @"c:\\"; return $"{x}".Length; }\n  }\n  interface IOrder { }\n}\n', [("Order", "class"), ("Sum", "function"), ("IOrder", "class")]),
-    "php": ("<?php\n# it's {\nclass User extends Model {\n  public function getName(string $x = '}') { return \"{$this->name}\"; }\n}\nfunction &helper($a) { return <<<EOT\n } {\nEOT;\n}\n", [("User", "class"), ("getName", "function"), ("helper", "function")]),
+    "php": ("<?php\n# it's {\nclass Page extends Sheet {\n  public function title(string $x = '}') { return \"{$this->head}\"; }\n}\nfunction &helper($a) { return <<<EOT\n } {\nEOT;\n}\n", [("Page", "class"), ("title", "function"), ("helper", "function")]),
 }
 
 
@@ -157,9 +156,9 @@ def test_definitions(language):
 def test_starts_have_attributes_and_modifiers():
     text = PROGRAMS["rust"][0]
     first = syntax.scan(text, "rust").nodes[0]
-    assert text[first.start :].startswith("#[derive(Debug)]\nstruct Counter")
+    assert text[first.start :].startswith("#[derive(Debug)]\nstruct Line")
     text = PROGRAMS["java"][0]
-    assert text[next(n for n in syntax.scan(text, "java").nodes if n.name == "getUsers").start :].startswith("@Test(expected")
+    assert text[next(n for n in syntax.scan(text, "java").nodes if n.name == "sorted").start :].startswith("@Test(expected")
     text = PROGRAMS["cpp"][0]
     assert text[syntax.scan(text, "cpp").nodes[0].start :].startswith("template <typename T>")
 
