@@ -7,10 +7,12 @@ texts skips blocks. Two kinds of words are listed: as they stand, for identifier
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +67,9 @@ def texts_with(postings: DataFrame, asked: DataFrame, low: int | None = None, hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = b.column("gaps").value_lengths().to_numpy()
-            gaps = b.column("gaps").flatten().to_numpy().copy()
-            if not len(gaps):
+            if not b.num_rows:
                 continue
-            start = np.cumsum(size) - size
-            # one running sum: each list's first place makes up for where the last one ended
-            first = b.column("first").to_numpy()
-            total = np.add.reduceat(gaps, start)
-            gaps[start] = first - np.r_[0, (first + total)[:-1]]
-            ids = np.cumsum(gaps)
+            ids, size = _numbers(b.column("first").to_numpy(), b.column("gaps"))
             row = pa.array(np.repeat(np.arange(b.num_rows), size))
             yield pa.RecordBatch.from_arrays([b.column("lower").take(row), b.column("word").take(row), pa.array(ids)], ["lower", "word", "text_id"])
 
@@ -98,12 +93,104 @@ def score(found: DataFrame, queries: DataFrame, base: float = ident.BASE_BOOST)
     """(query_id, text_id, matches, has_word, boost) of the pairs in ``found`` (query_id, text_id, lower, word): how many of the
     query's identifiers a text has, whether it has a significant word, and the factor that lifts it; any other pair has
     none and the factor one. A text's rows of one query meet in one place: at most one for each of the query's words."""
-    named = queries.select("query_id", (F.size(ident.identifiers(F.col("query"))) > 0).alias("named"))
     matches = F.count(F.when(~F.col("lower"), F.lit(1)))
     pairs = found.groupBy("query_id", "text_id").agg(matches.alias("matches"), F.coalesce(F.bool_or("lower"), F.lit(False)).alias("has_word"))
+    return _lifted(pairs, queries, base)
+
+
+def _lifted(pairs: DataFrame, queries: DataFrame, base: float) -> DataFrame:
+    named = queries.select("query_id", (F.size(ident.identifiers(F.col("query"))) > 0).alias("named"))
     return pairs.join(named, "query_id").select("query_id", "text_id", "matches", "has_word", boost(F.col("named"), F.col("matches"), F.col("has_word"), base).alias("boost"))
 
 
+def score_lists(postings: DataFrame, queries: DataFrame, base: float = ident.BASE_BOOST) -> DataFrame:
+    """As ``score`` of what ``texts_with`` finds, without a row for each word of a pair and without grouping pairs: the lists of
+    one block meet, each with the queries that ask for it, and are counted there. So what is shuffled are lists, and a task
+    holds a block of texts at a time, however many pairs there are."""
+    asked = asked_words(queries).groupBy("lower", "word").agg(F.collect_set("query_id").alias("queries"))
+    few = asked.count() <= BROADCAST_WORDS
+    lists = postings.select("lower", "word", "block", "first", "gaps").join(F.broadcast(asked) if few else asked, ["lower", "word"])
+    lists = lists.select("block", "lower", "first", "gaps", "queries").repartition("block").sortWithinPartitions("block")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return _lifted(lists.mapInArrow(_counted, f"query_id {kind}, text_id long, matches long, has_word boolean"), queries, base)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
+    """Rows sorted by ``by``, cut where these columns change; in each table all rows of some groups."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.flatnonzero(_changes(b, *by))[1:]
+        if held and any(b[c][0] != held[0][c][0] for c in by):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(new):
+            yield pa.Table.from_batches([*held, b.slice(0, new[-1])])
+            held = []
+        held.append(b.slice(new[-1] if len(new) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _changes(rows: pa.RecordBatch | pa.Table, *by: str) -> np.ndarray:
+    """Where a row has other values in ``by`` than the row before; the first one has."""
+    out = np.zeros(rows.num_rows, bool)
+    out[:1] = True
+    for c in by:
+        out[1:] |= pc.not_equal(rows[c].slice(1), rows[c].slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _numbers(first: np.ndarray, gaps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists one behind the other, and how many each list has."""
+    size = pc.list_value_length(gaps).to_numpy()
+    out = gaps.flatten().to_numpy().copy()
+    start = np.cumsum(size) - size
+    # one running sum: each list's first place makes up for where the last one ended
+    total = np.add.reduceat(out, start)
+    out[start] = first - np.r_[0, (first + total)[:-1]]
+    return np.cumsum(out), size
+
+
+#: Pairs that are handed on together.
+PAIRS = 1 << 17
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, text_id, matches, has_word) of lists (block, lower, first, gaps, queries), sorted by block."""
+    for some in _whole(batches, "block"):
+        for s, e in itertools.pairwise([*np.flatnonzero(_changes(some, "block")), some.num_rows]):
+            yield from _counted_block(some.slice(s, e - s).combine_chunks())
+
+
+def _counted_block(lists: pa.Table) -> Iterator[pa.RecordBatch]:
+    first, gaps, asking = (lists[c].combine_chunks() for c in ("first", "gaps", "queries"))
+    ids, size = _numbers(first.to_numpy(), gaps)
+    texts, place = np.unique(ids, return_inverse=True)
+    start = np.cumsum(size) - size
+    lower = lists["lower"].to_numpy()
+    names = asking.flatten().dictionary_encode()
+    query, row = names.indices.to_numpy(), np.repeat(np.arange(len(size)), pc.list_value_length(asking).to_numpy())
+    order = np.argsort(query, kind="stable")
+    row, bounds = row[order], np.cumsum(np.bincount(query, minlength=len(names.dictionary)))
+    held, n = [], 0
+    for q, (s, e) in enumerate(itertools.pairwise([0, *bounds])):
+        of = lambda rows: np.concatenate([np.empty(0, np.int64), *[place[start[r] : start[r] + size[r]] for r in rows]])
+        own = row[s:e]
+        named, worded = of(own[~lower[own]]), of(own[lower[own]])
+        met = np.unique(np.concatenate((named, worded)))
+        at = np.searchsorted(met, named)
+        has = np.zeros(len(met), bool)
+        has[np.searchsorted(met, worded)] = True
+        held.append((np.full(len(met), q), texts[met], np.bincount(at, minlength=len(met)), has))
+        n += len(met)
+        if n >= PAIRS or q == len(bounds) - 1:
+            who, *rest = map(np.concatenate, zip(*held, strict=True))
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(who)), *map(pa.array, rest)], ["query_id", "text_id", "matches", "has_word"])
+            held, n = [], 0
+
+
 def boost(named: Column, matches: Column, has_word: Column, base: float = ident.BASE_BOOST) -> Column:
     """The factor of ``identifiers.boost`` from counts."""
     return F.when(named, F.when(matches == 0, 1.0).otherwise(base * (1 + (matches - 1) * 0.5))).when(has_word, ident.WORD_BOOST).otherwise(1.0)

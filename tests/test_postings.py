@@ -84,3 +84,20 @@ def test_boost_is_that_of_identifiers(spark):
     own = ident.words_of(F.col("t"))
     rows = df.select(ident.boost(names, words, F.col("t")).alias("a"), postings.boost(F.size(names) > 0, ident.identifier_matches(names, own), ident.has_significant_word(words, ident.words_of(F.lower("t")))).alias("b")).collect()
     assert all(r.a == r.b for r in rows)
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_scores_of_lists_group_no_pairs(spark, tables, monkeypatch, limit):
+    texts, queries = tables
+    monkeypatch.setattr(postings, "BROADCAST_WORDS", limit)
+    monkeypatch.setattr(postings, "PAIRS", 50)
+    lists = postings.build(texts, block=64)
+    rows = lambda found: sorted(map(tuple, found.select("query_id", "text_id", "matches", "has_word", "boost").collect()))
+    want = rows(postings.score(postings.texts_with(lists, postings.asked_words(queries)), queries))
+    for batch in (10_000, 3):  # a block in one batch and in several
+        monkeypatch.setattr(postings, "_counted", lambda batches, batch=batch, own=postings._counted: own(b.slice(s, batch) for b in batches for s in range(0, b.num_rows, batch)))
+        found = postings.score_lists(lists, queries)
+        assert rows(found) == want and len(want) > 300
+        # neither a hash nor a sort grows with the pairs
+        assert "keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert postings.score_lists(lists, queries.limit(0)).count() == 0 and postings.score_lists(postings.build(texts.limit(0)), queries).count() == 0
