@@ -35,22 +35,91 @@ def words_of_texts(texts: DataFrame) -> DataFrame:
     return each
 
 
+#: A text with this letter is lower-cased whole, as what it becomes depends on the letters around; any other word by word.
+SIGMA = "\u03a3"
+#: Whether words of a text are listed both as they stand and lower-cased, only as they stand, or as they are for lower case.
+BOTH, OWN, LOWER = 0, 1, 2
+#: Words of neighbouring texts that are grouped at once.
+TOGETHER = 2_000_000
+
+
 def build(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(lower, word, block, first, last, n, gaps) from ``texts`` (text_id, content), text_id a whole number.
 
     ``gaps`` begins with 0 and goes on with the distance of each number to the one before. Texts without an id are left out.
+    Texts are taken apart once. What is shuffled are short lists, of each word in neighbouring texts; the lists of lower-cased
+    words are unions of them, so words meet by their lower case.
     """
-    pairs = words_of_texts(texts.where("text_id IS NOT NULL")).withColumn("block", F.floor(F.col("text_id") / block))
-    lists = pairs.groupBy("lower", "word", "block").agg(F.sort_array(F.collect_set("text_id")).alias("ids"))
-    rest = F.slice("ids", F.lit(2), F.size("ids") - 1)
-    before = F.slice("ids", F.lit(1), F.size("ids") - 1)
-    gaps = F.concat(F.array(F.lit(0).cast("long")), F.zip_with(rest, before, lambda a, b: a - b))
-    return lists.select("lower", "word", "block", F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"), F.size("ids").cast("long").alias("n"), gaps.alias("gaps"))
+    whole = F.array(F.struct(F.lit(OWN).alias("kind"), ident.words_of(F.col("content")).alias("words")), F.struct(F.lit(LOWER).alias("kind"), ident.words_of(F.lower("content")).alias("words")))
+    apart = F.when(F.contains("content", F.lit(SIGMA)), whole).otherwise(F.array(F.struct(F.lit(BOTH).alias("kind"), ident.words_of(F.col("content")).alias("words"))))
+    each = texts.where("text_id IS NOT NULL AND content IS NOT NULL").select(F.col("text_id").cast("long").alias("text_id"), F.explode(apart).alias("w")).select("text_id", "w.kind", "w.words")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(pc.list_value_length(b["words"]).to_numpy())
+            cut = np.unique(np.r_[0, np.searchsorted(ends, np.arange(TOGETHER, ends[-1] if len(ends) else 0, TOGETHER), side="right"), b.num_rows])
+            for s, e in itertools.pairwise(cut.tolist()):
+                yield from _near(b.slice(s, e - s), block)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _whole(batches, "key", "block"):
+            yield from _merged(some, block)
+
+    short = each.mapInArrow(near, "kind int, word string, block long, ids array<long>")
+    key = F.when(F.col("kind") == LOWER, F.col("word")).otherwise(F.lower("word"))
+    short = short.withColumn("key", key).repartition("key").sortWithinPartitions("key", "block")
+    return short.mapInArrow(lists, "lower boolean, word string, block long, first long, last long, n long, gaps array<long>")
+
+
+def _near(texts: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+    """(kind, word, block, ids) of the words of ``texts`` (text_id, kind, words)."""
+    words = texts["words"].flatten().dictionary_encode()
+    if not len(words):
+        return
+    ids, rank = np.unique(texts["text_id"].to_numpy(), return_inverse=True)
+    size = pc.list_value_length(texts["words"]).to_numpy()
+    of = texts["kind"].to_numpy().astype(np.int64)
+    pairs = np.unique((np.repeat(of, size) * len(words.dictionary) + words.indices.to_numpy()) * len(ids) + np.repeat(rank, size))
+    named, ids = pairs // len(ids), ids[pairs % len(ids)]
+    blocks = ids // block
+    start = np.flatnonzero(np.r_[True, (named[1:] != named[:-1]) | (blocks[1:] != blocks[:-1])])
+    kind, word = np.divmod(named[start], len(words.dictionary))
+    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), words.dictionary.take(pa.array(word)), pa.array(blocks[start]), _cut(start, ids)], ["kind", "word", "block", "ids"])
+
+
+def _cut(start: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[start, len(values)], pa.int32()), pa.array(values))
+
+
+def _merged(rows: pa.Table, block: int) -> Iterator[pa.RecordBatch]:
+    """The lists of some whole groups of short ones (kind, word, block, ids, key), sorted by key and block."""
+    rows = rows.combine_chunks()
+    blocks, kind, ids = rows["block"].to_numpy(), rows["kind"].to_numpy(), rows["ids"].combine_chunks()
+    size, places = pc.list_value_length(ids).to_numpy(), ids.flatten().to_numpy()
+    group = np.cumsum(_changes(rows, "key", "block")) - 1
+    words = rows["word"].combine_chunks().dictionary_encode()
+    for lower, some, of, name in ((True, kind != OWN, group, rows["key"].combine_chunks()), (False, kind != LOWER, group * len(words.dictionary) + words.indices.to_numpy(), rows["word"].combine_chunks())):
+        if not some.any():
+            continue
+        _, one, number = np.unique(of[some], return_index=True, return_inverse=True)
+        one = np.flatnonzero(some)[one]
+        local = places[np.repeat(some, size)] - np.repeat(blocks[some] * block, size[some])
+        pairs = np.unique(np.repeat(number, size[some]) * block + local)
+        number, local = np.divmod(pairs, block)
+        start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        n = np.diff(np.r_[start, len(pairs)])
+        gaps = np.diff(local, prepend=0)
+        gaps[start] = 0
+        base = blocks[one] * block
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(one), lower)), name.take(pa.array(one)), pa.array(blocks[one]), pa.array(base + local[start]), pa.array(base + local[start + n - 1]), pa.array(n), _cut(start, gaps)],
+            ["lower", "word", "block", "first", "last", "n", "gaps"])
 
 
 def write(postings: DataFrame, path: str) -> None:
-    """Write lists in the order of their words, so that a reader of a few words skips the files without them."""
-    postings.repartitionByRange("lower", "word", "block").sortWithinPartitions("lower", "word", "block").write.parquet(path)
+    """Write lists where they are made, each file in the order of its words, so that a reader of a few words skips the pages
+    without them. A word's lists of all cases are in one file, if ``build`` made them; nothing is sampled or dealt out again."""
+    postings.sortWithinPartitions("lower", "word", "block").write.parquet(path)
 
 
 def texts_with(postings: DataFrame, asked: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:

@@ -101,3 +101,29 @@ def test_scores_of_lists_group_no_pairs(spark, tables, monkeypatch, limit):
         # neither a hash nor a sort grows with the pairs
         assert "keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()
     assert postings.score_lists(lists, queries.limit(0)).count() == 0 and postings.score_lists(postings.build(texts.limit(0)), queries).count() == 0
+
+
+def test_lists_are_made_of_short_ones(spark, monkeypatch):
+    """Words are grouped where texts are taken apart, and the lists of lower-cased words come from those as they stand: equal to
+    lists from each text's words, with letters whose lower case depends on their place or is longer."""
+    rng = random.Random(8)
+    some = ["Find", "find", "FIND", "ΟΔΟΣ", "οδος", "οδοσ", "Σ", "ΑΣ'Α", "İx", "i̇x", "ẞ", "x_1", "X_1", "", "Ǆ", "é", "!"]
+    rows = [(rng.randrange(-200, 400), " ".join(rng.choices(some, k=rng.randrange(9)))) for _ in range(500)] + [(2**40 + 1, "Find ΑΣ'Α"), (9, None), (None, "find")]
+    texts = spark.createDataFrame(rows, "text_id long, content string").repartition(3)
+    want = {}
+    for r in postings.words_of_texts(texts.where("text_id is not null")).collect():
+        want.setdefault((r.lower, r.word), set()).add(r.text_id)
+    for together, batch in ((2_000_000, 10_000), (40, 3)):
+        monkeypatch.setattr(postings, "TOGETHER", together)
+        merged = postings._whole
+        monkeypatch.setattr(postings, "_whole", lambda batches, *by, batch=batch, own=merged: own((b.slice(s, batch) for b in batches for s in range(0, b.num_rows, batch)), *by))
+        made = postings.build(texts, block=64)
+        got = {}
+        for r in made.collect():
+            assert r.gaps[0] == 0 and r.n == len(r.gaps) and r.first + sum(r.gaps) == r["last"] and r.first // 64 == r["last"] // 64 == r.block
+            ids = {r.first + sum(r.gaps[: k + 1]) for k in range(r.n)}
+            assert not ids & got.get((r.lower, r.word), set()) and len(ids) == r.n
+            got.setdefault((r.lower, r.word), set()).update(ids)
+        assert got == want
+        monkeypatch.setattr(postings, "_whole", merged)
+    assert "collect_set" not in made._jdf.queryExecution().executedPlan().toString()
