@@ -1,7 +1,7 @@
 """Vector search and what ranks, filters and lifts its results.
 
 Vectors are compared in blocks: each task multiplies its rows with the matrix of a stated, bounded set of
-queries and hands on the nearest of its batch, so a search is one pass over the chunks and a small sort. More
+queries and hands on the nearest of all its rows, so a search is one pass over the chunks and a small sort. More
 queries are searched in turns, each written before the next is sent.
 """
 
@@ -29,6 +29,10 @@ TOOL_CAP = 20
 QUERIES_AT_ONCE = 20_000
 #: Distances a task holds at once.
 PRODUCT = 4_000_000
+#: Nearest rows that a task hands on together.
+SENT = 1 << 17
+#: Rows found that wait at most until they are cut to the nearest.
+WAITING = 1 << 19
 
 
 def fetch_size(n: int, filtered: bool = False, rerank_multiplier: int = 1) -> int:
@@ -85,34 +89,67 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _nearest(rows: DataFrame, shared, k: int, kind: str, query_kind: str) -> DataFrame:
-    def top(names: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray) -> pa.RecordBatch:
-        near = np.round(1 - q @ x.T, 12)
-        near[~np.isfinite(near)] = np.inf
-        place = np.empty(len(ids), np.int64)
-        place[np.argsort(np.array(ids.to_pylist()), kind="stable")] = np.arange(len(ids))
-        most = min(k, len(ids))
-        asked, at, far = [], [], []
-        for i, d in enumerate(near):
-            some = np.flatnonzero((d <= np.partition(d, most - 1)[most - 1]) & (d < np.inf))  # with all ties
-            some = some[np.lexsort((place[some], d[some]))][:k]
-            asked.append(np.full(len(some), i))
-            at.append(some)
-            far.append(d[some])
-        return pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(asked))), ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(far))], ["query_id", "id", "distance"])
+    """(query_id, id, distance): of each task's rows the ``k`` nearest to each query, so at most as many as queries times ``k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, id_type = {n: _Best(len(names), k) for n, (names, _) in shared.value.items()}, None
         for b in batches:
+            id_type = b.column(0).type
             length = pc.list_value_length(b.column(1)).to_numpy()
-            for n, (names, q) in shared.value.items():
+            for n, (_, q) in shared.value.items():
                 at = np.flatnonzero(length == n)
-                step = max(1, PRODUCT // len(names))
+                step = max(1, PRODUCT // len(q))
                 for s in range(0, len(at), step):
                     own = pa.array(at[s : s + step])
-                    yield top(names, q, b.column(0).take(own), _unit(_matrix(b.column(1).take(own))))
+                    near = np.round(1 - q @ _unit(_matrix(b.column(1).take(own))).T, 12)
+                    near[~np.isfinite(near)] = np.inf
+                    best[n].add(near, np.array(b.column(0).take(own).to_pylist()))
+        for n, (names, _) in shared.value.items():
+            best[n].merge()
+            for s in range(0, len(best[n].query), SENT):
+                some = slice(s, s + SENT)
+                ids = pa.array(best[n].ids[some].tolist(), id_type)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(best[n].query[some])), ids, pa.array(best[n].distance[some])], ["query_id", "id", "distance"])
 
     return rows.mapInArrow(run, f"query_id {query_kind}, id {kind}, distance double")
 
 
+class _Best:
+    """The ``k`` nearest rows of each query among those seen so far; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.limit = k, np.full(queries, np.inf)  # beyond it nothing more is taken
+        self.query, self.distance, self.ids = np.empty(0, np.int64), np.empty(0), None
+        self.fresh, self.n = [], 0
+
+    def add(self, near: np.ndarray, ids: np.ndarray) -> None:
+        """Rows of these ``ids`` with their distances ``near`` to each query, infinite for none."""
+        if near.shape[1] > self.k:
+            # of a block no more than its own k nearest, with all ties
+            many = np.flatnonzero((near <= self.limit[:, None]).sum(1) > self.k)
+            self.limit[many] = np.minimum(self.limit[many], np.partition(near[many], self.k - 1, axis=1)[:, self.k - 1])
+        i, j = np.nonzero((near <= self.limit[:, None]) & (near < np.inf))
+        if len(i):
+            self.fresh.append((i, near[i, j], ids[j]))
+            self.n += len(i)
+        if self.n > max(WAITING, len(self.query)):
+            self.merge()
+
+    def merge(self) -> None:
+        """Cut what was added, with what was kept before, to ``k`` a query."""
+        if not self.fresh:
+            return
+        kept = [] if self.ids is None else [(self.query, self.distance, self.ids)]
+        query, distance, ids = map(np.concatenate, zip(*kept, *self.fresh, strict=True))
+        self.fresh, self.n = [], 0
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids, distance, query))
+        size = np.bincount(query, minlength=len(self.limit))
+        order = order[np.arange(len(query)) - np.repeat(np.cumsum(size) - size, size) < self.k]
+        self.query, self.distance, self.ids = query[order], distance[order], ids[order]
+        full = size >= self.k
+        self.limit[full] = np.minimum(self.limit[full], self.distance[np.cumsum(np.minimum(size, self.k))[full] - 1])
+
+
 def filter_hits(hits: DataFrame, file_types=None, include_paths=None) -> DataFrame:
     """Hits whose file_path has one of the suffixes and one of the strings."""
     return hits.where(of_types(F.col("file_path"), file_types) & in_paths(F.col("file_path"), include_paths))
