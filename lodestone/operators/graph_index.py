@@ -31,8 +31,9 @@ ENTRIES, SAMPLE, BEAM = 2, 4_096, 96
 DEAD = 0.3
 #: Queries that are sent to all parts at once.
 QUERIES_AT_ONCE = 10_000
-#: Queries that go through a part together, and rows that are compared with a part at once.
-TOGETHER, ROWS = 512, 1_024
+#: Queries that go through a part together, rows whose candidates are compared with one another at once, and products, of rows with
+#: a part or of numbers in pairs, that are held at once; so a part takes little more memory than its vectors and links.
+TOGETHER, ROWS, PRODUCT = 512, 256, 2_000_000
 COLLECTION = "graph"
 _STATE = "part string, dimension int, ids array<{0}>, vectors array<float>, links array<int>, alive array<boolean>, entries array<int>"
 
@@ -44,16 +45,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _nearest(x: np.ndarray, rows: np.ndarray, k: int, pool: np.ndarray) -> np.ndarray:
     """For each of ``rows`` the ``k`` most alike of ``pool`` (both numbers of vectors), nearest first; -1 where there are fewer."""
     out = np.full((len(rows), k), -1)
-    own = x[pool]
-    for s in range(0, len(rows), ROWS):
-        some = rows[s : s + ROWS]
-        near = x[some] @ own.T
-        near[some[:, None] == pool] = -np.inf
+    own, step = x[pool], max(1, PRODUCT // max(1, len(pool)))
+    for s in range(0, len(rows), step):
+        some = rows[s : s + step]
+        far = x[some] @ own.T
+        np.negative(far, out=far)
+        far[some[:, None] == pool] = np.inf
         m = min(k, len(pool))
-        best = np.argpartition(-near, m - 1, axis=1)[:, :m]
-        order = np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable")
+        best = np.argpartition(far, m - 1, axis=1)[:, :m]
+        order = np.argsort(np.take_along_axis(far, best, 1), axis=1, kind="stable")
         best = np.take_along_axis(best, order, 1)
-        out[s : s + len(some), :m] = np.where(np.isfinite(np.take_along_axis(near, best, 1)), pool[best], -1)
+        out[s : s + len(some), :m] = np.where(np.isfinite(np.take_along_axis(far, best, 1)), pool[best], -1)
     return out
 
 
@@ -78,24 +80,31 @@ def _spread(x: np.ndarray, rows: np.ndarray, near: np.ndarray, most: int) -> np.
 
 def _both_ways(x: np.ndarray, links: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """``links`` with those ``chosen`` for ``rows`` and the same the other way round; who then has too many keeps a spread of them."""
+    n = len(x)
     a, b = np.repeat(rows, chosen.shape[1]), chosen.ravel()
     a, b = a[b >= 0], b[b >= 0]
-    have = np.argwhere(links >= 0)
-    pairs = np.unique(np.concatenate((np.stack((have[:, 0], links[have[:, 0], have[:, 1]]), 1), np.stack((a, b), 1), np.stack((b, a), 1))), axis=0)
-    like = np.einsum("id,id->i", x[pairs[:, 0]], x[pairs[:, 1]])
-    pairs = pairs[np.lexsort((-like, pairs[:, 0]))]
-    size = np.bincount(pairs[:, 0], minlength=len(x))
-    start = np.cumsum(size) - size
-    wide = np.full((len(x), max(MOST, int(size.max(initial=0)))), -1)
-    wide[pairs[:, 0], np.arange(len(pairs)) - start[pairs[:, 0]]] = pairs[:, 1]
+    have = np.flatnonzero(links.ravel() >= 0)
+    a, b = np.divmod(np.unique(np.concatenate((have // MOST * n + links.ravel()[have], a * n + b, b * n + a))), n)
+    order = np.lexsort((-_dots(x, a, x, b), a))
+    a, b = a[order], b[order]
+    size = np.bincount(a, minlength=n)
+    place = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+    # of very many, the nearest are looked at
+    wide, some = np.full((n, 3 * MOST), -1), place < 3 * MOST
+    wide[a[some], place[some]] = b[some]
     out = wide[:, :MOST].copy()
     full = np.flatnonzero(size > MOST)
     if len(full):
-        # of very many, the nearest are looked at
-        out[full] = _spread(x, full, wide[full, : 3 * MOST], MOST)
+        out[full] = _spread(x, full, wide[full], MOST)
     return out
 
 
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The products of rows ``i`` of ``x`` with rows ``j`` of ``y``."""
+    step = max(1, PRODUCT // x.shape[1])
+    return np.concatenate([np.empty(0, x.dtype), *[np.einsum("id,id->i", x[i[s : s + step]], y[j[s : s + step]]) for s in range(0, len(i), step)]])
+
+
 def entry_points(vectors: np.ndarray) -> np.ndarray:
     """Numbers of vectors far from one another: each the farthest of a sample from those before it."""
     n = len(vectors)
@@ -287,7 +296,7 @@ class GraphIndex:
                     some = asked.take(pa.array(own))
                     q = some["v"].combine_chunks().flatten().to_numpy().reshape(len(own), -1)
                     i, j, _ = search_part(vectors, links, alive, entries, q, k, beam)
-                    distance = np.round(1 - np.einsum("id,id->i", _unit(q.astype(np.float64))[i], _unit(vectors.astype(np.float64))[j]), 12)
+                    distance = np.round(1 - _dots(_unit(q.astype(np.float64)), i, _unit(vectors.astype(np.float64)), j), 12)
                     yield pa.RecordBatch.from_arrays([some["query_id"].combine_chunks().take(pa.array(i)), ids.take(pa.array(j)), pa.array(distance)], ["query_id", "id", "distance"])
 
         found = parts.select("ids", "vectors", "links", "alive", "entries", "dimension").mapInArrow(run, f"query_id {kind}, id {self.id_type}, distance double")

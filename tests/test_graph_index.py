@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -105,3 +107,20 @@ def test_query_finds_what_an_exact_search_finds(spark):
     got = {(r.query_id, r.id) for r in plans.graph_search(spark, sf).collect()}
     true = {(r.query_id, r.id) for r in vector_topk(plans.vectors(spark, sf), plans.vector_queries(spark, sf), 10).collect()}
     assert len(got) == len(true) and len(got & true) / len(true) >= 0.95
+
+
+@pytest.mark.parametrize("copies", [0, 4_000])
+def test_a_part_takes_little_memory(copies):
+    """However many vectors have links to the same one."""
+    x = made(8_000, 6, d=32)
+    x[:copies] = x[0]
+    tracemalloc.start()
+    try:
+        links = gi.insert_part(x, gi.build_part(x[:6_000]))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 and links.shape == (8_000, gi.MOST) and (links.max(1) >= 0).all()
+    assert all(len(set(own)) == len(own) and i not in own for i, row in enumerate(links[::50]) if (own := row[row >= 0].tolist()) for i in [50 * i])
+    found, _ = recall(x, links, np.ones(8_000, bool), x[copies::100] + 0.1)
+    assert found >= 0.95
