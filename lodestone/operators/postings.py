@@ -41,6 +41,8 @@ SIGMA = "\u03a3"
 BOTH, OWN, LOWER = 0, 1, 2
 #: Words of neighbouring texts that are grouped at once.
 TOGETHER = 2_000_000
+#: Texts a task, about, whose short lists are sorted and merged together, if the session's shuffles have too few tasks for that.
+TEXTS = 8_192
 
 
 def build(texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -67,7 +69,10 @@ def build(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
     short = each.mapInArrow(near, "kind int, word string, block long, ids array<long>")
     key = F.when(F.col("kind") == LOWER, F.col("word")).otherwise(F.lower("word"))
-    short = short.withColumn("key", key).repartition("key").sortWithinPartitions("key", "block")
+    short = short.withColumn("key", key)
+    tasks = -(-texts.count() // TEXTS)
+    few = tasks <= int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = (short.repartition("key") if few else short.repartition(tasks, "key")).sortWithinPartitions("key", "block")
     return short.mapInArrow(lists, "lower boolean, word string, block long, first long, last long, n long, gaps array<long>")
 
 

@@ -127,3 +127,15 @@ def test_lists_are_made_of_short_ones(spark, monkeypatch):
         assert got == want
         monkeypatch.setattr(postings, "_whole", merged)
     assert "collect_set" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_texts_take_more_tasks(spark, tables, monkeypatch):
+    """So that what a task sorts does not grow with the texts where a session has few tasks for shuffles."""
+    texts, _ = tables
+    monkeypatch.setattr(postings, "TEXTS", 30)
+    made = postings.build(texts, block=64)
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString() and made.rdd.getNumPartitions() == -(-len(TEXTS) // 30)
+    whole = lambda lists: sorted(map(str, lists.collect()))
+    got = whole(made)
+    monkeypatch.setattr(postings, "TEXTS", 8_192)
+    assert got == whole(postings.build(texts, block=64))
